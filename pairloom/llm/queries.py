@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.ngram_join import similar_groups
 from pairloom.llm.store import table
 from pairloom.llm.substring_dedup import remove_repeats
+from pairloom.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +43,23 @@ FROM w LEFT JOIN kept USING (doc_id)
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: size of its shingle set and the smallest doc_id that links reach."""
     return similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page, as read back from the archives written."""
+    return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# DuckDB has SHA-1 as hex only; base32 is spelt out five bits at a time.
+SQL["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT html, max(page_id) AS latest FROM p GROUP BY html),
+d AS (SELECT page_id, latest, octet_length(encode(html)) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+   1 + CAST(('0b' || substr(array_to_string(list_transform(range(1, 41), lambda j: substr('0000000100100011010001010110011110001001101010111100110111101111',
+   1 + 4 * (instr('0123456789abcdef', substr(sha1(html), CAST(j AS INTEGER), 1)) - 1), 4)), ''), CAST(5 * i + 1 AS INTEGER), 5)) AS INTEGER), 1)), '') AS payload_digest
+ FROM p JOIN m USING (html))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> latest THEN latest END AS refers_to FROM d
+"""
