@@ -123,7 +123,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
         raise ValueError("gram must be positive and under length")
     docs = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     blocks = written(docs.select("did", "row_key", "text").mapInArrow(_blocks(length, gram), "did long, row_key long, anchor long, stretch long, first int, n_windows int"), "rlz-blocks")
-    index = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("same")).where("n > 1").select("anchor", "same")
+    # counts are written before they are joined: a join right above a sum shares its exchange, which Spark then can't split at a hot key
+    index = written(blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("same")).where("n > 1").select("anchor", "same"), "rlz-index")
     shared = written(blocks.join(index, "anchor"), "rlz-shared")
     other = shared.where("not same")
     longest = written(other.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("did", "row_key", "first", "n_windows")).alias("one")), "rlz-longest")
@@ -133,7 +134,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     boundaries = longest.groupBy("one.did", "one.row_key").agg(F.collect_list(F.struct("anchor", "one.first", "one.n_windows")).alias("bounds"))
     text = docs.select("did", "row_key", "text")
     windows = written(text.join(boundaries, ["did", "row_key"]).select("did", "row_key", "text", "bounds").mapInArrow(_windows(length), "did long, row_key long, anchor long, window long, first int"), "rlz-windows")
-    found = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    found = written(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "rlz-found")
     single = windows.join(found, ["anchor", "window"]).select("did", "row_key", "first", F.lit(1).alias("n_windows"))
     spans = whole.unionByName(single).select("did", "row_key", "first", (F.col("first") + F.col("n_windows") - 1 + length).alias("last"))
     spans = spans.distinct().groupBy("did", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
