@@ -6,10 +6,12 @@ class; the join runs over one representative of each class.
 1. Routing. ``BANDS`` keys of two minimum hashes each send a class to the groups in which its partners can be. Two sets of similarity s share no key
    with probability (1 - s**2)**BANDS, at the threshold 4e-15: less than the chance that two of the 64-bit shingle hashes meet.
 2. Spanning pairs. Each group's smallest and largest member are compared with all members, and the exact links are contracted to components.
-3. Trees. Where a group still holds more than one component, its members form a signature tree: each node holds the OR of its members' token
+3. Trees. Where a group of four or more (step 2 compares all pairs of three) still holds more than one component, its members form a signature tree: each node holds the OR of its members' token
    bitmaps, their AND, and the range of set sizes. A dual traversal descends only into pairs of nodes whose size ranges and bitmaps allow enough
    overlap (a member has at least popcount(AND & ~other OR) tokens that no member of the other node has) and that are not one component already.
-   What reaches the leaves is verified exactly, text against text.
+   What reaches the leaves is verified exactly, text against text. Two rounds take one pair for each pair of components that the leaves could join,
+   and a last round, over the components that stay apart, takes every pair that no bound rules out: no link is lost, and a large group
+   that fell into a few components is not spelt out pair by pair.
 
 Large groups: steps 1 and 2 are sums and equi-joins that Spark may split. In step 3 a group of more than ``SHARD`` members is cut into shards, and
 each pair of shards is a task of its own, so that memory stays bounded at any group size. No pair within a component is ever made there.
@@ -106,7 +108,7 @@ class SignatureTree:
 
     def __init__(self, bits: np.ndarray, size: np.ndarray, component: np.ndarray) -> None:
         order = np.lexsort((bits[:, 0], bits[:, 1], size))
-        self.order, self.levels = order, []
+        self.order, self.levels, self.member_component = order, [], component
         self._add(bits[order], bits[order], size[order], size[order], component[order], None)
         for fan in [LEAF] + [FAN] * 20:
             if len(self.levels[-1]["least"]) <= 1:
@@ -167,8 +169,26 @@ def _below(t: SignatureTree, level: int, i: np.ndarray, other: np.ndarray) -> tu
     return child[keep], other[keep]
 
 
-def _tree_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between two shards of a group (or within one)."""
+class _Forest:
+    """Union-find over the components of one group."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def _tree_pairs(group: pd.DataFrame, every: bool) -> pd.DataFrame:
+    """Pairs between two shards of a group (or within one): every pair that may link, or as many as could join all components that may link."""
     trees = []
     for side in sorted(group["shard"].unique()):
         part = group[group["shard"] == side]
@@ -178,7 +198,12 @@ def _tree_pairs(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     (ids_p, p), (ids_q, q) = trees[0], trees[-1]
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    forest, of_p, of_q = _Forest(), p.member_component, q.member_component
     for i, j in dual_traversal(p, q):
+        if not every:
+            _, one = np.unique(np.stack((of_p[i], of_q[j])), axis=1, return_index=True)
+            one = [k for k in one.tolist() if forest.join(int(of_p[i[k]]), int(of_q[j[k]]))]
+            i, j = i[one], j[one]
         a.append(ids_p[i])
         b.append(ids_q[j])
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -189,6 +214,17 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
 
 
+def _crossing(member: DataFrame, near: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
+    """Pairs of classes in different components that the trees of their groups do not rule out."""
+    labelled = written(member.join(near, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "join-labelled")
+    mixed = written(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "join-mixed")
+    sharded = labelled.join(mixed, "key", "left_semi").withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int")).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    dealt = sharded.withColumn("with", F.explode(F.expr("sequence(0, shards - 1)"))).withColumn("low_shard", F.least("shard", "with")).withColumn("high_shard", F.greatest("shard", "with"))
+    dealt = dealt.join(classes.select("id", "n_shingles", "bits"), "id").select("key", "low_shard", "high_shard", "shard", (F.col("low_shard") < F.col("high_shard")).alias("both"), "id", "component", "n_shingles", "bits")
+    pairs = dealt.groupBy("key", "low_shard", "high_shard").applyInPandas(lambda group: _tree_pairs(group, every), "a long, b long")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of each row of ``documents`` (``doc_id, text``)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -210,17 +246,16 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     star = written(star, "join-star")
     links = written(_verify(star, texts), "join-links")
     near = components(links, "join-near")
-    labelled = written(member.join(near, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "join-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    sharded = labelled.join(mixed, "key", "left_semi").withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int")).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    dealt = sharded.withColumn("with", F.explode(F.expr("sequence(0, shards - 1)"))).withColumn("low_shard", F.least("shard", "with")).withColumn("high_shard", F.greatest("shard", "with"))
-    dealt = dealt.join(classes.select("id", "n_shingles", "bits"), "id").select("key", "low_shard", "high_shard", "shard", (F.col("low_shard") < F.col("high_shard")).alias("both"), "id", "component", "n_shingles", "bits")
-    crossing = dealt.groupBy("key", "low_shard", "high_shard").applyInPandas(_tree_pairs, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = written(crossing.join(star, ["a", "b"], "left_anti"), "join-crossing")
-    late = written(_verify(crossing, texts), "join-late")
-    all_links = links.unionByName(late)
-    final = components(all_links, "join-all") if late.head(1) else near
-    by_class = classes.join(final, "id", "left").select("id", "low", "high", "n_shingles", "doc_id", F.coalesce("component", "id").alias("component"))
+    large = written(member.where("n > 3").select("key", "n", "id"), "join-large")
+    tried = star
+    for every in (False, False, True):
+        crossing = written(_crossing(large, near, classes, every).join(tried, ["a", "b"], "left_anti"), "join-crossing")
+        late = written(_verify(crossing, texts), "join-late")
+        tried = tried.unionByName(crossing)
+        if late.head(1):
+            links = links.unionByName(late)
+            near = components(links, "join-near")
+    by_class = classes.join(near, "id", "left").select("id", "low", "high", "n_shingles", "doc_id", F.coalesce("component", "id").alias("component"))
     smallest = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = by_class.join(smallest, "component").select("low", "high", "n_shingles", "component_id", F.col("doc_id").alias("class_id"))
     return profile.select("doc_id", "n_shingles", "low", "high").join(named, ["low", "high", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
