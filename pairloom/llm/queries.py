@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.language_id import identify_held_out
 from pairloom.llm.ngram_join import similar_groups
 from pairloom.llm.store import table
 from pairloom.llm.substring_dedup import remove_repeats
+from pairloom.llm.toxicity import score_toxicity
 from pairloom.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +65,15 @@ d AS (SELECT page_id, latest, octet_length(encode(html)) AS payload_bytes,
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
  CASE WHEN page_id <> latest THEN latest END AS refers_to FROM d
 """
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the language predicted for its whole text."""
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the score of its whole text."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
