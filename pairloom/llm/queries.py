@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.language_id import identify_held_out
+from pairloom.llm.neighbours import nearest_of_queries
 from pairloom.llm.ngram_join import similar_groups
 from pairloom.llm.store import table
 from pairloom.llm.substring_dedup import remove_repeats
@@ -77,3 +78,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the score of its whole text."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found of each row whose vec_id is divisible by 100."""
+    return nearest_of_queries(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
