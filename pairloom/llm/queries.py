@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.language_id import identify_held_out
 from pairloom.llm.neighbours import nearest_of_queries
 from pairloom.llm.ngram_join import similar_groups
+from pairloom.llm.pieces import encode_texts
 from pairloom.llm.store import table
 from pairloom.llm.substring_dedup import remove_repeats
 from pairloom.llm.toxicity import score_toxicity
@@ -84,3 +85,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows found of each row whose vec_id is divisible by 100."""
     return nearest_of_queries(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: number and digest of its pieces, and whether they decode to its text."""
+    encoded = encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "pieces_sha256", "round_trip")
