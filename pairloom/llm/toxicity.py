@@ -161,7 +161,8 @@ def _score(model: Model):
 def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each document; labels of fold ``held`` are not learned from."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = docs.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")), "doc_id").where(fold(F.col("doc_id"), folds) != held)
+    # one plan at every size: texts of the folds to learn from are dealt once, and labels are never broadcast
+    train = docs.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).hint("merge"), "doc_id").where(fold(F.col("doc_id"), folds) != held)
     model = learn_toxicity(train)
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(True))
     scored = docs.select("text", "doc_id", held_out.alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
