@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.decontamination import contaminated
 from pairloom.llm.language_id import identify_held_out
 from pairloom.llm.neighbours import nearest_of_queries
 from pairloom.llm.ngram_join import similar_groups
@@ -92,3 +93,26 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: number and digest of its pieces, and whether they decode to its text."""
     encoded = encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
     return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "pieces_sha256", "round_trip")
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that its text holds: the best window and its weighted similarity."""
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "similarity")
+
+
+# Exact search without fingerprints: all windows of an item's length of the documents that share a shingle with it.
+SQL["op6_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) ELSE [len(w) || '|' || array_to_string(w, ' ')] END AS s FROM d WHERE len(w) > 0),
+bs AS (SELECT item_id, len(w) AS len, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) ELSE [len(w) || '|' || array_to_string(w, ' ')] END AS s FROM b WHERE len(w) > 0),
+pair AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(s) AS x FROM ds) JOIN (SELECT item_id, unnest(s) AS x FROM bs) USING (x)),
+win AS (SELECT doc_id, item_id, len, least(n, len) AS n_words, ds.s AS ds, bs.s AS bs, unnest(range(0, greatest(n - len, 0) + 1)) AS first_word FROM pair JOIN ds USING (doc_id) JOIN bs USING (item_id)),
+own AS (SELECT doc_id, item_id, first_word, n_words, bs, ds[first_word + 1 : first_word + greatest(n_words - 4, 1)] AS ws FROM win),
+c AS (SELECT *, list_sum(list_transform(list_distinct(bs), lambda x: least(len(list_filter(bs, lambda y: y = x)), len(list_filter(ws, lambda y: y = x))))) AS common FROM own),
+ok AS (SELECT *, len(bs) + len(ws) - common AS total FROM c WHERE 100 * common >= 75 * (len(bs) + len(ws) - common))
+SELECT doc_id, item_id, CAST(first_word AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words, similarity FROM (
+  SELECT *, common / total AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / total DESC, first_word) AS k FROM ok) WHERE k = 1
+"""
