@@ -11,7 +11,7 @@ so a piece may follow the last piece of a shorter prefix if the pair stands. Res
 runs of marks or over ``LONGEST`` characters are merged directly, as runs of marks tie.
 
 Characters outside the vocabulary become byte pieces where the model has them, else the unknown piece. The model's bytes are read once by the driver
-and travel with the tasks; a vocabulary over ``MAX_MODEL_BYTES`` is refused. Memory: one portion of texts and its distinct words.
+and travel with the tasks; a vocabulary over ``MAX_MODEL_BYTES`` is refused. Memory: one portion of texts, its distinct words, and at most ``MAX_WORDS`` words that are known from before.
 
 Edge cases: null and empty texts have no pieces and decode to an empty text; a mark character in the text itself decodes to a space, as in the library; null
 doc_id and repeated rows come back as they are; other columns are ignored.
@@ -24,7 +24,6 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MAX_MODEL_BYTES, PORTION, LONGEST, MAX_PAIRS = 64 << 20, 4_000_000, 256, 1_000_000
+MAX_MODEL_BYTES, PORTION, LONGEST, MAX_PAIRS, MAX_WORDS = 64 << 20, 4_000_000, 256, 400_000, 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -95,6 +94,8 @@ class PieceModel:
         word = f"[{inner}]+" if inner else "(?!)"
         self.words = re.compile(f"[{inner}{MARK}]+|." if crossing else f"{MARK}*{word}|{MARK}+|.", re.DOTALL)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # known words that do not decode to themselves
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
 
     def marked(self, text: str) -> str:
@@ -139,46 +140,58 @@ class PieceModel:
         """The ids of distinct words, which share the forward tables of common prefixes."""
         out: dict[str, list[int]] = {}
         last, score = [0], [0.0]  # for each prefix the length of its last piece, and its score
-        before = ""
+        before, merging = "", self.type == BPE
+        step = self._last_merged if merging else self._last_best
         for word in sorted(words):
-            if self.type == BPE and (len(word) > LONGEST or word.startswith(MARK * 2)):
+            if merging and (len(word) > LONGEST or word.startswith(MARK * 2)):
                 out[word] = self.to_ids(self._merge_fast(word))
                 continue
-            shared = len(commonprefix((before, word)))
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
             del last[shared + 1 :], score[shared + 1 :]
-            step = self._last_merged if self.type == BPE else self._last_best
-            for end in range(shared + 1, len(word) + 1):
-                step(word, end, last, score)
+            step(word, shared + 1, last, score)
             parts, end = [], len(word)
             while end:
                 parts.append(word[end - last[end] : end])
                 end -= last[end]
-            out[word] = self.to_ids(parts[::-1])
+            parts.reverse()
+            out[word] = self.to_ids(parts)
             before = word
         return out
 
-    def _last_merged(self, word: str, end: int, last: list[int], score: list[float]) -> None:
-        ids, stands = self.ids, self.stands
-        for n in range(min(self.longest, end), 1, -1):
-            piece = word[end - n : end]
-            if piece in ids:
-                start = end - n
-                if (stands(word[start - last[start] : start], piece) if start else self.merged_whole(piece)):
-                    last.append(n)
-                    return
-        last.append(1)
+    def _last_merged(self, word: str, first: int, last: list[int], score: list[float]) -> None:
+        """Extends ``last`` by the prefixes that end at ``first`` and after."""
+        ids, pairs, longest = self.ids, self.pairs, self.longest
+        for end in range(first, len(word) + 1):
+            for start in range(max(0, end - longest), end - 1):
+                piece = word[start:end]
+                if piece in ids:
+                    if start:
+                        key = (word[start - last[start] : start], piece)
+                        known = pairs.get(key)
+                        if known is None:
+                            known = self.stands(*key)
+                    else:
+                        known = self.merged_whole(piece)
+                    if known:
+                        last.append(end - start)
+                        break
+            else:
+                last.append(1)
 
     @lru_cache(maxsize=1 << 16)  # noqa: B019  one model lives in a worker
     def merged_whole(self, piece: str) -> bool:
         return self.merged(piece) == [piece]
 
-    def _last_best(self, word: str, end: int, last: list[int], score: list[float]) -> None:
-        best, length = score[end - 1] + (self.scores[k] if (k := self.ids.get(word[end - 1])) is not None else self.floor), 1
-        for n in range(2, min(self.longest, end) + 1):
-            if (k := self.ids.get(word[end - n : end])) is not None and score[end - n] + self.scores[k] >= best:
-                best, length = score[end - n] + self.scores[k], n
-        last.append(length)
-        score.append(best)
+    def _last_best(self, word: str, first: int, last: list[int], score: list[float]) -> None:
+        for end in range(first, len(word) + 1):
+            best, length = score[end - 1] + (self.scores[k] if (k := self.ids.get(word[end - 1])) is not None else self.floor), 1
+            for n in range(2, min(self.longest, end) + 1):
+                if (k := self.ids.get(word[end - n : end])) is not None and score[end - n] + self.scores[k] >= best:
+                    best, length = score[end - n] + self.scores[k], n
+            last.append(length)
+            score.append(best)
 
     def _merge_fast(self, word: str) -> list[str]:
         """``merged`` for long words, with a heap of unions."""
@@ -207,27 +220,39 @@ class PieceModel:
             offer(i)
         return [p for p in parts if p is not None]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text as 32-bit little-endian numbers, and whether they decode to it. Words stay known to later calls, ``MAX_WORDS`` at most."""
         found = [self.words.findall(self.marked(t)) if t else [] for t in texts]
-        ids = self.encode_words(list({w for ws in found for w in ws}))
-        return [np.fromiter((i for w in ws for i in ids[w]), np.int32) for ws in found]
-
-    def decode(self, ids: np.ndarray) -> str:
+        distinct = {w for ws in found for w in ws}
+        if len(self.known) + len(distinct) > MAX_WORDS:
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+            self.odd &= distinct
+        known = self.known
+        for word, ids in self.encode_words([w for w in distinct if w not in known]).items():
+            known[word] = np.array(ids, "<i4").tobytes()
+            if self.text(ids) != word:
+                self.odd.add(word)
+        odd = self.odd
+        return [b"".join([known[w] for w in ws]) for ws in found], [not odd or odd.isdisjoint(ws) for ws in found]
+
+    def text(self, ids: list[int]) -> str:
+        """What ids stand for, marks included."""
+        if not any(self.kinds[i] != NORMAL for i in ids):
+            return "".join([self.pieces[i] for i in ids])
         out, held = [], bytearray()
-        for i in ids.tolist():
-            if self.kinds[i] == BYTE:
+        for i in [*ids, None]:
+            if i is not None and self.kinds[i] == BYTE:
                 held.append(int(self.pieces[i][3:5], 16))
                 continue
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if self.kinds[i] == UNKNOWN:
-                out.append(" ⁇ ")
-            elif self.kinds[i] != CONTROL:
-                out.append(self.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
+            if i is not None and self.kinds[i] != CONTROL:
+                out.append(" ⁇ " if self.kinds[i] == UNKNOWN else self.pieces[i])
+        return "".join(out)
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self.text(ids.tolist())
         return (text[1:] if self.dummy_prefix and text.startswith(MARK) else text).replace(MARK, " ")
 
 
@@ -261,13 +286,12 @@ def _encode(raw: bytes):
         model = _model(raw)
         for batch in batches:
             for first, texts in _portions(batch.column(0)):
-                ids = model.encode(texts)
+                ids, same = model.encode(texts)
                 bounds = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=bounds[1:])
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+                np.cumsum([len(x) // 4 for x in ids], out=bounds[1:])
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 kept = [c.slice(first, len(texts)) for c in batch.columns[1:]]
-                digests = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-                same = [model.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)]
+                digests = [hashlib.sha256(x).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(digests), pa.array(same)], names=[*batch.schema.names[1:], "piece_ids", "pieces_sha256", "round_trip"])
 
     return encode
