@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.chat import CHAT_SCHEMAS, conversation_calls, link_tool_calls
 from pairloom.llm.decontamination import contaminated
 from pairloom.llm.language_id import identify_held_out
+from pairloom.llm.licenses import find_licenses
 from pairloom.llm.neighbours import nearest_of_queries
 from pairloom.llm.ngram_join import similar_groups
 from pairloom.llm.pieces import encode_texts
@@ -116,3 +118,32 @@ ok AS (SELECT *, len(bs) + len(ws) - common AS total FROM c WHERE 100 * common >
 SELECT doc_id, item_id, CAST(first_word AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words, similarity FROM (
   SELECT *, common / total AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / total DESC, first_word) AS k FROM ok) WHERE k = 1
 """
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per call, or result without one, of all conversations, with its canonical JSON."""
+    return link_tool_calls(*conversation_calls(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
+
+
+SQL["op4_chat_formatting"] = """
+WITH c AS (SELECT conv_id, 't' || turn AS call_id, turn, role, text, CASE role WHEN 'system' THEN 'configure' ELSE 'ask' END AS name FROM conversations WHERE role IN ('system', 'user')),
+r AS (SELECT conv_id, 't' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE role NOT IN ('system', 'user') OR role IS NULL),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS call_turn, r.turn AS result_turn, role, text, name, content, c.conv_id IS NOT NULL AS is_call, r.conv_id IS NOT NULL AS has_result
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+d AS (SELECT j.*, CASE WHEN is_call THEN CASE WHEN role = 'user' AND call_turn > 0 AND z.conv_id IS NOT NULL THEN 1 ELSE 0 END END AS depth, coalesce(call_turn, result_turn) AS turn,
+  CASE WHEN is_call THEN 'call' ELSE 'result' END AS kind, CASE WHEN NOT is_call THEN 'orphan' WHEN has_result THEN 'linked' ELSE 'open' END AS status
+  FROM j LEFT JOIN (SELECT DISTINCT conv_id FROM c WHERE call_id = 't0') z ON z.conv_id = j.conv_id)
+SELECT conv_id, call_id, CAST(depth AS INTEGER) AS depth, turn, kind, name, status, CASE WHEN is_call THEN text IS NOT NULL END AS valid,
+  CASE WHEN is_call THEN CASE WHEN text IS NULL THEN 'text: missing' ELSE '' END END AS faults,
+  '{' || CASE WHEN is_call THEN '"arguments":{' || concat_ws(',', '"text":' || to_json(text), CASE WHEN role = 'user' THEN '"turn":' || call_turn END) || '},' ELSE '' END || '"call_id":"' || call_id || '"'
+  || coalesce(',"content":' || to_json(content), '') || ',"conv_id":' || conv_id || coalesce(',"depth":' || depth, '') || ',"kind":"' || kind || '"' || coalesce(',"name":"' || name || '"', '')
+  || ',"status":"' || status || '","turn":' || turn || '}' AS json
+FROM d
+"""
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per license notice in the documents."""
+    return find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
