@@ -1,12 +1,65 @@
-"""The corpus pipeline; its stages are filled in as their operators are built."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+1. language: texts whose language can't be told (no letters) go; a missing lang is filled in with the predicted one.
+2. near_duplicates: of documents that links of word-shingle similarity 0.75 or more join, the one with the smallest doc_id stays.
+3. repeats: words of 35-word windows that start anywhere else go; texts that lose nothing stay as they are, and a text may become empty.
+4. decontamination: documents with a window that is 0.75 or more similar to a benchmark item go.
+5. pieces: SentencePiece ids of each text.
+
+Null and empty texts have no letters and go in stage 1. Rows without doc_id are not compared in stage 2 and stay; in the other stages they are
+treated as any row. Repeated rows of a doc_id become one in stage 2. Columns beyond those of ``documents`` are dropped at the start.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairloom.llm.decontamination import without_contaminated
+from pairloom.llm.language_id import UNKNOWN, learn_languages, predict_languages
+from pairloom.llm.ngram_join import similar_groups
+from pairloom.llm.pieces import encode_texts
+from pairloom.llm.store import table, written
+from pairloom.llm.substring_dedup import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    predicted = predict_languages(docs, learn_languages(docs), COLUMNS)
+    return predicted.where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = docs.where("doc_id IS NOT NULL")
+    stay = similar_groups(named).where("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(docs, keep=("text", "lang", "source", "n_chars"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(docs, ["doc_id", "lang", "source", "n_chars"])
+    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "pieces_sha256")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("decontamination", decontamination), ("pieces", pieces)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,7 +58,21 @@ def _byte(k: str) -> str:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, first_word, n_words, similarity, distance``: the best window of each document for each item that contaminates it."""
-    docs = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _keyed(documents)
+    return docs.select("did", "row_key", F.col("doc_id").cast("long").alias("doc_id")).join(_matches(docs, benchmark), ["did", "row_key"]).select("doc_id", "item_id", F.col("first_word").cast("int").alias("first_word"), F.col("n_words").cast("int").alias("n_words"), "similarity", "distance")
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns, that no item contaminates."""
+    docs = _keyed(documents)
+    return docs.join(_matches(docs, benchmark).select("did", "row_key").distinct(), ["did", "row_key"], "left_anti").select(*documents.columns)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.withColumns({"did": F.coalesce("doc_id", F.lit(0)).cast("long"), "row_key": F.xxhash64("doc_id", "text")})
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item = _shingled(benchmark.select("item_id", "text")).where("n_words > 0").withColumnRenamed("n_words", "length").distinct()
     item = written(item.withColumn("fingerprint", _fingerprint("shingles")).withColumn("item", F.monotonically_increasing_id()), "leak-items")
     wanted = written(item.select(F.explode("shingles").alias("shingle"), "length").distinct(), "leak-shingles")
@@ -88,5 +102,4 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     alike = candidate.withColumn("common", common).withColumn("all", F.expr("size(theirs) + size(own) - common")).where(F.col("common") * 100 >= PERCENT * F.col("all"))
     alike = alike.select("did", "row_key", "item_id", "item", "first_word", "n_words", (F.col("common") / F.col("all")).alias("similarity"), F.col("distance").cast("int").alias("distance"))
     best = alike.groupBy("did", "row_key", "item").agg(F.min(F.struct(-F.col("similarity"), "first_word", "n_words", "similarity", "distance", "item_id")).alias("b"))
-    best = written(best.select("did", "row_key", "b.item_id", "b.first_word", "b.n_words", "b.similarity", "b.distance"), "leak-found")
-    return docs.select("did", "row_key", "doc_id").join(best, ["did", "row_key"]).select("doc_id", "item_id", F.col("first_word").cast("int").alias("first_word"), F.col("n_words").cast("int").alias("n_words"), "similarity", "distance")
+    return written(best.select("did", "row_key", "b.item_id", "b.first_word", "b.n_words", "b.similarity", "b.distance"), "leak-found")

@@ -111,17 +111,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if out["row"]:
                 rows = pa.array(out.pop("row"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(4).take(rows), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["digest"]), pa.array(out["kept"]), pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int32()), ("n_words", pa.int32())])))],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
+                    [*[c.take(rows) for c in batch.columns[4:]], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["digest"]), pa.array(out["kept"]), pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int32()), ("n_words", pa.int32())])))],
+                    names=[*batch.schema.names[4:], "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
                 )
             out = {k: [] for k in ("row", "n_words", "n_removed", "kept", "digest", "spans")}
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept_text, spans`` of each row of ``documents`` (``doc_id, text``)."""
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, kept_text, spans`` of each row of ``documents`` (``doc_id, text``), and its columns ``keep``."""
     if not 0 < gram < length:
         raise ValueError("gram must be positive and under length")
-    docs = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    docs = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     blocks = written(docs.select("did", "row_key", "text").mapInArrow(_blocks(length, gram), "did long, row_key long, anchor long, stretch long, first int, n_windows int"), "rlz-blocks")
     # counts are written before they are joined: a join right above a sum shares its exchange, which Spark then can't split at a hot key
     index = written(blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("same")).where("n > 1").select("anchor", "same"), "rlz-index")
@@ -138,5 +138,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     single = windows.join(found, ["anchor", "window"]).select("did", "row_key", "first", F.lit(1).alias("n_windows"))
     spans = whole.unionByName(single).select("did", "row_key", "first", (F.col("first") + F.col("n_windows") - 1 + length).alias("last"))
     spans = spans.distinct().groupBy("did", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    cut = docs.join(spans, ["did", "row_key"], "left").select("did", "row_key", "text", "spans", "doc_id")
-    return cut.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<first: int, n_words: int>>")
+    kept = [f"c{i}" for i in range(len(keep))]
+    types = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    cut = docs.join(spans, ["did", "row_key"], "left").select("did", "row_key", "text", "spans", "doc_id", *kept)
+    out = cut.mapInArrow(_cut, f"doc_id long, {types}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<first: int, n_words: int>>")
+    return out.select("doc_id", *[F.col(c).alias(n) for c, n in zip(kept, keep)], "n_words", "n_removed", "kept_sha256", "kept_text", "spans")
