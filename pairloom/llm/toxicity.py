@@ -3,8 +3,8 @@
 Features are the distinct n-grams (3 to 6 characters, lower case, any characters, hashed to ``1 << log2_bins`` bins) of a whole text. The counts of
 texts with each bin, by label, are taken over every training row with Spark sums. A bin's ratio r is the log of its smoothed share among toxic texts
 over its share among others. Bins whose ratio is well beyond chance (a two-proportion z test) are the features, at most ``max_features`` of
-them, best first; a logistic regression with L2 penalty is then fitted on inputs r * present. It is fitted on at most ``fit_rows`` training rows
-of each label (smallest hash of doc_id first), which bounds the driver's memory: only their feature lists reach it, never texts.
+them, best first; a logistic regression with L2 penalty is then fitted on inputs r * present. It is fitted on about ``fit_rows`` training rows
+of each label (those with the smallest hashes of doc_id; all if there are fewer), which bounds the driver's memory: only their feature lists reach it, never texts.
 
 A score is the logistic of the weighted sum over a whole text, so it needs one pass and no stored text. Few features, all far from chance, keep
 long clean texts from drifting towards either label.
@@ -136,19 +136,13 @@ def learn_toxicity(rows: DataFrame, log2_bins: int = LOG2_BINS, max_features: in
     best = sums.select("bin", z.alias("z"), ratio.alias("r")).where("abs(z) > 4 AND abs(r) > 0.7").orderBy(F.desc(F.abs("z")), "bin").limit(max_features).toPandas()
     index = empty
     index[best["bin"].to_numpy(np.int64)] = np.arange(len(best), dtype=np.int32)
-    ranked = F.row_number().over(_by_label())
-    sample = rows.select("label", "text", F.xxhash64("doc_id").alias("h")).withColumn("k", ranked).where(F.col("k") <= fit_rows) if n1 + n0 > fit_rows else rows
+    share = F.when(F.col("label") == 1, fit_rows / n1).otherwise(fit_rows / n0)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share * (1 << 31))
     lists = sample.select("label", "text").mapInArrow(_present(log2_bins, index), "label int, features array<int>").toPandas()
     weights, intercept = fit_logistic([np.asarray(x, np.int64) for x in lists["features"]], lists["label"].to_numpy(float), best["r"].to_numpy(float))
     return Model(log2_bins, index, weights if len(weights) else np.zeros(1), intercept)
 
 
-def _by_label():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("label").orderBy("h")
-
-
 def _score(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
