@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,10 +90,14 @@ class PieceModel:
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         known = {c for p in self.ids for c in p}
         self.longest = max(map(len, self.ids), default=1)
+        # for each end of a piece, two characters at least, the lengths of the pieces that it ends with, longest first
+        ends = {p[k:] for p in self.ids for k in range(len(p) - 1)}
+        self.tails = {t: tuple(len(t) - k for k in range(len(t) - 1) if t[k:] in self.ids) for t in ends}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         inner = "".join(re.escape(c) for c in sorted(known - {MARK}))
         word = f"[{inner}]+" if inner else "(?!)"
         self.words = re.compile(f"[{inner}{MARK}]+|." if crossing else f"{MARK}*{word}|{MARK}+|.", re.DOTALL)
+        self.special = {i for i, k in enumerate(self.kinds) if k in (UNKNOWN, CONTROL, BYTE)}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()  # known words that do not decode to themselves
@@ -140,7 +145,7 @@ class PieceModel:
         """The ids of distinct words, which share the forward tables of common prefixes."""
         out: dict[str, list[int]] = {}
         last, score = [0], [0.0]  # for each prefix the length of its last piece, and its score
-        before, merging = "", self.type == BPE
+        before, merging, ids = "", self.type == BPE, self.ids
         step = self._last_merged if merging else self._last_best
         for word in sorted(words):
             if merging and (len(word) > LONGEST or word.startswith(MARK * 2)):
@@ -153,30 +158,38 @@ class PieceModel:
             step(word, shared + 1, last, score)
             parts, end = [], len(word)
             while end:
-                parts.append(word[end - last[end] : end])
-                end -= last[end]
+                start = end - last[end]
+                parts.append(word[start:end])
+                end = start
             parts.reverse()
-            out[word] = self.to_ids(parts)
+            try:
+                out[word] = [ids[p] for p in parts]
+            except KeyError:
+                out[word] = self.to_ids(parts)
             before = word
         return out
 
     def _last_merged(self, word: str, first: int, last: list[int], score: list[float]) -> None:
         """Extends ``last`` by the prefixes that end at ``first`` and after."""
-        ids, pairs, longest = self.ids, self.pairs, self.longest
+        tails, pairs = self.tails, self.pairs
         for end in range(first, len(word) + 1):
-            for start in range(max(0, end - longest), end - 1):
-                piece = word[start:end]
-                if piece in ids:
-                    if start:
-                        key = (word[start - last[start] : start], piece)
-                        known = pairs.get(key)
-                        if known is None:
-                            known = self.stands(*key)
-                    else:
-                        known = self.merged_whole(piece)
-                    if known:
-                        last.append(end - start)
-                        break
+            lengths: tuple[int, ...] = ()
+            start = end - 2
+            while start >= 0 and (longer := tails.get(word[start:end])) is not None:
+                lengths = longer
+                start -= 1
+            for n in lengths:
+                start = end - n
+                if start:
+                    key = (word[start - last[start] : start], word[start:end])
+                    known = pairs.get(key)
+                    if known is None:
+                        known = self.stands(*key)
+                else:
+                    known = self.merged_whole(word[:end])
+                if known:
+                    last.append(n)
+                    break
             else:
                 last.append(1)
 
@@ -223,21 +236,21 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
         """The ids of each text as 32-bit little-endian numbers, and whether they decode to it. Words stay known to later calls, ``MAX_WORDS`` at most."""
         found = [self.words.findall(self.marked(t)) if t else [] for t in texts]
-        distinct = {w for ws in found for w in ws}
+        distinct = set().union(*found)
         if len(self.known) + len(distinct) > MAX_WORDS:
             self.known = {w: self.known[w] for w in distinct if w in self.known}
             self.odd &= distinct
         known = self.known
-        for word, ids in self.encode_words([w for w in distinct if w not in known]).items():
-            known[word] = np.array(ids, "<i4").tobytes()
+        for word, ids in self.encode_words(list(distinct.difference(known))).items():
+            known[word] = array("i", ids).tobytes()
             if self.text(ids) != word:
                 self.odd.add(word)
         odd = self.odd
-        return [b"".join([known[w] for w in ws]) for ws in found], [not odd or odd.isdisjoint(ws) for ws in found]
+        return [b"".join(map(known.__getitem__, ws)) for ws in found], [not odd or odd.isdisjoint(ws) for ws in found]
 
     def text(self, ids: list[int]) -> str:
         """What ids stand for, marks included."""
-        if not any(self.kinds[i] != NORMAL for i in ids):
+        if self.special.isdisjoint(ids):
             return "".join([self.pieces[i] for i in ids])
         out, held = [], bytearray()
         for i in [*ids, None]:
