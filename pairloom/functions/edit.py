@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions.classify import error_type_of, position_of
 from pairloom.functions.text import normalise, tokens
@@ -100,9 +101,15 @@ def align(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[str | None, str
     return path
 
 
-_PATH = "array<struct<ref: string, hyp: string>>"
-CHAR_ERRORS = "array<struct<gt_char: string, ocr_char: string, error_type: string, position: string, context: string>>"
-WORD_ERRORS = "array<struct<gt_word: string, ocr_word: string, is_merged: boolean, is_split: boolean>>"
+
+
+def _list_of(texts: str, flags: str = "") -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in texts.split()] + [T.StructField(n, T.BooleanType()) for n in flags.split()]))
+
+
+_PATH = _list_of("ref hyp")
+CHAR_ERRORS = _list_of("gt_char ocr_char error_type position context")
+WORD_ERRORS = _list_of("gt_word ocr_word", "is_merged is_split")
 
 
 @F.pandas_udf(_PATH)

@@ -48,6 +48,10 @@ def training_buckets(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", training_class(F.col("cer_ocr"), F.col("cer_llm"))).rollup("dataset").agg(F.count("*").alias("n"), *[F.count_if(F.col("bucket") == x).alias(x) for x in ("perfect", "degraded", "unchanged", "improved")])
 
 
+def _equal_to(kind: str):
+    return lambda x: x == F.lit(kind)
+
+
 def error_changes(corrections: DataFrame, by: list[str], cumulative: bool = False) -> DataFrame:
     """``by, error_type, baseline, residual, fixed, introduced`` and their rates (null where nothing was wrong before).
 
@@ -56,7 +60,10 @@ def error_changes(corrections: DataFrame, by: list[str], cumulative: bool = Fals
     kinds = [x for x in ERROR_TYPES if x != "unknown"]
     ref = normalise(F.col("gt_text"))
     typed = corrections.withColumn("before", char_errors(ref, normalise(F.col("ocr_text")))).withColumn("after", char_errors(ref, normalise(F.coalesce("corrected_text", "ocr_text"))))
-    of = lambda c: [F.size(F.filter(F.col(c), lambda e, k=k: e["error_type"] == k)).alias(f"{c}_{k}") for k in kinds]
+
+    def of(c: str) -> list:
+        return [F.size(F.filter(F.col(c)["error_type"], _equal_to(k))).alias(f"{c}_{k}") for k in kinds]
+
     wide = typed.select(*by, "ord", *of("before"), *of("after"))
     stacked = wide.select(*by, "ord", F.explode(F.array(*[F.struct(F.lit(k).alias("error_type"), F.col(f"before_{k}").alias("b"), F.col(f"after_{k}").alias("r")) for k in kinds])).alias("x")).select(*by, "ord", "x.*")
     counted = stacked

@@ -11,6 +11,13 @@ from pairloom.functions.text import normalise, tokens
 RUNAWAY = 5.0
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer partitions than there are cores, as edit distances cost much more than a shuffle of small
+    files; larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def scored(pairs: DataFrame, hypothesis: str = "ocr_text", diacritics: bool = True, words: bool = True) -> DataFrame:
     """Adds to pairs (``gt_text`` and a column ``hypothesis``) lengths, distances, rates and whether the hypothesis is a runaway.
 

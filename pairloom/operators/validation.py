@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions.text import ARABIC, tokens
 from pairloom.operators.relational import zipped
@@ -16,7 +17,7 @@ from pairloom.operators.relational import zipped
 def token_validity(pairs: DataFrame, lexicon: DataFrame, by: list[str], letters: str = ARABIC) -> DataFrame:
     """Tokens of reference and hypothesis by position: shares of known words, and of known words that are wrong, unknown words, and both unknown."""
     own = lambda c: F.filter(tokens(F.col(c)), lambda x: x.rlike(letters))
-    zips = pairs.select(*by, F.explode(zipped(own("gt_text"), own("ocr_text"))).alias("z")).select(*by, F.col("z")["0"].alias("gt"), F.col("z")["1"].alias("ocr"))
+    zips = pairs.select(*by, F.explode(zipped(own("gt_text"), own("ocr_text"))).alias("z")).select(*by, F.col("z.a").alias("gt"), F.col("z.b").alias("ocr"))
     known = lexicon.select("word").distinct().withColumn("k", F.lit(True))
     counted = zips.groupBy(*by, "gt", "ocr").agg(F.count("*").alias("n"))  # each distinct pair is looked up once
     looked = counted.join(known.withColumnRenamed("word", "gt").withColumnRenamed("k", "gt_known"), "gt", "left").join(known.withColumnRenamed("word", "ocr").withColumnRenamed("k", "ocr_known"), "ocr", "left")
@@ -60,7 +61,7 @@ def reverted(corrections: DataFrame, lexicon: DataFrame, known_wrong: DataFrame
 _TOKEN = re.compile(r"[^\s،؛؟!-/:-@[-`{-~]+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def put_back(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A text with its n-th word replaced where the n-th mark is no null; only rows with something to put back get here."""
     for texts, marks, letters in batches:
@@ -112,7 +113,7 @@ def cut_runaway(text: str | None, gt: str | None, ocr: str | None, ratio: float,
 def without_runaways(records: DataFrame, ratio: float = 3.0, letters: str = "[؀-ۿ]") -> DataFrame:
     """Adds ``corrected_text_fixed``. Only runaways reach Python."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, gts, ocrs in batches:
             yield pd.Series([cut_runaway(t, g, o, ratio, letters) for t, g, o in zip(texts, gts, ocrs)], dtype="object")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions.text import LINE_CAP, read_ocr, strip
 
@@ -32,7 +33,7 @@ def decoded(content: Column, encoding: str = "utf-8") -> Column:
     return F.make_valid_utf8(content.cast("string")) if encoding.lower().replace("_", "-") == "utf-8" else decode_bytes(content, F.lit(encoding))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_bytes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Other encodings, such as cp1256, which Spark's own decode refuses."""
     for raw, encoding in batches:
@@ -113,7 +114,7 @@ def html_text(raw: Column, unescape: bool = True) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(out, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(html_lib.unescape)
@@ -124,7 +125,7 @@ def docx_text(content: Column) -> Column:
     return docx_runs(content)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def docx_runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def read(raw: bytes | None) -> str | None:
         if raw is None:
