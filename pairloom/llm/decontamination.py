@@ -64,12 +64,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, that no item contaminates."""
-    docs = _keyed(documents)
-    return docs.join(_matches(docs, benchmark).select("did", "row_key").distinct(), ["did", "row_key"], "left_anti").select(*documents.columns)
+    docs = _keyed(documents, F.struct("*").alias("row"))
+    return docs.join(_matches(docs, benchmark).select("did", "row_key").distinct(), ["did", "row_key"], "left_anti").select("row.*")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumns({"did": F.coalesce("doc_id", F.lit(0)).cast("long"), "row_key": F.xxhash64("doc_id", "text")})
+def _keyed(documents: DataFrame, *more: Column) -> DataFrame:
+    return documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text", *more)
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
