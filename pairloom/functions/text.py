@@ -100,16 +100,13 @@ def char_ngrams(c: Column, n: int) -> Column:
 
 def dataset_parts(key: Column) -> Column:
     """``family, font, split`` of a dataset key, the most specific family first."""
-    tail = F.lower(F.element_at(F.split(key, "-"), -1))
-    return (
-        F.when(key.startswith("PATS-A01-"), F.struct(F.lit("PATS-A01").alias("family"), F.regexp_extract(key, "^PATS-A01-(.+)-[^-]+$", 1).alias("font"), tail.alias("split")))
-        .when(key.startswith("KHATT-Paragraph-"), F.struct(F.lit("KHATT-Paragraph"), F.lit(None).cast("string"), tail))
-        .when(key.startswith("KHATT-"), F.struct(F.lit("KHATT"), F.lit(None).cast("string"), tail))
-        .when(key.startswith("Kitab-"), F.struct(F.lit("Kitab"), F.substring(key, 7, 1000), F.lit(None).cast("string")))
-        .when(key.startswith("Yarmouk-"), F.struct(F.lit("Yarmouk"), F.lit(None).cast("string"), tail))
-        .when(key.startswith("Muharaf-"), F.struct(F.lit("Muharaf"), F.lit(None).cast("string"), tail))
-        .when(key.startswith("Historical"), F.struct(F.lit("Historical"), F.nullif(F.substring(key, 12, 1000), F.lit("")), F.lit(None).cast("string")))
-    )
+    tail, none = F.lower(F.element_at(F.split(key, "-"), -1)), F.lit(None).cast("string")
+    parts = lambda family, font, split: F.struct(F.lit(family).alias("family"), font.alias("font"), split.alias("split"))
+    out = F.when(key.startswith("PATS-A01-"), parts("PATS-A01", F.regexp_extract(key, "^PATS-A01-(.+)-[^-]+$", 1), tail))
+    for family in ("KHATT-Paragraph", "KHATT", "Yarmouk", "Muharaf"):
+        out = out.when(key.startswith(f"{family}-"), parts(family, none, tail))
+    out = out.when(key.startswith("Kitab-"), parts("Kitab", F.substring(key, 7, 1000), none))
+    return out.when(key.startswith("Historical"), parts("Historical", F.nullif(F.substring(key, 12, 1000), F.lit("")), none))
 
 
 def trailing_number(c: Column) -> Column:
