@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MAX_MODEL_BYTES, PORTION, LONGEST, MAX_PAIRS, MAX_WORDS = 64 << 20, 4_000_000, 256, 400_000, 400_000
+MAX_MODEL_BYTES, PORTION, LONGEST, MAX_PAIRS, MAX_WORDS, _ODD = 64 << 20, 4_000_000, 256, 400_000, 1_000_000, 1 << 24
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -90,15 +90,16 @@ class PieceModel:
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         known = {c for p in self.ids for c in p}
         self.longest = max(map(len, self.ids), default=1)
-        # for each end of a piece, two characters at least, the lengths of the pieces that it ends with, longest first
+        # for each end of a piece, two characters at least, the lengths and ids of the pieces that it ends with, longest first
         ends = {p[k:] for p in self.ids for k in range(len(p) - 1)}
-        self.tails = {t: tuple(len(t) - k for k in range(len(t) - 1) if t[k:] in self.ids) for t in ends}
+        self.tails = {t: tuple((len(t) - k, self.ids[t[k:]]) for k in range(len(t) - 1) if t[k:] in self.ids) for t in ends}
+        self.single = {p: i for p, i in self.ids.items() if len(p) == 1}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         inner = "".join(re.escape(c) for c in sorted(known - {MARK}))
         word = f"[{inner}]+" if inner else "(?!)"
         self.words = re.compile(f"[{inner}{MARK}]+|." if crossing else f"{MARK}*{word}|{MARK}+|.", re.DOTALL)
         self.special = {i for i, k in enumerate(self.kinds) if k in (UNKNOWN, CONTROL, BYTE)}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()  # known words that do not decode to themselves
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
@@ -122,12 +123,12 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+    def stands(self, left: int, right: int) -> bool:
+        """Whether merging leaves two symbols (ids, or ``_ODD`` plus a code point) as they are; kept in ``pairs``."""
+        a, b = (self.pieces[i] if i < _ODD else chr(i - _ODD) for i in (left, right))
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
         return known
 
     def to_ids(self, parts: list[str]) -> list[int]:
@@ -144,8 +145,8 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of distinct words, which share the forward tables of common prefixes."""
         out: dict[str, list[int]] = {}
-        last, score = [0], [0.0]  # for each prefix the length of its last piece, and its score
-        before, merging, ids = "", self.type == BPE, self.ids
+        last, held = [0], [0]  # for each prefix the length of its last piece, and that piece (BPE) or the prefix's score (unigram)
+        before, merging = "", self.type == BPE
         step = self._last_merged if merging else self._last_best
         for word in sorted(words):
             if merging and (len(word) > LONGEST or word.startswith(MARK * 2)):
@@ -154,48 +155,53 @@ class PieceModel:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
-            step(word, shared + 1, last, score)
-            parts, end = [], len(word)
-            while end:
-                start = end - last[end]
-                parts.append(word[start:end])
-                end = start
-            parts.reverse()
-            try:
-                out[word] = [ids[p] for p in parts]
-            except KeyError:
-                out[word] = self.to_ids(parts)
+            del last[shared + 1 :], held[shared + 1 :]
+            step(word, shared + 1, last, held)
+            ids, end = [], len(word)
+            if merging:
+                while end:
+                    ids.append(held[end])
+                    end -= last[end]
+                ids.reverse()
+            if not merging or max(ids) >= _ODD:
+                parts, end = [], len(word)
+                while end:
+                    parts.append(word[end - last[end] : end])
+                    end -= last[end]
+                ids = self.to_ids(parts[::-1])
+            out[word] = ids
             before = word
         return out
 
-    def _last_merged(self, word: str, first: int, last: list[int], score: list[float]) -> None:
-        """Extends ``last`` by the prefixes that end at ``first`` and after."""
-        tails, pairs = self.tails, self.pairs
+    def _last_merged(self, word: str, first: int, last: list[int], held: list[int]) -> None:
+        """Extends ``last`` and ``held`` by the prefixes that end at ``first`` and after."""
+        tails, pairs, single = self.tails, self.pairs, self.single
         for end in range(first, len(word) + 1):
-            lengths: tuple[int, ...] = ()
+            found: tuple[tuple[int, int], ...] = ()
             start = end - 2
             while start >= 0 and (longer := tails.get(word[start:end])) is not None:
-                lengths = longer
+                found = longer
                 start -= 1
-            for n in lengths:
-                start = end - n
-                if start:
-                    key = (word[start - last[start] : start], word[start:end])
-                    known = pairs.get(key)
+            for n, piece in found:
+                if n < end:
+                    left = held[end - n]
+                    known = pairs.get(left << 32 | piece)
                     if known is None:
-                        known = self.stands(*key)
+                        known = self.stands(left, piece)
                 else:
-                    known = self.merged_whole(word[:end])
+                    known = self.merged_whole(piece)
                 if known:
                     last.append(n)
+                    held.append(piece)
                     break
             else:
                 last.append(1)
+                c = word[end - 1]
+                held.append(single.get(c) or self.ids.get(c, _ODD + ord(c)))
 
     @lru_cache(maxsize=1 << 16)  # noqa: B019  one model lives in a worker
-    def merged_whole(self, piece: str) -> bool:
-        return self.merged(piece) == [piece]
+    def merged_whole(self, piece: int) -> bool:
+        return self.merged(self.pieces[piece]) == [self.pieces[piece]]
 
     def _last_best(self, word: str, first: int, last: list[int], score: list[float]) -> None:
         for end in range(first, len(word) + 1):
