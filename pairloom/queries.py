@@ -520,7 +520,7 @@ def agg26_runaway_stats(spark, d):
 # ---- correctors and prompts
 
 
-@query(f"WITH {SAMPLES} SELECT dataset, count(*) AS n, CAST(sum(greatest(1, length(ocr_text) // 4)) AS BIGINT) AS prompt_tokens, CAST(sum(greatest(1, length(ocr_text) // 4)) AS BIGINT) AS output_tokens, 0.0 AS latency_s, 0 AS failed FROM s GROUP BY dataset")
+@query(f"WITH {SAMPLES} SELECT dataset, count(*) AS n, CAST(sum(greatest(1, length(ocr_text) // 4)) AS BIGINT) AS prompt_tokens, CAST(sum(greatest(1, length(ocr_text) // 4)) AS BIGINT) AS output_tokens, CAST(0 AS DOUBLE) AS latency_s, CAST(0 AS BIGINT) AS failed FROM s GROUP BY dataset")
 def udf02_identity_totals(spark, d):
     return correct.totals(correct.identity(samples(spark, d)), ["dataset"])
 

@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     if isinstance(v, float):
-        return f"{v:.9g}"
+        return f"{v:.7g}"
     if hasattr(v, "asDict"):
         return plain(v.asDict())
     if isinstance(v, dict):
