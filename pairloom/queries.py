@@ -550,7 +550,7 @@ def prm08_prompts(spark, d):
 @query("""WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM documents), i AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT gram, count(*) AS df FROM i GROUP BY gram),
 n AS (SELECT doc_id, greatest(length(text) - 2, 0) AS len FROM documents), t AS (SELECT count(*) AS documents, avg(len) AS mean_length FROM n), a AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM benchmark),
 s AS (SELECT item_id, doc_id, sum(ln(1 + (documents - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean_length))) AS score FROM a JOIN f USING (gram) JOIN i USING (gram) JOIN n USING (doc_id), t GROUP BY ALL),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3""")
 def jon16_bm25(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     totals = docs.agg(F.count("*").alias("documents"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("mean_length"))
@@ -558,7 +558,7 @@ def jon16_bm25(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(x.e, x.e))) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def rag03_dense(spark, d):
     e = table(spark, d, "embeddings")
     return retrieval.dense(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 5)
