@@ -97,6 +97,20 @@ def test_graph_recall_with_small_leaves(spark):
     assert len(found) == 30 and hits >= 0.9 * 300
 
 
+def test_recall_within_a_hot_cluster_of_near_copies(spark):
+    """A third of the rows are distinct vectors within a thousandth of their norm."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((6000, 64)).astype(np.float32)
+    x[:2000] = x[0] + 0.001 * r.standard_normal((2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for row in nearest_of_queries(df).where("query_id < 2000").collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    y = x.astype(float)
+    hits = sum(len(ids & set(np.argsort(((y - y[q]) ** 2).sum(1))[1:11].tolist())) for q, ids in got.items())
+    assert len(got) == 20 and hits >= 0.9 * 200
+
+
 PAGES = "page_id long, url string, html string, same string, revisit boolean"
 
 
