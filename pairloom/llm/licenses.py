@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of words that start a line or a sentence, have the length of some template, and hold one of the template's telling words.
+Candidate blocks are the runs of words, at any place of the text, that hold a telling word and lie within the permitted change of some template: around
+each telling word, stretches with enough words of the template are aligned with it (exact edit distance, free ends), and the nearest run is a block.
 Each block is compressed plainly and with each template as a zstandard raw dictionary; templates are ranked by how much smaller the block becomes. The
 best-ranked template whose wording differs from the block by at most ``MAX_CHANGED`` of its words (exact word edit distance, case and
 punctuation apart) wins; blocks that no template wins are no license. Of overlapping finds in one text the longest stays, then the one with the
@@ -16,6 +17,7 @@ doc_id is kept; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -87,13 +89,44 @@ def differences(a: list[str], b: list[str], most: int) -> int:
     return row[-1]
 
 
+def ends_within(words: list[str], template: list[str], most: int) -> list[tuple[int, int, int]]:
+    """Word edit distance, start and end of the nearest run of ``words`` for each end at which that is at most ``most`` from the template."""
+    out = []
+    row = [(i, 0) for i in range(len(template) + 1)]
+    for j, x in enumerate(words, 1):
+        before, row[0] = row[0], (0, j)
+        for i, y in enumerate(template, 1):
+            (n, at), (left, left_at), (up, up_at) = before, row[i - 1], row[i]
+            before = row[i]
+            n += x != y
+            if left + 1 < n:
+                n, at = left + 1, left_at
+            if up + 1 < n:
+                n, at = up + 1, up_at
+            row[i] = (n, at)
+        if row[-1][0] <= most and row[-1][1] < j:
+            out.append((row[-1][0], row[-1][1], j))
+    return out
+
+
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (in order of their starts) with those that overlap joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in ranges:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, max_changed: float = MAX_CHANGED) -> None:
         self.max_changed = max_changed
         self.words = {k: [w for w, _, _ in plain_words(t)] for k, t in templates.items()}
         self.with_template = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=3)
-        self.lengths = sorted({len(w) for w in self.words.values()})
+        self.vocabulary = {k: set(w) for k, w in self.words.items()}
         self.judge = lru_cache(maxsize=CACHE)(self._judge)
 
     def ranked(self, block: bytes) -> list[tuple[float, str]]:
@@ -111,19 +144,34 @@ class Scanner:
                 return name, n, saved
         return None
 
+    def blocks(self, words: list[str], telling: list[int]) -> set[tuple[int, int]]:
+        """Bounds of the runs of words that hold a telling word (at the places ``telling``) and are within the permitted change of a template."""
+        out = set()
+        for name, template in self.words.items():
+            most, known = int(self.max_changed * len(template)), self.vocabulary[name]
+            span, need = len(template) + most, max(1, len(template) - most)
+            found = []
+            for lo, hi in _joined([(max(0, t - span + 1), min(len(words), t + span)) for t in telling]):
+                hits = [i for i in range(lo, hi) if words[i] in known]
+                close = [(max(lo, y - span + 1), min(hi, x + span)) for x, y in zip(hits, hits[need - 1 :]) if y - x < span]
+                for a, b in _joined(close):
+                    found += [(n, abs(end - start - len(template)), start + a, end + a) for n, start, end in ends_within(words[a:b], template, most)]
+            kept: list[tuple[int, int]] = []
+            for _, _, start, end in sorted(found):
+                k, t = bisect_left(kept, (start, end)), bisect_left(telling, start)
+                apart = (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or end <= kept[k][0])
+                if apart and t < len(telling) and telling[t] < end:
+                    kept.insert(k, (start, end))
+            out.update(kept)
+        return out
+
     def scan(self, text: str) -> list[dict]:
         words = plain_words(text)
-        starts = [i for i, (_, s, _) in enumerate(words) if i == 0 or "\n" in text[words[i - 1][2] : s] or text[words[i - 1][2] - 1 : s].rstrip()[-1:] in (".", ";", ":")]
-        telling = [i for i, (w, _, _) in enumerate(words) if w in TELLING]
-        finds, at = [], 0
-        for i in starts:
-            while at < len(telling) and telling[at] < i:
-                at += 1
-            if at == len(telling):
-                break
-            for n in self.lengths:
-                if telling[at] < i + n and i + n <= len(words) and (won := self.judge(" ".join(w for w, _, _ in words[i : i + n]))):
-                    finds.append({"license": won[0], "first_char": words[i][1], "n_chars": words[i + n - 1][2] - words[i][1], "n_words": n, "changed": won[1], "saved": won[2]})
+        plain = [w for w, _, _ in words]
+        finds = []
+        for i, end in sorted(self.blocks(plain, [i for i, w in enumerate(plain) if w in TELLING])):
+            if won := self.judge(" ".join(plain[i:end])):
+                finds.append({"license": won[0], "first_char": words[i][1], "n_chars": words[end - 1][2] - words[i][1], "n_words": end - i, "changed": won[1], "saved": won[2]})
         kept: list[dict] = []
         for f in sorted(finds, key=lambda f: (-f["n_words"], f["changed"], f["first_char"])):
             if all(f["first_char"] >= k["first_char"] + k["n_chars"] or k["first_char"] >= f["first_char"] + f["n_chars"] for k in kept):

@@ -254,6 +254,16 @@ def test_licenses(spark):
     assert all(scanner.scan(t)[0]["license"] == k and scanner.scan(t)[0]["changed"] == 0 for k, t in TEMPLATES.items())
 
 
+def test_licenses_inside_sentences():
+    scanner, mit = Scanner(), TEMPLATES["MIT"].split(" ")
+    texts = {
+        "This project is released under the MIT License.": "MIT-notice", "Enjoy! Licensed under CC BY 4.0.": "CC-BY-4.0", "The text, licensed under the Apache License, Version 2.0, is ours.": "Apache-2.0-notice",
+        "Note " + " ".join(mit[:-4]): "MIT", "so " + " ".join([*mit[:20], "truly", *mit[20:]]) + " and on": "MIT",
+    }
+    assert [[f["license"] for f in scanner.scan(t)] for t in texts] == [[k] for k in texts.values()]
+    assert [f["first_char"] for f in scanner.scan("Licensed under CC BY 4.0. " * 3)] == [0, 26, 52]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     bench, labels = spark.createDataFrame([], "item_id int, text string"), spark.createDataFrame([], "doc_id long, toxic int")
