@@ -99,6 +99,7 @@ class PieceModel:
         word = f"[{inner}]+" if inner else "(?!)"
         self.words = re.compile(f"[{inner}{MARK}]+|." if crossing else f"{MARK}*{word}|{MARK}+|.", re.DOTALL)
         self.special = {i for i, k in enumerate(self.kinds) if k in (UNKNOWN, CONTROL, BYTE)}
+        self.is_special = np.isin(np.arange(len(self.pieces)), list(self.special))
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()  # known words that do not decode to themselves
@@ -271,7 +272,7 @@ class PieceModel:
         return "".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
-        text = self.text(ids.tolist())
+        text = self.text(ids.tolist()) if self.is_special[ids].any() else "".join(map(self.pieces.__getitem__, ids.tolist()))
         return (text[1:] if self.dummy_prefix and text.startswith(MARK) else text).replace(MARK, " ")
 
 
@@ -309,19 +310,21 @@ def _encode(raw: bytes):
                 bounds = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=bounds[1:])
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                exact = [model.decode(np.frombuffer(x, "<i4")) == (t or "") for x, t in zip(ids, texts)]
                 kept = [c.slice(first, len(texts)) for c in batch.columns[1:]]
                 digests = [hashlib.sha256(x).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(digests), pa.array(same)], names=[*batch.schema.names[1:], "piece_ids", "pieces_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(digests), pa.array(same), pa.array(exact)], names=[*batch.schema.names[1:], "piece_ids", "pieces_sha256", "round_trip", "decodes"])
 
     return encode
 
 
 def encode_texts(rows: DataFrame, keep: list[str], model: bytes | None = None) -> DataFrame:
-    """Columns ``keep`` of ``rows`` with the ids of their column ``text`` (``piece_ids``), a digest of them, and whether they decode to the text."""
+    """Columns ``keep`` of ``rows`` with the ids of their column ``text`` (``piece_ids``), a digest of them, whether they hold all of the marked text
+    (``round_trip``), and whether the decoder makes exactly the text of them (``decodes``; false for a text with marks of its own)."""
     kept = rows.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     types = "".join(f"c{i} {t.dataType.simpleString()}, " for i, t in enumerate(rows.select(*keep).schema))
-    out = kept.mapInArrow(_encode(model or read_model()), f"{types}piece_ids array<int>, pieces_sha256 string, round_trip boolean")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "piece_ids", "pieces_sha256", "round_trip")
+    out = kept.mapInArrow(_encode(model or read_model()), f"{types}piece_ids array<int>, pieces_sha256 string, round_trip boolean, decodes boolean")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "piece_ids", "pieces_sha256", "round_trip", "decodes")
 
 
 def _decode(raw: bytes):

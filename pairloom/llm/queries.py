@@ -94,7 +94,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: number and digest of its pieces, and whether they decode to its text."""
     encoded = encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
-    return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "pieces_sha256", "round_trip")
+    return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "pieces_sha256", F.col("decodes").alias("round_trip"))
 
 
 @query

@@ -254,6 +254,15 @@ def test_licenses(spark):
     assert all(scanner.scan(t)[0]["license"] == k and scanner.scan(t)[0]["changed"] == 0 for k, t in TEMPLATES.items())
 
 
+def test_round_trip_is_by_decoding(spark, tmp_path):
+    from pairloom.llm.queries import QUERIES
+
+    texts = ["a  b", "x ▁y", " lead", None, "", "é 𝒳\n"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.round_trip for x in QUERIES["op8_sentencepiece"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: True}
+
+
 def test_licenses_inside_sentences():
     scanner, mit = Scanner(), TEMPLATES["MIT"].split(" ")
     texts = {
