@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.store import new_path, written
 
 MAGIC = b"\x1f\x8b\x08"
-RANGE_BYTES, SLICE, HEADER_BYTES = 8 << 20, 1 << 16, 1 << 16
+RANGE_BYTES, SLICE = 8 << 20, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, file string, offset long"
 
@@ -92,21 +92,21 @@ def _header(raw: bytes) -> tuple[str, dict[str, str]]:
     return lines[0], {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def is_record(raw: bytes, at: int) -> bool:
-    """Whether a gzip member that inflates to a WARC header starts at ``at``."""
-    z, out = zlib.decompressobj(31), b""
+def is_record(raw: bytes, at: int) -> bool | None:
+    """Whether a gzip member that inflates to a WARC header, however long, starts at ``at``; None if ``raw`` ends within the header."""
+    z, out = zlib.decompressobj(31), bytearray()
     try:
-        while len(out) < HEADER_BYTES and at < len(raw) and not z.eof:
-            out += z.decompress(raw[at : at + 4096], HEADER_BYTES)
+        while at < len(raw) and not z.eof:
+            seen = max(0, len(out) - 3)
+            out += z.decompress(raw[at : at + 4096])
             at += 4096
-            if not b"WARC/1.".startswith(out[:7]) and not out.startswith(b"WARC/1."):
+            if not b"WARC/1.".startswith(out[:7]):
                 return False
-            if b"\r\n\r\n" in out:
-                break
+            if (end := out.find(b"\r\n\r\n", seen)) >= 0:
+                return "content-length" in _header(bytes(out[:end]))[1]
     except zlib.error:
         return False
-    head, _, _ = out.partition(b"\r\n\r\n")
-    return out.startswith(b"WARC/1.") and "content-length" in _header(head)[1]
+    return False if z.eof or len(out) < 7 else None
 
 
 def members(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -117,7 +117,11 @@ def members(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         while more and len(raw) - at < SLICE:  # a header may lie across the end of the range
             more = bool(block := source.read(SLICE))
             raw += block
-        if not is_record(raw, at):
+        while (found := is_record(raw, at)) is None:  # a long header: twice as much each time
+            if not (block := source.read(max(SLICE, len(raw) - at)) if more else b""):
+                raise EOFError(f"record at {start + at} is cut off")
+            raw += block
+        if not found:
             at += 1
             continue
         z, out, k = zlib.decompressobj(31), [], at
@@ -187,5 +191,16 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes ``pages`` to a new folder of archives and reads them back."""
-    return read_warc(write_warc(pages, new_path(pages.sparkSession, "warc"), **options), with_payload=False)
+    """Writes ``pages`` to a new folder of archives and reads them back; an archive of which not all records are read is an error."""
+    manifest = write_warc(pages, new_path(pages.sparkSession, "warc"), **options)
+    back = written(read_warc(manifest, with_payload=False), "warc-read")
+    check_counts(back, manifest)
+    return back
+
+
+def check_counts(back: DataFrame, manifest: DataFrame) -> None:
+    """Raises if the records read (``file``) are not as many as the manifest (``file, records``) has."""
+    read = back.groupBy("file").agg(F.count("*").alias("read"))
+    short = manifest.join(read, "file", "left").where(F.coalesce("read", F.lit(0)) != F.col("records")).head()
+    if short:
+        raise ValueError(f"{short.read or 0} of {short.records} records read from {short.file}")

@@ -155,6 +155,18 @@ def test_reader_is_not_fooled_by_magic_bytes():
         list(warc.members(io.BytesIO(records[1][:-20]), 0, 10))
 
 
+def test_records_with_long_urls_are_read(spark):
+    url = "data:" + "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300_000))
+    urls = ["u", url, "é" * 30_000, "v"]
+    raw = b"".join(warc.gzip_member(warc.record(i, u, b"x", None, False, "2000-01-01T00:00:00Z"), 6) for i, u in enumerate(urls))
+    for cut in (1000, 70_000, len(raw)):
+        found = [warc.parsed(d) for s in range(0, len(raw), cut) for _, d in warc.members(io.BytesIO(raw), s, min(s + cut, len(raw)))]
+        assert [(x["page_id"], x["url"]) for x in found] == list(enumerate(urls))
+    manifest = spark.createDataFrame([("a", 2)], "file string, records long")
+    with pytest.raises(ValueError):
+        warc.check_counts(spark.createDataFrame([("a",)], "file string"), manifest)
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
