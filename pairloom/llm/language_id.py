@@ -8,7 +8,7 @@ Learning reads every training row: partial prototypes of each partition are summ
 of at most ``max_languages`` languages, else an error) reach the driver and the tasks.
 
 Edge cases: null texts and texts without a letter get ``und`` and score 0, as do all texts if nothing could be learned; equal cosines go to the
-smaller language name; rows without lang teach nothing; repeated rows come back, and teach, once each; null doc_id is kept and its row teaches
+smaller language name; a very long text is one sum over its trigrams, whose number bounds the memory; rows without lang teach nothing; repeated rows come back, and teach, once each; null doc_id is kept and its row teaches
 nothing; other columns are ignored.
 """
 
@@ -132,27 +132,28 @@ def _predict(names: list[str], prototypes: np.ndarray):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = TrigramVectors(dims)
         for batch in batches:
-            langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            langs, scores, rejected = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             for rows, keys in _portions(x.as_py() for x in batch.column(0)):
-                v = bundles(keys, np.arange(len(keys)), len(keys), vectors)
+                rejected[rows] = [not len(k) for k in keys]
                 if not names:
                     continue
+                v = bundles(keys, np.arange(len(keys)), len(keys), vectors)
                 cosine = (v @ unit.T) / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
                 best = cosine.argmax(axis=1)
                 for k, i in enumerate(rows):
                     if len(keys[k]):
                         langs[i], scores[i] = names[best[k]], min(1.0, max(0.0, cosine[k, best[k]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=[*batch.schema.names[1:], "lang_pred", "score", "rejected"])
 
     return predict
 
 
 def predict_languages(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``rows`` with ``lang_pred`` and ``score`` of their column ``text``."""
+    """Columns ``keep`` of ``rows`` with ``lang_pred``, ``score`` and ``rejected`` (no letter) of their column ``text``."""
     kept = rows.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     types = ", ".join(f"c{i} {t.dataType.simpleString()}" for i, t in enumerate(rows.select(*keep).schema))
-    out = kept.mapInArrow(_predict(*model), f"{types}, lang_pred string, score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    out = kept.mapInArrow(_predict(*model), f"{types}, lang_pred string, score double, rejected boolean")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -161,7 +162,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def identify_held_out(documents: DataFrame, folds: int = 5) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``; rows of fold 0 (``held_out``) and rows without doc_id are not learned from."""
+    """``doc_id, held_out, lang_pred, score, rejected``; rows of fold 0 (``held_out``) and rows without doc_id are not learned from."""
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(True))
     model = learn_languages(documents.where(~held_out))
     return predict_languages(documents.select("text", "doc_id", held_out.alias("held_out")), model, ["doc_id", "held_out"])

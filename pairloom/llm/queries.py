@@ -48,8 +48,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: size of its shingle set and the smallest doc_id that links reach."""
-    return similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    """One row per document: size of its shingle set, the smallest doc_id that links reach, its class and its number of links."""
+    return similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query

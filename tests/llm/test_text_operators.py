@@ -118,30 +118,80 @@ def test_groups_of_chained_near_copies(spark):
     assert sorted(got, key=str) == brute_groups(texts)
 
 
+def drifting(seed, n_groups, n, lengths=(12, 40, 120)):
+    r = random.Random(seed)
+    texts = []
+    for _ in range(n_groups):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.choice(lengths))]
+        for _ in range(n):
+            w = list(w)
+            for _ in range(max(1, len(w) // r.choice([20, 40, 60]))):
+                w[r.randrange(len(w))] = f"w{r.randrange(10**6)}"
+            texts.append((len(texts), " ".join(w)))
+    return texts
+
+
+@pytest.mark.parametrize("shard", [512, 7])
+def test_links_match_brute_force_at_any_shard_size(spark, monkeypatch, shard):
+    """Numbers of links and pairs of classes, with exact copies and one hot group, however the blocks are cut."""
+    from pairloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "SHARD", shard)
+    texts = drifting(9, 3, 12) + [(1000 + i, "a b c d e f g h " * 3) for i in range(40)]
+    texts += [(2000 + i, " ".join(["hot"] + [f"h{k}" for k in range(100)] + [f"x{i}"])) for i in range(60)] + [(3000, ""), (3001, None), (3002, "one two")]
+    sets = [(i, shingles(t)) for i, t in texts]
+    alike = [(i, j) for a, (i, x) in enumerate(sets) for j, y in sets[:a] if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    n_links = Counter(k for pair in alike for k in pair)
+    got = similar_groups(frame(spark, texts)).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: n_links[i] for i, _ in texts}
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_groups(texts)
+    pairs, member = ngram_join.linked_classes(frame(spark, texts))
+    class_of = {r.doc_id: r.class_id for r in member.collect()}
+    pairs = [(r.class_a, r.class_b) for r in pairs.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert {frozenset(p) for p in pairs} == {frozenset((class_of[i], class_of[j])) for i, j in alike if class_of[i] != class_of[j]}
+
+
 def test_signature_tree_prunes_nothing_that_links():
     import numpy as np
 
-    from pairloom.llm.ngram_join import SignatureTree, dual_traversal
+    from pairloom.llm.ngram_join import SignatureTree, bitmaps, dual_traversal
 
     r = np.random.default_rng(1)
     sets = []
     for _ in range(200):
         base = sets[r.integers(len(sets))] if sets and r.random() < 0.6 else r.choice(10**6, r.integers(5, 90), replace=False)
         sets.append(np.unique(np.concatenate((base[r.random(len(base)) > 0.06], r.choice(10**6, 2)))))
-    bits = np.zeros((len(sets), 32), np.uint64)
-    for i, s in enumerate(sets):
-        for x in s % 2048:
-            bits[i, x >> 6] |= np.uint64(1) << np.uint64(x & 63)
-    size, own = np.array([len(s) for s in sets]), np.arange(len(sets))
+    size = np.array([len(s) for s in sets])
+    bits = bitmaps(np.repeat(np.arange(len(sets)), size), np.concatenate(sets) % 2048, len(sets), 2048)
     links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-    tree = SignatureTree(bits, size, own)
-    found = {(max(a, b), min(a, b)) for i, j in dual_traversal(tree, tree) for a, b in zip(i.tolist(), j.tolist()) if a != b}
-    assert links <= found and len(found) < len(sets) * (len(sets) - 1) / 4
-    p, q = SignatureTree(bits[:90], size[:90], own[:90]), SignatureTree(bits[90:], size[90:], own[90:])
-    across = {(b + 90, a) for i, j in dual_traversal(p, q) for a, b in zip(i.tolist(), j.tolist())}
+    tree = SignatureTree(bits, size, size)
+    found = [(max(a, b), min(a, b)) for _, i, _, j in dual_traversal(tree, tree, False) for a, b in zip(i.tolist(), j.tolist())]
+    assert links <= set(found) and len(found) == len(set(found)) < len(sets) * (len(sets) - 1) / 4
+    p, q = SignatureTree(bits[:90], size[:90], size[:90]), SignatureTree(bits[90:], size[90:], size[90:])
+    across = {(b + 90, a) for _, i, _, j in dual_traversal(p, q, False) for a, b in zip(i.tolist(), j.tolist())}
     assert {x for x in links if x[0] >= 90 > x[1]} <= across
 
 
+@pytest.mark.parametrize("n_tokens", [60, 9000])
+def test_tree_join_is_exact_for_narrow_and_folded_bitmaps(monkeypatch, n_tokens):
+    import numpy as np
+
+    from pairloom.llm import ngram_join
+
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, n_tokens, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(n_tokens) > r.choice([0.0, 0.05, 0.2])], r.integers(0, 2**63, 3, dtype=np.uint64)))) for _ in range(90)]
+    want = {(i, j) for i in range(90) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    for wide in (1 << 27, 1):
+        monkeypatch.setattr(ngram_join, "_WIDE", wide)
+        for shard in (np.zeros(90, int), np.arange(90) % 2):
+            join = ngram_join.TreeJoin([s.tobytes() for s in sets], shard)
+            got = [frozenset((int(join.order[x]), int(join.order[y]))) for ranges in join.links() for a, b, c, d in zip(*(v.tolist() for v in ranges)) for x in range(a, b) for y in range(c, d)]
+            assert len(got) == len(set(got))
+            assert set(got) == {frozenset(p) for p in want if not shard.any() or shard[p[0]] != shard[p[1]]}
+
+
 def brute_leaks(texts, items):
     def grams(w):
         return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([("whole", *w)] if w else [])
