@@ -1,13 +1,14 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-1. language: texts whose language can't be told (no letters) go; a missing lang is filled in with the predicted one.
-2. near_duplicates: of documents that links of word-shingle similarity 0.75 or more join, the one with the smallest doc_id stays.
+1. language: texts without a letter go; a missing lang is filled in with the predicted one (it stays null where nothing could be learned).
+2. near_duplicates: of documents that links of word-shingle similarity 0.75 or more join, the row with the smallest doc_id stays (rows without one come last,
+   and of several texts of one doc_id each is a row of its own).
 3. repeats: words of 35-word windows that start anywhere else go; texts that lose nothing stay as they are, and a text may become empty.
 4. decontamination: documents with a window that is 0.75 or more similar to a benchmark item go.
 5. pieces: SentencePiece ids of each text.
 
-Null and empty texts have no letters and go in stage 1. Rows without doc_id are not compared in stage 2 and stay; in the other stages they are
-treated as any row. Repeated rows of a doc_id become one in stage 2. Columns beyond those of ``documents`` are dropped at the start.
+Null and empty texts have no letters and go in stage 1. Rows without doc_id are treated as any row. Repeated rows become one in stage 2. Columns beyond
+those of ``documents`` are dropped at the start, whatever their names. Very long texts and ties are as in the operators; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.decontamination import without_contaminated
 from pairloom.llm.language_id import UNKNOWN, learn_languages, predict_languages
-from pairloom.llm.ngram_join import similar_groups
+from pairloom.llm.ngram_join import one_of_each
 from pairloom.llm.pieces import encode_texts
 from pairloom.llm.store import table, written
 from pairloom.llm.substring_dedup import remove_repeats
@@ -28,14 +29,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     predicted = predict_languages(docs, learn_languages(docs), COLUMNS)
-    return predicted.where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    told = F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred"))
+    return predicted.where("NOT rejected").withColumn("lang", F.coalesce("lang", told)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.where("doc_id IS NOT NULL")
-    stay = similar_groups(named).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    stay = one_of_each(docs.select("doc_id", "text")).select(F.col("doc_id").alias("stays"), F.col("text_key").alias("stays_key"))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")) & (F.xxhash64("text") == F.col("stays_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
