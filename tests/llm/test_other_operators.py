@@ -45,6 +45,47 @@ def test_tool_calls_are_linked_ordered_and_validated(spark):
     assert all(json.loads(r.json) == json.loads(json.dumps(json.loads(r.json), sort_keys=True)) for r in rows)
 
 
+def test_nested_schemas_odd_field_names_and_one_form_of_numbers(spark):
+    place = {"type": "object", "properties": {"lat": "number", "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["lat"]}
+    schemas = {
+        "go": {"properties": {"user.name": "string", "it's": "integer", "to": place, "mode": {"enum": ["foot", 1.5, None]}, "stops": {"type": "array", "items": place}}, "required": ["user.name"]},
+        "free": {"additionalProperties": True},
+    }
+    cases = [
+        ('{"user.name": "x", "it\'s": 2.0}', "", '{"it\'s":2,"user.name":"x"}'), ('{"user": {"name": 1}}', "user.name: missing; user: unknown", '{"user":{"name":1}}'),
+        ('{"user.name": "x", "to": {"lat": "n", "tags": ["a", 3]}}', "to.lat: not number; to.tags[1]: not string", None), ('{"user.name": "x", "mode": "car"}', "mode: not one of the values", None),
+        ('{"user.name": "x", "mode": 15e-1}', "", '{"mode":1.5,"user.name":"x"}'), ('{"user.name": "x", "mode": null}', "", None),
+        ('{"user.name": "x", "stops": [{"lat": 1}, {"up": 2}, 4]}', "stops[1].lat: missing; stops[1].up: unknown; stops[2]: not object", None),
+        ('{"user.name": "x", "it\'s": 2.5}', "it's: not integer", None), ('{"user.name": "a", "user.name": "b"}', "arguments: not an object", None),
+    ]
+    same = ["100", "1e2", "100.0", "1.0E+2"], ["0", "-0", "0.0", "0e5", "-0.0"], ["0.0000001", "1e-7"], ["1000000000000000000", "1e18"], ["1e40"], ["-2.50", "-2.5"], ["1e-30"]
+    texts = ['"1.0"', '"a\\\\", 1.0 e2"'.replace('", ', '\\", '), '"1e2 \\n\\\\\\" 3.0"']
+    calls = [(1, f"c{i}", i, "go", text, [], "", 0) for i, (text, _, _) in enumerate(cases)]
+    calls += [(2, f"{i}-{k}", k, "free", '{"n": [%s]}' % n, [], "", 0) for i, group in enumerate(same) for k, n in enumerate(group)] + [(3, f"s{i}", i, "free", '{"t": %s, "z": 1.0}' % t, [], "", 0) for i, t in enumerate(texts)]
+    rows = {(r.conv_id, r.call_id): r for r in link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), schemas).collect()}
+    for i, (text, faults, form) in enumerate(cases):
+        got = rows[1, f"c{i}"]
+        assert (got.faults, got.valid) == (faults, not faults)
+        assert form is None or got.json.startswith('{"arguments":' + form + ",")
+    for i, group in enumerate(same):
+        forms = {rows[2, f"{i}-{k}"].json.split(',"call_id"')[0] for k in range(len(group))}
+        assert len(forms) == 1 and json.loads(forms.pop() + "}")["arguments"]["n"] == [float(group[0])]
+    for i, t in enumerate(texts):
+        assert json.loads(rows[3, f"s{i}"].json)["arguments"] == {"t": json.loads(t), "z": 1} and '"z":1}' in rows[3, f"s{i}"].json
+
+
+def test_long_chains_repeated_rows_and_rows_without_identifiers(spark):
+    calls = [(1, f"c{i}", i, "noop", "{}", [f"c{i - 1}"], "", 0) for i in range(12)] + [(1, "r", 5, "noop", "{}", ["c3"], "", 0), (1, "r", 5, "noop", "{}", ["c2"], "", 0)] + [(None, None, 0, "noop", "{}", [], "", 0)] * 3
+    calls += [(9, "same", 1, "noop", "{}", [], "", 0)] * 5 + [(8, "long", 0, "noop", json.dumps({"t": "x\n" * 200_000}), [], "", 0)]
+    results = [(None, "q", 1, "a", "")] * 2 + [(9, "same", 2, "r", "")] * 4
+    rows = link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMAS).collect()
+    assert len(rows) == len(calls) + len(results) - 1
+    assert {r.call_id: r.depth for r in rows if r.conv_id == 1 and r.status == "open"} == {f"c{i}": i for i in range(12)} | {"r": 3}
+    assert sorted((r.kind, r.status) for r in rows if r.conv_id == 9) == [("call", "linked")] + [("call", "repeated")] * 4 + [("result", "repeated")] * 3
+    assert sorted((r.kind, r.status) for r in rows if r.conv_id is None) == [("call", "open")] * 3 + [("result", "orphan")] * 2
+    assert [r.faults for r in rows if r.conv_id == 8] == ["t: unknown"] and len(next(r.json for r in rows if r.conv_id == 8)) > 600_000
+
+
 def test_conversations_and_empty_tables(spark):
     talk = spark.createDataFrame([(1, 0, "system", "be brief", "x"), (1, 1, "user", 'say "hi"\n', "x"), (1, 2, "assistant", "hi", "x"), (2, 0, "user", None, "x"), (3, 5, None, "?", "x")], "conv_id long, turn long, role string, text string, name string")
     rows = {(r.conv_id, r.call_id): r for r in link_tool_calls(*conversation_calls(talk), CHAT_SCHEMAS).collect()}
