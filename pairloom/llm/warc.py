@@ -33,6 +33,7 @@ from pairloom.llm.store import new_path, written
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES, SLICE = 8 << 20, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST, _MANIFEST_NAME = "file string, size long, records long", "manifest"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, file string, offset long"
 
 
@@ -79,12 +80,19 @@ def _writer(folder: str, level: int, date: str):
 
 
 def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, level: int = 6, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """Writes ``pages`` (``page_id, url, html``); returns the manifest ``file, size, records``."""
+    """Writes ``pages`` (``page_id, url, html``); returns the manifest ``file, size, records``, which is also in ``folder`` (see ``read_manifest``)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("same", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
-    latest = rows.groupBy("same").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").select("same", "latest")
+    # written before it is joined: a join right above a sum shares its exchange, which Spark then can't split at a hot payload
+    latest = written(rows.groupBy("same").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").select("same", "latest"), "warc-latest")
     revisit = F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest")) & (F.coalesce(F.octet_length("html"), F.lit(0)) >= min_revisit_bytes)
     linked = rows.join(latest, "same", "left").select("page_id", "url", "html", F.when(revisit, F.col("latest")).alias("refers_to"), revisit.alias("revisit"))
-    return written(linked.mapInArrow(_writer(folder, level, date), "file string, size long, records long"), "warc-manifest")
+    linked.mapInArrow(_writer(folder, level, date), MANIFEST).write.parquet(f"{folder}/{_MANIFEST_NAME}")
+    return read_manifest(pages.sparkSession, folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """What finished attempts wrote to a folder: ``file, size, records``."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/{_MANIFEST_NAME}")
 
 
 def _header(raw: bytes) -> tuple[str, dict[str, str]]:
@@ -186,7 +194,10 @@ def read_warc(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload:
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A manifest of all .warc.gz files below a folder."""
+    """``file, size`` of the .warc.gz files below a folder: those of its manifest if ``write_warc`` made it, as lost attempts leave files behind, else all."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_MANIFEST_NAME}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return read_manifest(spark, folder).select("file", "size")
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), F.col("length").alias("size"))
 
 
