@@ -7,28 +7,32 @@ counts) of 0.75 or more. Items or documents of one to four words are one shingle
 1. Shingles of all documents meet the items' shingles; a window can only be similar enough if that many of its shingles occur in some item of its length,
    so windows below that bound are never formed. The bound drops no match.
 2. Each remaining window, and each item, gets a 64-bit SimHash, shingles weighted by their counts.
-3. Multi-index Hamming blocks: the fingerprint is cut into ``BLOCKS`` bytes; two fingerprints within ``RADIUS`` bits agree in some byte up to
-   RADIUS // BLOCKS bits, and the items' index holds every such variant, so an equi-join on (length, byte's place, byte) finds all of them. At
-   similarity 0.75 fingerprints differ in about 11 bits (standard deviation 3), so 23 leaves out about 3 in 100,000 windows, and a passage has several.
-4. Candidates are verified by their exact weighted similarity; the best window of each document and item stays (the first of equals).
-
-The items' shingles are broadcast only if there are at most ``MAX_BROADCAST`` (counted first); beyond that Spark shuffles. Hits of a shingle are never
+3. Multi-index Hamming blocks: the fingerprint is cut into ``BLOCKS`` parts of 16 bits; two fingerprints within ``RADIUS`` bits agree in some part up to
+   RADIUS // BLOCKS bits, and the items' index holds every such variant, so an equi-join on (length, part's place, part) finds all of them, and
+   unrelated pairs with a probability of 0.8 %.
+4. At similarity 0.75 fingerprints differ in about 11 bits (standard deviation 3), so the radius alone would lose matches. Items of which a document holds as
+   many shingles as a match needs (a sound bound) are therefore candidates of its windows too, wherever the index has not met the two.
+5. Candidates are verified by their exact weighted similarity; the best window of each document and item stays (the first of equals).
+
+The items' shingles and index rows are broadcast only if there are at most ``MAX_BROADCAST`` (counted first); beyond that Spark shuffles. Hits of a shingle are never
 gathered by shingle, only by document, so a passage that a third of the documents hold is spread evenly.
 
-Edge cases: null and empty texts, and such items, match nothing; repeated rows are reported once each; a null doc_id or item_id is kept; an
+Edge cases: null and empty texts, and such items, match nothing; repeated rows are reported once each; a very long text is one array of
+hashes, of which only the windows near enough hits are spelt out; a null doc_id or item_id is kept; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.store import written
 
-WORDS, PERCENT, RADIUS, BLOCKS, MAX_BROADCAST = 5, 75, 23, 8, 200_000
+WORDS, PERCENT, RADIUS, BLOCKS, MAX_BROADCAST = 5, 75, 11, 4, 200_000
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
@@ -52,8 +56,8 @@ def _fingerprint(shingles: str) -> Column:
     )
 
 
-def _byte(k: str) -> str:
-    return f"CAST(shiftrightunsigned(fingerprint, 8 * {k}) & 255L AS INT)"
+def _part(place: str) -> str:
+    return f"CAST(shiftrightunsigned(fingerprint, {64 // BLOCKS} * {place}) & {2 ** (64 // BLOCKS) - 1}L AS INT)"
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -72,6 +76,20 @@ def _keyed(documents: DataFrame, *more: Column) -> DataFrame:
     return documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text", *more)
 
 
+def _met(window: DataFrame, item: DataFrame) -> DataFrame:
+    """Windows and items of one length whose fingerprints are within ``RADIUS`` bits, by the index of the items' blocks."""
+    width = 64 // BLOCKS
+    flips = [sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(width), k)]
+    places = F.expr(f"sequence(0, {BLOCKS - 1})")
+    index = item.select("item", "length", F.col("fingerprint").alias("print_b"), "fingerprint", F.explode(places).alias("place"))
+    index = index.select("item", "length", "print_b", "place", F.explode(F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.expr(_part("place")).bitwiseXOR(x))).alias("part"))
+    if item.count() * BLOCKS * len(flips) <= MAX_BROADCAST:
+        index = F.broadcast(index)
+    probe = window.select("did", "row_key", "length", "first_word", "fingerprint", F.explode(places).alias("place")).withColumn("part", F.expr(_part("place")))
+    near = probe.join(index, ["length", "place", "part"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print_b"))) <= RADIUS)
+    return near.select("did", "row_key", "length", "first_word", "item").distinct()
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item = _shingled(benchmark.select("item_id", "text")).where("n_words > 0").withColumnRenamed("n_words", "length").distinct()
     item = written(item.withColumn("fingerprint", _fingerprint("shingles")).withColumn("item", F.monotonically_increasing_id()), "leak-items")
@@ -91,13 +109,17 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window = _shingled(held).select("did", "row_key", "n_words", "shingles", F.explode("spots").alias("s")).select("did", "row_key", "n_words", "shingles", "s.length", "s.size", F.explode("s.starts").alias("first_word"))
     window = window.withColumn("own", F.expr("slice(shingles, first_word + 1, size)")).select("did", "row_key", "length", "first_word", F.expr("least(length, n_words)").alias("n_words"), "own")
     window = written(window.withColumn("fingerprint", _fingerprint("own")), "leak-windows")
-    near = [x for x in range(256) if bin(x).count("1") <= RADIUS // BLOCKS]
-    variants = F.array(*[F.lit(x) for x in near])
-    index = item.select("item", "length", "fingerprint", F.explode(F.expr(f"sequence(0, {BLOCKS - 1})")).alias("place")).select("item", "length", "place", F.explode(F.transform(variants, lambda x: F.expr(_byte("place")).bitwiseXOR(x))).alias("byte"))
-    probe = window.select("did", "row_key", "length", "first_word", "fingerprint", F.explode(F.expr(f"sequence(0, {BLOCKS - 1})")).alias("place")).withColumn("byte", F.expr(_byte("place")))
-    pairs = probe.join(index, ["length", "place", "byte"]).select("did", "row_key", "length", "first_word", "item").distinct()
+    met = _met(window, item).select("did", "row_key", "length", "first_word", "item")
+    # items of which the document holds enough shingles for a window to match: for c common ones of a and b, 100 c >= PERCENT (a + b - c)
+    own = item.select("item", "length", F.size("shingles").alias("theirs"), F.explode(F.array_distinct("shingles")).alias("shingle"))
+    own = F.broadcast(own) if (item.agg(F.sum(F.size("shingles"))).head()[0] or 0) <= MAX_BROADCAST else own
+    inside = _shingled(held).select("did", "row_key", "n_words", F.explode("shingles").alias("shingle"), F.transform("spots", lambda s: s["length"]).alias("lengths"))
+    counts = inside.join(own, "shingle").where("array_contains(lengths, length)").groupBy("did", "row_key", "n_words", "item", "length", "theirs").agg(F.count("*").alias("n"))
+    enough = counts.where(f"n * {100 + PERCENT} >= {PERCENT} * (greatest(least(length, n_words) - 4, 1) + theirs)").select("did", "row_key", "length", "item")
+    rest = window.select("did", "row_key", "length", "first_word").join(enough, ["did", "row_key", "length"])
+    pairs = met.unionByName(rest).distinct()
     candidate = pairs.join(window, ["did", "row_key", "length", "first_word"]).join(item.select("item", "item_id", F.col("shingles").alias("theirs"), F.col("fingerprint").alias("print_b")), "item")
-    candidate = candidate.withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print_b")))).where(F.col("distance") <= RADIUS)
+    candidate = candidate.withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print_b"))))
     common = F.expr("aggregate(array_distinct(theirs), 0, (s, x) -> s + least(size(filter(theirs, y -> y = x)), size(filter(own, y -> y = x))))")
     alike = candidate.withColumn("common", common).withColumn("all", F.expr("size(theirs) + size(own) - common")).where(F.col("common") * 100 >= PERCENT * F.col("all"))
     alike = alike.select("did", "row_key", "item_id", "item", "first_word", "n_words", (F.col("common") / F.col("all")).alias("similarity"), F.col("distance").cast("int").alias("distance"))
