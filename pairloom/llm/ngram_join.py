@@ -13,8 +13,8 @@ class; the join runs over one representative of each class.
    it is counted for both sides, and a forest of the links gives the components.
 
 Large blocks: a block of more than ``SHARD`` members or ``SHINGLES`` shingles is cut into shards, and each pair of shards is a tree join of its own, so memory
-is bounded at any block size and tasks are even; taken node pairs keep a block of very near copies from being spelt out pair by pair. Routing cuts its
-groups in the same way. Steps around the trees are sums and equi-joins that Spark may split.
+is bounded at any block size and tasks are even; taken node pairs keep a block of very near copies from being spelt out pair by pair. Routing, whose
+members are small, cuts groups of more than ``ROUTED`` in the same way. Steps around the trees are sums and equi-joins that Spark may split.
 
 Edge cases: null and empty texts have empty sets and link with nothing (their component is their own doc_id); fewer than five words are one shingle;
 very long texts count as many shingles and get shards of their own; repeated rows come back once each and link with each other; a null doc_id keeps its
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
@@ -35,7 +35,7 @@ from pairloom.llm.store import written
 from pairloom.llm.words import Chunk, chunks, mix, run_hashes
 
 WORDS, PERCENT = 5, 75
-BANDS, BITS, TOKENS, LEAF, FAN, SHARD, SHINGLES = 40, 2048, 4096, 16, 8, 512, 1 << 19
+BANDS, BITS, TOKENS, LEAF, FAN, SHARD, SHINGLES, ROUTED = 40, 2048, 4096, 16, 8, 512, 1 << 19, 4096
 _NODES, _WIDE, _TASK_BYTES = 1 << 13, 1 << 27, 8 << 20
 _rng = np.random.Generator(np.random.PCG64(75))
 _MUL = _rng.integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -372,11 +372,11 @@ def _pairs_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
 
 
-def _dealt(rows: DataFrame, group: str, shards: Column) -> DataFrame:
-    """Rows of each group with ``low, high, shard``: once for each pair of shards that its own shard (by ``id``) is in."""
-    rows = rows.withColumn("shards", shards.cast("int")).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.expr("sequence(0, shards - 1)")))
-    return rows.withColumn("low", F.least("shard", "with")).withColumn("high", F.greatest("shard", "with"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with ``shards`` of their group, with ``low, high, shard``: once for each pair of shards that their own shard (by ``id``) is in."""
+    one = rows.where("shards = 1").select("*", *[F.lit(0).alias(c) for c in ("shard", "low", "high")])
+    cut = rows.where("shards > 1").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, CAST(shards - 1 AS INT))")))
+    return one.unionByName(cut.withColumn("low", F.least("shard", "with")).withColumn("high", F.greatest("shard", "with")).drop("with"))
 
 
 def _by_group(rows: DataFrame, n_bytes: float, *keys: str) -> DataFrame:
@@ -410,7 +410,8 @@ def _blocks(classes: DataFrame) -> DataFrame:
     # members of a group of four or more that are still apart (the star has all pairs of three)
     labelled = written(member.where("n > 3").select("key", "n", "id").join(label, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "join-labelled")
     mixed = written(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "join-mixed")
-    apart = _dealt(labelled.join(mixed, "key", "left_semi"), "key", F.ceil(F.col("n") / SHARD)).join(classes.select("id", "n_shingles", "bits"), "id")
+    apart = written(labelled.join(mixed, "key", "left_semi").withColumn("shards", F.ceil(F.col("n") / ROUTED)), "join-apart")
+    apart = _dealt(apart).join(classes.select("id", "n_shingles", "bits"), "id")
     apart = apart.select("key", "low", "high", "shard", "id", "component", "n_shingles", "bits")
     chained = _by_group(apart, 1, "key", "low", "high").mapInArrow(_chains, "a long, b long")
     return components(near.unionByName(written(chained, "join-chains")), "join-block")
@@ -426,7 +427,7 @@ def _blocked_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found = docs.select(F.coalesce("doc_id", F.lit(0)).alias("did"), "text_key", "text").join(inside.select("id", "one.did", "one.text_key"), ["did", "text_key"])
     # rows of one class that are repeated give the same text
     sets = written(found.groupBy("id").agg(F.first("text").alias("text")).mapInArrow(_sets, "id long, tokens binary"), "join-sets")
-    dealt = _dealt(inside.select("id", "block", "rows").join(sizes.select("block", "shards"), "block"), "block", F.col("shards")).join(sets, "id")
+    dealt = _dealt(written(inside.select("id", "block", "rows").join(sizes.select("block", "shards"), "block"), "join-sharded")).join(sets, "id")
     return _by_group(dealt.select("block", "low", "high", "shard", "id", "rows", "tokens"), total, "block", "low", "high")
 
 

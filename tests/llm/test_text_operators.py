@@ -137,6 +137,7 @@ def test_links_match_brute_force_at_any_shard_size(spark, monkeypatch, shard):
     from pairloom.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "SHARD", shard)
+    monkeypatch.setattr(ngram_join, "ROUTED", shard)
     texts = drifting(9, 3, 12) + [(1000 + i, "a b c d e f g h " * 3) for i in range(40)]
     texts += [(2000 + i, " ".join(["hot"] + [f"h{k}" for k in range(100)] + [f"x{i}"])) for i in range(60)] + [(3000, ""), (3001, None), (3002, "one two")]
     sets = [(i, shingles(t)) for i, t in texts]
