@@ -113,7 +113,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # items of which the document holds enough shingles for a window to match: for c common ones of a and b, 100 c >= PERCENT (a + b - c)
     own = item.select("item", "length", F.size("shingles").alias("theirs"), F.explode(F.array_distinct("shingles")).alias("shingle"))
     own = F.broadcast(own) if (item.agg(F.sum(F.size("shingles"))).head()[0] or 0) <= MAX_BROADCAST else own
-    inside = _shingled(held).select("did", "row_key", "n_words", F.explode("shingles").alias("shingle"), F.transform("spots", lambda s: s["length"]).alias("lengths"))
+    inside = _shingled(held).select("did", "row_key", "n_words", F.transform("spots", lambda s: s["length"]).alias("lengths"), F.explode_outer("shingles").alias("shingle"))
     counts = inside.join(own, "shingle").where("array_contains(lengths, length)").groupBy("did", "row_key", "n_words", "item", "length", "theirs").agg(F.count("*").alias("n"))
     enough = counts.where(f"n * {100 + PERCENT} >= {PERCENT} * (greatest(least(length, n_words) - 4, 1) + theirs)").select("did", "row_key", "length", "item")
     rest = window.select("did", "row_key", "length", "first_word").join(enough, ["did", "row_key", "length"])
