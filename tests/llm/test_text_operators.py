@@ -319,9 +319,32 @@ def test_licenses_inside_sentences():
     texts = {
         "This project is released under the MIT License.": "MIT-notice", "Enjoy! Licensed under CC BY 4.0.": "CC-BY-4.0", "The text, licensed under the Apache License, Version 2.0, is ours.": "Apache-2.0-notice",
         "Note " + " ".join(mit[:-4]): "MIT", "so " + " ".join([*mit[:20], "truly", *mit[20:]]) + " and on": "MIT",
+        "".join(f"// {line}\n" for line in TEMPLATES["MIT"].replace("\n\n", " ").split(", ")): "MIT", " * " + TEMPLATES["BSD-3-Clause"].replace("\n\n", "\n *\n * "): "BSD-3-Clause",
+        TEMPLATES["ISC"].split("\n\n")[0]: "ISC-part1",
     }
     assert [[f["license"] for f in scanner.scan(t)] for t in texts] == [[k] for k in texts.values()]
     assert [f["first_char"] for f in scanner.scan("Licensed under CC BY 4.0. " * 3)] == [0, 26, 52]
+    own = Scanner({"own": "all your base are belong to us and so are the cats in the hall"})
+    assert [f["license"] for f in own.scan("see: All your base are belong to them and so are the cats in the hall!")] == ["own"]
+
+
+def test_altered_licenses_match_brute_force():
+    """Copies altered within the permitted change are all found, and others not: every run of words against every template."""
+    from pairloom.llm.licenses import differences, plain_words
+
+    r = random.Random(3)
+    templates = {"a": " ".join(f"a{i % 17}" for i in range(30)), "b": " ".join(f"b{r.randrange(12)}" for _ in range(21)), "c": "one two three four five"}
+    scanner = Scanner(templates)
+    for _ in range(120):
+        name = r.choice(list(templates))
+        w = templates[name].split(" ")
+        for _ in range(r.randint(0, 6)):
+            k, what = r.randrange(len(w)), r.randrange(3)
+            w[k : k + 1] = [[], ["zz"], [w[k], "yy"]][what]
+        text = " ".join(["x", *[r.choice(["q", "a1", "b2", "one"]) for _ in range(r.randrange(4))], *w, "y", "Y"])
+        plain = [x for x, _, _ in plain_words(text)]
+        near = {k for k, t in scanner.words.items() for i in range(len(plain)) for j in range(i + 1, len(plain) + 1) if differences(plain[i:j], t, scanner.most(k)) <= scanner.most(k)}
+        assert {f["license"] for f in scanner.scan(text)} == near
 
 
 def test_empty_tables(spark):
