@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MAX_MODEL_BYTES, PORTION, LONGEST, MAX_PAIRS, MAX_WORDS, _ODD = 64 << 20, 4_000_000, 256, 400_000, 1_000_000, 1 << 24
+MAX_MODEL_BYTES, PORTION, LONGEST, MAX_PAIRS, MAX_WORDS, _ODD = 64 << 20, 2_000_000, 256, 400_000, 500_000, 1 << 24
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -255,6 +255,9 @@ class PieceModel:
         odd = self.odd
         return [b"".join(map(known.__getitem__, ws)) for ws in found], [not odd or odd.isdisjoint(ws) for ws in found]
 
+    def forget(self) -> None:
+        self.known, self.odd = {}, set()
+
     def text(self, ids: list[int]) -> str:
         """What ids stand for, marks included."""
         if self.special.isdisjoint(ids):
@@ -304,6 +307,7 @@ def _portions(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 def _encode(raw: bytes):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(raw)
+        model.forget()  # what an earlier task left behind: workers outlive their tasks
         for batch in batches:
             for first, texts in _portions(batch.column(0)):
                 ids, same = model.encode(texts)
@@ -314,6 +318,7 @@ def _encode(raw: bytes):
                 kept = [c.slice(first, len(texts)) for c in batch.columns[1:]]
                 digests = [hashlib.sha256(x).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(digests), pa.array(same), pa.array(exact)], names=[*batch.schema.names[1:], "piece_ids", "pieces_sha256", "round_trip", "decodes"])
+        model.forget()
 
     return encode
 

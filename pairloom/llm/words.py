@@ -7,7 +7,6 @@ Hashes are polynomials modulo 2**64 over random byte values, then mixed; sums of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +32,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEPT_POWERS = 1 << 21
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of ``base`` and of its inverse modulo 2**64. One table of each base is kept, unless it is over ``_KEPT_POWERS`` long."""
+    if (known := _POWERS.get(base)) is not None and len(known[0]) >= n:
+        return known
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(1 << log2, b, dtype=np.uint64)
+        p = np.full(1 << max(10, int(n).bit_length()), b, dtype=np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
+    if n < _KEPT_POWERS:
+        _POWERS[base] = (out[0], out[1])
     return out[0], out[1]
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(10, int(n).bit_length()))
-
-
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
     """The mixed hash of values[start:end] for each pair of bounds."""
     p, inverse = powers(base, len(values) + 1)
