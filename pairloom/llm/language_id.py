@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.letters import letters
+from pairloom.llm.store import tidy
 from pairloom.llm.words import mix
 
 DIMS, MAX_LANGUAGES, UNKNOWN = 1024, 4096, "und"
@@ -38,26 +39,34 @@ class TrigramVectors:
 
     def __init__(self, dims: int) -> None:
         self.dims = dims
+        # rows of ``vectors`` are filled one after another; ``place`` is the row of each key, keys sorted
+        self.vectors = np.empty((_CACHE, dims), np.int8)
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.vectors = np.zeros(0, np.uint64), np.zeros((0, self.dims), np.int8)
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _made(self, keys: np.ndarray) -> np.ndarray:
+        mask = np.uint64((1 << 21) - 1)
+        out = np.ones((len(keys), self.dims), np.int8)
+        for place in range(3):
+            points, at = np.unique((keys >> np.uint64(21 * (2 - place))) & mask, return_inverse=True)
+            out *= np.roll(letter_vectors(points, self.dims), 2 - place, axis=1)[at]
+        return out
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        """``keys`` are distinct and sorted."""
-        if len(self.keys) > _CACHE:
-            self._clear()
+        """``keys`` are distinct and sorted, ``_CACHE`` at most."""
         new = keys[~np.isin(keys, self.keys, assume_unique=True)]
+        if len(self.keys) + len(new) > _CACHE:
+            self._clear()
+            new = keys
         if len(new):
-            mask = np.uint64((1 << 21) - 1)
-            made = np.ones((len(new), self.dims), np.int8)
-            for place in range(3):
-                points, at = np.unique((new >> np.uint64(21 * (2 - place))) & mask, return_inverse=True)
-                made *= np.roll(letter_vectors(points, self.dims), 2 - place, axis=1)[at]
-            all_keys = np.concatenate((self.keys, new))
-            order = np.argsort(all_keys)
-            self.keys, self.vectors = all_keys[order], np.concatenate((self.vectors, made))[order]
-        return self.vectors[np.searchsorted(self.keys, keys)]
+            n = len(self.keys)
+            self.vectors[n : n + len(new)] = self._made(new)
+            known = np.concatenate((self.keys, new))
+            order = np.argsort(known)
+            self.keys, self.place = known[order], np.concatenate((self.place, np.arange(n, n + len(new))))[order]
+        return self.vectors[self.place[np.searchsorted(self.keys, keys)]]
 
 
 def trigrams(symbols: np.ndarray) -> np.ndarray:
@@ -109,7 +118,7 @@ def _learn(dims: int):
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64()))]))
 
-    return learn
+    return tidy(learn)
 
 
 def learn_languages(rows: DataFrame, dims: int = DIMS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
@@ -125,7 +134,8 @@ def learn_languages(rows: DataFrame, dims: int = DIMS, max_languages: int = MAX_
     return names, np.stack([by_lang[x] for x in names]) if names else np.zeros((0, dims))
 
 
-def _predict(names: list[str], prototypes: np.ndarray):
+def _predict(names: list[str], prototypes: np.ndarray, first: int):
+    """Predictions for the texts in column 0, after the columns from ``first`` on."""
     dims = prototypes.shape[1]
     unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)).astype(np.float64)
 
@@ -143,17 +153,19 @@ def _predict(names: list[str], prototypes: np.ndarray):
                 for k, i in enumerate(rows):
                     if len(keys[k]):
                         langs[i], scores[i] = names[best[k]], min(1.0, max(0.0, cosine[k, best[k]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=[*batch.schema.names[1:], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=[*batch.schema.names[first:], "lang_pred", "score", "rejected"])
 
-    return predict
+    return tidy(predict)
 
 
 def predict_languages(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``rows`` with ``lang_pred``, ``score`` and ``rejected`` (no letter) of their column ``text``."""
-    kept = rows.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    types = ", ".join(f"c{i} {t.dataType.simpleString()}" for i, t in enumerate(rows.select(*keep).schema))
-    out = kept.mapInArrow(_predict(*model), f"{types}, lang_pred string, score double, rejected boolean")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+    others = [c for c in keep if c != "text"]  # a text that is kept goes to the workers once
+    kept = rows.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    first = 1 - ("text" in keep)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[first:])
+    out = kept.mapInArrow(_predict(*model, first), f"{types}, lang_pred string, score double, rejected boolean")
+    return out.select(*[F.col("text" if c == "text" else f"c{others.index(c)}").alias(c) for c in keep], "lang_pred", "score", "rejected")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.llm.store import written
+from pairloom.llm.store import tidy, written
 from pairloom.llm.words import Chunk, chunks, mix, run_hashes
 
 WORDS, PERCENT = 5, 75
@@ -388,7 +388,7 @@ def _by_group(rows: DataFrame, n_bytes: float, *keys: str) -> DataFrame:
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    profile = written(docs.mapInArrow(_profiles, "doc_id long, text_key long, n_shingles long, low long, high long, keys array<long>, bits binary"), "join-profile")
+    profile = written(docs.mapInArrow(tidy(_profiles), "doc_id long, text_key long, n_shingles long, low long, high long, keys array<long>, bits binary"), "join-profile")
     sets = profile.where("n_shingles > 0")
     # classes have ids of their own, as doc_id may be null or repeated
     classes = sets.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("did"), "text_key")).alias("one"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
@@ -404,7 +404,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
     member = written(routed.join(groups, "key"), "join-members")
     star = member.select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b")).unionByName(member.select(F.least("id", "most").alias("a"), F.greatest("id", "most").alias("b"))).where("a <> b").distinct()
     one, two = (classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    near = star.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_may_join, "a long, b long")
+    near = star.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(tidy(_may_join), "a long, b long")
     near = written(near, "join-near")
     label = components(near, "join-chained")
     # members of a group of four or more that are still apart (the star has all pairs of three)
@@ -413,7 +413,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
     apart = written(labelled.join(mixed, "key", "left_semi").withColumn("shards", F.ceil(F.col("n") / ROUTED)), "join-apart")
     apart = _dealt(apart).join(classes.select("id", "n_shingles", "bits"), "id")
     apart = apart.select("key", "low", "high", "shard", "id", "component", "n_shingles", "bits")
-    chained = _by_group(apart, 1, "key", "low", "high").mapInArrow(_chains, "a long, b long")
+    chained = _by_group(apart, 1, "key", "low", "high").mapInArrow(tidy(_chains), "a long, b long")
     return components(near.unionByName(written(chained, "join-chains")), "join-block")
 
 
@@ -426,7 +426,7 @@ def _blocked_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     total = sizes.agg(F.sum(8 * F.col("shards") * F.col("tokens"))).head()[0] or 0
     found = docs.select(F.coalesce("doc_id", F.lit(0)).alias("did"), "text_key", "text").join(inside.select("id", "one.did", "one.text_key"), ["did", "text_key"])
     # rows of one class that are repeated give the same text
-    sets = written(found.groupBy("id").agg(F.first("text").alias("text")).mapInArrow(_sets, "id long, tokens binary"), "join-sets")
+    sets = written(found.groupBy("id").agg(F.first("text").alias("text")).mapInArrow(tidy(_sets), "id long, tokens binary"), "join-sets")
     dealt = _dealt(written(inside.select("id", "block", "rows").join(sizes.select("block", "shards"), "block"), "join-sharded")).join(sets, "id")
     return _by_group(dealt.select("block", "low", "high", "shard", "id", "rows", "tokens"), total, "block", "low", "high")
 
@@ -435,7 +435,7 @@ def linked_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links between different sets, as pairs of class representatives ``class_a, class_b`` (smallest doc_id of each; null if it has none), and the
     membership ``doc_id, class_id``."""
     docs, profile, classes = _classes(documents)
-    pairs = _blocked_sets(docs, classes).mapInArrow(_tree_pairs, "a long, b long")
+    pairs = _blocked_sets(docs, classes).mapInArrow(tidy(_tree_pairs), "a long, b long")
     a, b = (classes.select(F.col("id").alias(x), F.col("doc_id").alias(f"class_{x}")) for x in "ab")
     named = classes.select("low", "high", "n_shingles", F.col("doc_id").alias("class_id"))
     return pairs.join(a, "a").join(b, "b").select("class_a", "class_b"), profile.join(named, ["low", "high", "n_shingles"]).select("doc_id", "class_id")
@@ -443,7 +443,7 @@ def linked_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _grouped(documents: DataFrame) -> DataFrame:
     docs, profile, classes = _classes(documents)
-    joined = written(_blocked_sets(docs, classes).mapInArrow(_tree_join, "a long, b long, links long"), "join-links")
+    joined = written(_blocked_sets(docs, classes).mapInArrow(tidy(_tree_join), "a long, b long, links long"), "join-links")
     near = components(joined.where("a <> b").select("a", "b"), "join-component")
     links = joined.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     by_class = written(classes.select("id", "low", "high", "n_shingles", "doc_id", "rows").join(near, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id")), "join-labels")

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.store import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_MODEL_BYTES, PORTION, LONGEST, MAX_PAIRS, MAX_WORDS, _ODD = 64 << 20, 2_000_000, 256, 400_000, 500_000, 1 << 24
@@ -320,7 +322,7 @@ def _encode(raw: bytes):
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(digests), pa.array(same), pa.array(exact)], names=[*batch.schema.names[1:], "piece_ids", "pieces_sha256", "round_trip", "decodes"])
         model.forget()
 
-    return encode
+    return tidy(encode)
 
 
 def encode_texts(rows: DataFrame, keep: list[str], model: bytes | None = None) -> DataFrame:

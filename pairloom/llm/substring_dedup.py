@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import written
+from pairloom.llm.store import tidy, written
 from pairloom.llm.words import chunks, mix, run_hashes
 
 LENGTH, GRAM = 35, 12
@@ -63,7 +63,7 @@ def _blocks(length: int, gram: int):
                     names=["did", "row_key", "anchor", "stretch", "first", "n_windows"],
                 )
 
-    return parse
+    return tidy(parse)
 
 
 def _windows(length: int):
@@ -84,14 +84,19 @@ def _windows(length: int):
                 window, rows = run_hashes(c.hash, at, at + length), pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchors), pa.array(window.view(np.int64)), pa.array(firsts.astype(np.int32))], names=["did", "row_key", "anchor", "window", "first"])
 
-    return look
+    return tidy(look)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(first: int):
+    """Cuts the spans (column 2) out of the texts (column 3); the columns from ``first`` on stay."""
+    return tidy(lambda batches: _without_spans(batches, first))
+
+
+def _without_spans(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = batch.column(3)
+        spans = batch.column(2)
         out: dict[str, list] = {k: [] for k in ("row", "n_words", "n_removed", "kept", "digest", "spans")}
-        for c in chunks(batch.column(2)):
+        for c in chunks(batch.column(3)):
             for d in range(c.n):
                 n = int(c.bounds[d + 1] - c.bounds[d])
                 edges = np.zeros(n + 1, dtype=np.int64)
@@ -111,8 +116,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if out["row"]:
                 rows = pa.array(out.pop("row"))
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.take(rows) for c in batch.columns[4:]], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["digest"]), pa.array(out["kept"]), pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int32()), ("n_words", pa.int32())])))],
-                    names=[*batch.schema.names[4:], "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
+                    [*[c.take(rows) for c in batch.columns[first:]], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["digest"]), pa.array(out["kept"]), pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int32()), ("n_words", pa.int32())])))],
+                    names=[*batch.schema.names[first:], "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
                 )
             out = {k: [] for k in ("row", "n_words", "n_removed", "kept", "digest", "spans")}
 
@@ -121,7 +126,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     """``doc_id, n_words, n_removed, kept_sha256, kept_text, spans`` of each row of ``documents`` (``doc_id, text``), and its columns ``keep``."""
     if not 0 < gram < length:
         raise ValueError("gram must be positive and under length")
-    docs = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    others = [c for c in keep if c != "text"]  # a text that is kept goes to the workers once
+    kept = [f"c{i}" for i in range(len(others))]
+    docs = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(k) for c, k in zip(others, kept)])
     blocks = written(docs.select("did", "row_key", "text").mapInArrow(_blocks(length, gram), "did long, row_key long, anchor long, stretch long, first int, n_windows int"), "rlz-blocks")
     # counts are written before they are joined: a join right above a sum shares its exchange, which Spark then can't split at a hot key
     index = written(blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("same")).where("n > 1").select("anchor", "same"), "rlz-index")
@@ -138,8 +145,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     single = windows.join(found, ["anchor", "window"]).select("did", "row_key", "first", F.lit(1).alias("n_windows"))
     spans = whole.unionByName(single).select("did", "row_key", "first", (F.col("first") + F.col("n_windows") - 1 + length).alias("last"))
     spans = spans.distinct().groupBy("did", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    kept = [f"c{i}" for i in range(len(keep))]
-    types = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    cut = docs.join(spans, ["did", "row_key"], "left").select("did", "row_key", "text", "spans", "doc_id", *kept)
-    out = cut.mapInArrow(_cut, f"doc_id long, {types}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<first: int, n_words: int>>")
-    return out.select("doc_id", *[F.col(c).alias(n) for c, n in zip(kept, keep)], "n_words", "n_removed", "kept_sha256", "kept_text", "spans")
+    cut = docs.join(spans, ["did", "row_key"], "left").select("did", "row_key", "spans", "text", "doc_id", *kept)
+    first = 4 - ("text" in keep)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields[first:])
+    out = cut.mapInArrow(_cut(first), f"{types}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<first: int, n_words: int>>")
+    return out.select("doc_id", *[F.col("text" if c == "text" else kept[others.index(c)]).alias(c) for c in keep], "n_words", "n_removed", "kept_sha256", "kept_text", "spans")
