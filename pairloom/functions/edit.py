@@ -19,13 +19,17 @@ from pyspark.sql import types as T
 from pairloom.functions.classify import error_type_of, position_of
 from pairloom.functions.text import normalise, tokens
 
-_FIRST_SIGN, _MOST_SIGNS = 0x4E00, 35_000
+_FIRST_SIGN, _NEAR_SIGNS, _FAR_SIGN, _MOST_SIGNS = 0x4E00, 35_000, 0x10000, 1 << 20
+_BAND, _BANDED = 64, 256
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Character edit distance; where one text starts the other it is the difference of their lengths, and no table is filled."""
+    """Character edit distance; where one text starts the other it is the difference of their lengths, and no table is filled. Of long texts a band of the
+    table comes first, and the rest only where the distance is beyond it."""
     starts = F.startswith(a, b) | F.startswith(b, a)
-    return F.when(starts, F.abs(F.length(a) - F.length(b))).otherwise(F.levenshtein(a, b))
+    apart = F.abs(F.length(a) - F.length(b))
+    banded = F.coalesce(F.nullif(F.levenshtein(a, b, _BAND), F.lit(-1)), F.levenshtein(a, b))
+    return F.when(starts, apart).when((F.least(F.length(a), F.length(b)) > _BANDED) & (apart <= _BAND), banded).otherwise(F.levenshtein(a, b))
 
 
 def error_rate(errors: Column, length: Column) -> Column:
@@ -39,11 +43,14 @@ def cer(reference: Column, hypothesis: Column, diacritics: bool = True) -> Colum
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of words; null beyond ``_MOST_SIGNS`` distinct words."""
+    """Levenshtein distance of two arrays of words, each distinct word spelt as one character; an error beyond ``_MOST_SIGNS`` distinct words."""
     known = F.array_distinct(F.concat(a, b))
-    sign = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + (_FIRST_SIGN - 1)), 4, "0")), "UTF-16BE")
-    spelt = lambda words: F.array_join(F.transform(words, sign), "")
-    return F.when(a == b, F.lit(0)).when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).when(F.size(known) <= _MOST_SIGNS, F.levenshtein(spelt(a), spelt(b)))
+    near = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + (_FIRST_SIGN - 1)), 4, "0")), "UTF-16BE")
+    far = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + (_FAR_SIGN - 1)), 8, "0")), "UTF-32")
+    spelt = lambda words, sign: F.array_join(F.transform(words, sign), "")
+    by = lambda sign: F.levenshtein(spelt(a, sign), spelt(b, sign))
+    too_many = F.raise_error(F.lit(f"more than {_MOST_SIGNS} distinct words")).cast("int")
+    return F.when(a == b, F.lit(0)).when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).when(F.size(known) <= _NEAR_SIGNS, by(near)).when(F.size(known) <= _MOST_SIGNS, by(far)).otherwise(too_many)
 
 
 def wer(reference: Column, hypothesis: Column, diacritics: bool = True) -> Column:

@@ -21,6 +21,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
 
 
+def rstrip(c: Column) -> Column:
+    return F.regexp_replace(c, "(?U)\\s+$", "")
+
+
 def limit_runs(c: Column, max_run: int = MAX_RUN) -> Column:
     """Runs of more than ``max_run`` equal characters, line breaks apart, cut to ``max_run``."""
     return c if max_run < 1 else F.regexp_replace(c, f"([^\\n])\\1{{{max_run},}}", "$1" * max_run)
@@ -70,7 +74,8 @@ def truncate(c: Column, most: int = 220) -> Column:
 
 
 def collapse_tatweel(c: Column) -> Column:
-    return strip(F.regexp_replace(c, "(?U)(ـ\\s*){3,}", "ـ"))
+    """Three or more tatweels, white space between them or not, become one."""
+    return strip(F.regexp_replace(c, "(?U)ـ\\s*ـ\\s*ـ[ـ\\s]*", "ـ"))
 
 
 def from_first_arabic(c: Column) -> Column:

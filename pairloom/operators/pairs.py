@@ -36,12 +36,12 @@ def spread(c: Column) -> Column:
     return F.coalesce(F.stddev_samp(c), F.lit(0.0))
 
 
-def metrics(rows: DataFrame, by: list[str], words: bool = True) -> DataFrame:
-    """Counts, sums and the mean, deviation, median and 95th percentile of the rates of each group."""
+def metrics(rows: DataFrame, by: list[str], words: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Counts, sums and the mean, deviation, median and 95th percentile of the rates of each group, and the aggregates ``more``."""
     rates = ["cer", "wer"] if words else ["cer"]
     summed = [F.count("*").alias("num_samples"), F.sum("chars").cast("long").alias("num_chars_ref")] + ([F.sum("words").cast("long").alias("num_words_ref")] if words else [])
     summed += [x for r in rates for x in (F.avg(r).alias(r), spread(F.col(r)).alias(f"{r}_std"), F.median(r).alias(f"{r}_median"))]
-    out = rows.groupBy(*by).agg(*summed)
+    out = rows.groupBy(*by).agg(*summed, *more)
     for r in rates:
         out = out.join(percentile(rows, by, r).withColumnRenamed("value", f"{r}_p95"), by)
     return out

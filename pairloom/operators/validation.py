@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.functions.text import ARABIC, tokens
+from pairloom.functions.text import ARABIC, collapse_tatweel, rstrip, tokens
 from pairloom.operators.relational import zipped
 
 
@@ -75,56 +76,60 @@ def put_back(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
         yield pd.Series(out)
 
 
-def loop_start(text: str, ref_len: int, letters: str = "[؀-ۿ]") -> int | None:
-    """Where the second of two close copies of a phrase of 6 to 80 characters starts; the shortest, then the first phrase counts."""
-    zone = text[: max(4 * ref_len, 300)]
-    has = [bool(re.match(letters, c)) for c in zone]
-    ahead = [0]
-    for x in has:
-        ahead.append(ahead[-1] + x)
-    for size in range(6, min(80, len(zone) // 2) + 1):
-        gap = max(5, int(size * 0.3))
-        for start in range(max(0, min(len(zone) - 2 * size, 2 * ref_len))):
-            if ahead[start + size] > ahead[start]:
-                at = zone.find(zone[start : start + size], start + size, start + 2 * size + gap)
-                if at >= 0:
-                    return at
-    return None
-
-
-def cut_runaway(text: str | None, gt: str | None, ocr: str | None, ratio: float, letters: str = "[؀-ۿ]") -> str | None:
-    """A text over ``ratio`` times the reference: a flood of tatweels goes, a loop is cut where it repeats, else twice the reference stays."""
-    if not text:
-        return text
-    ref_len = max(len(gt), 10) if gt else max(len(ocr), 10) if ocr else 50
-    if len(text) <= max(ref_len * ratio, 50):
-        return text
-    work = re.sub(r"(ـ\s*){3,}", "ـ", text).strip()
-    if len(work) < 0.15 * len(text):
-        return work if len(re.findall(letters, work)) >= 3 else ""
-    at = loop_start(work, ref_len, letters)
-    if at:
-        head = work[:at].rstrip()
-        if len(head) >= 3 and re.search(letters, head):
-            return head
-    return work[: 2 * ref_len].rstrip()
+# Shortest and longest phrase of a loop, the gap allowed between two copies (characters, share of the phrase), how far loops are looked for
+# (times the reference, characters), and where a first copy must begin (times the reference).
+PHRASE, GAP, ZONE, FIRST_COPY = (6, 80), (5, 0.3), (4, 300), 2
+
+
+def second_copies(text: str, ref_len: int, letter: re.Pattern) -> int | None:
+    """Where a text begins to repeat itself: the second copy of the shortest phrase with a letter that comes twice in a row, the first of equally short ones.
+
+    One row of run lengths for each lag: characters from i on equal those ``lag`` further on for ``run[i]`` places, so a phrase of any length up
+    to that is repeated there."""
+    zone = text[: max(ZONE[0] * ref_len, ZONE[1])]
+    points = np.frombuffer(zone.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, sizes = len(points), np.arange(PHRASE[0], PHRASE[1] + 1)
+    reach = sizes + np.maximum(GAP[0], (sizes * GAP[1]).astype(int))  # the greatest lag of each phrase length
+    is_letter = np.fromiter((bool(letter.match(c)) for c in zone), bool, n)
+    place = np.arange(n)
+    next_letter = np.minimum.accumulate(np.where(is_letter, place, 2 * n + PHRASE[1])[::-1])[::-1] if n else place
+    best: tuple[int, int, int] | None = None
+    for lag in range(PHRASE[0], min(int(reach[-1]), n - PHRASE[0]) + 1):
+        differs = np.flatnonzero(points[:-lag] != points[lag:])
+        start = place[: n - lag]
+        run = np.append(differs, n - lag)[np.searchsorted(differs, start)] - start
+        size = np.maximum(max(PHRASE[0], int(sizes[np.searchsorted(reach, lag)])), next_letter[: n - lag] - start + 1)
+        good = np.flatnonzero((size <= np.minimum(run, min(lag, PHRASE[1], n // 2))) & (start < np.minimum(n - 2 * size, FIRST_COPY * ref_len)))
+        if len(good):
+            k = good[np.lexsort((good, size[good]))[0]]
+            best = min(best or (n, n, n), (int(size[k]), int(k), lag))
+    return None if best is None else best[1] + best[2]
 
 
 def without_runaways(records: DataFrame, ratio: float = 3.0, letters: str = "[؀-ۿ]") -> DataFrame:
-    """Adds ``corrected_text_fixed``. Only runaways reach Python."""
-
-    @F.pandas_udf(T.StringType())
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, gts, ocrs in batches:
-            yield pd.Series([cut_runaway(t, g, o, ratio, letters) for t, g, o in zip(texts, gts, ocrs)], dtype="object")
-
-    ref = F.when(F.coalesce(F.length("gt_text"), F.lit(0)) > 0, F.greatest(F.length("gt_text"), F.lit(10))).when(F.coalesce(F.length("ocr_text"), F.lit(0)) > 0, F.greatest(F.length("ocr_text"), F.lit(10))).otherwise(50)
-    long = F.length("corrected_text") > F.greatest(ref * ratio, F.lit(50.0))
-    marked = records.withColumn("_long", F.coalesce(long, F.lit(False)))
+    """Adds ``corrected_text_fixed``: of texts over ``ratio`` times the reference a flood of tatweels goes, a loop is cut where it repeats, else twice the reference stays.
+
+    The cases are expressions; only the search for loops, in runaways that are no flood, is a Python function."""
+
+    @F.pandas_udf(T.IntegerType())
+    def repeats_at(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        letter = re.compile(letters)
+        for texts, lengths in batches:
+            yield pd.Series([second_copies(t, int(n), letter) for t, n in zip(texts, lengths)], dtype="Int32")
+
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    ref = F.when(size("gt_text") > 0, F.greatest(size("gt_text"), F.lit(10))).when(size("ocr_text") > 0, F.greatest(size("ocr_text"), F.lit(10))).otherwise(50)
+    text, work = F.col("corrected_text"), F.col("_work")
+    marked = records.withColumn("_ref", ref).withColumn("_long", size("corrected_text") > F.greatest(F.col("_ref") * ratio, F.lit(50.0)))
+    marked = marked.withColumn("_work", F.when(F.col("_long"), collapse_tatweel(text))).withColumn("_flood", F.coalesce(F.length(work) < 0.15 * F.length(text), F.lit(False)))
+    flooded = F.when(F.length(F.regexp_replace(work, f"(?!{letters})[\\s\\S]", "")) >= 3, work).otherwise(F.lit(""))
+    plain = marked.where("NOT _long OR _flood").withColumn("corrected_text_fixed", F.when(F.col("_flood"), flooded).otherwise(text))
     # two branches, as Spark works a Python function out for every row of its projection
-    plain = marked.where("NOT _long").withColumn("corrected_text_fixed", F.col("corrected_text"))
-    cutted = marked.where("_long").withColumn("corrected_text_fixed", cut("corrected_text", "gt_text", "ocr_text"))
-    return plain.unionByName(cutted).drop("_long")
+    looped = marked.where("_long AND NOT _flood").withColumn("_at", repeats_at(work, F.col("_ref")))
+    head = rstrip(F.substring(work, F.lit(1), F.coalesce("_at", F.lit(0))))
+    whole = (F.length(head) >= 3) & head.rlike(letters)
+    cut = looped.withColumn("corrected_text_fixed", F.when(whole, head).otherwise(rstrip(F.substring(work, F.lit(1), 2 * F.col("_ref"))))).drop("_at")
+    return plain.unionByName(cut).drop("_long", "_ref", "_work", "_flood")
 
 
 def runaway_stats(fixed: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ coalesce(stddev_samp(cer), 0) AS cer_std, median(cer) AS cer_median, list_sort(l
 SELECT dataset, num_samples, num_chars_ref, num_words_ref, cer, cer_std, cer_median, v[CAST(least(num_samples - 1, floor(num_samples * 0.95)) + 1 AS INTEGER)] AS cer_p95 FROM a""")
 def agg01_metrics(spark, d):
     rows = pairs.scored(samples(spark, d), words=False).withColumn("words", F.size(text.tokens(F.col("ref"))))
-    m = pairs.metrics(rows, ["dataset"], words=False).join(rows.groupBy("dataset").agg(F.sum("words").cast("long").alias("num_words_ref")), "dataset")
+    m = pairs.metrics(rows, ["dataset"], words=False, more=(F.sum("words").cast("long").alias("num_words_ref"),))
     return m.select("dataset", "num_samples", "num_chars_ref", "num_words_ref", "cer", "cer_std", "cer_median", "cer_p95")
 
 

@@ -87,11 +87,32 @@ def test_reverted_words(spark):
 
 
 def test_runaway_texts(spark):
-    cut = lambda t, g="نص": validation.cut_runaway(t, g, None, 3.0)
-    assert cut("نص") == "نص" and cut(None) is None and cut("ـ" * 500) == "" and cut("مرحبا" + "ـ " * 400) == "مرحباـ"
     loop = "بداية النص " + "جملة مكررة هنا " * 20
-    assert cut(loop, "بداية النص جملة").startswith("بداية النص") and len(cut(loop, "بداية النص جملة")) < 40
-    assert cut("abc def " * 40, "x" * 20) == ("abc def " * 40)[:40].rstrip()
+    cases = [("نص", "نص"), (None, "نص"), ("ـ" * 500, "نص"), ("مرحبا" + "ـ " * 400, "نص"), (loop, "بداية النص جملة"), ("abc def " * 40, "x" * 20), ("ـ" * 30_000 + " x", "نص")]
+    rows = spark.createDataFrame([(i, g, None, t) for i, (t, g) in enumerate(cases)], "i int, gt_text string, ocr_text string, corrected_text string")
+    cut = [r.corrected_text_fixed for r in validation.without_runaways(rows).orderBy("i").collect()]
+    assert cut[:4] == ["نص", None, "", "مرحباـ"] and cut[4].startswith("بداية النص") and len(cut[4]) < 40
+    assert cut[5] == ("abc def " * 40)[:40].rstrip() and cut[6] == ""
+
+
+def test_second_copies_match_their_definition():
+    import re
+
+    r, letter = random.Random(4), re.compile("[a-f]")
+    for _ in range(300):
+        n = r.choice([10, 20])
+        unit = "".join(r.choice("abc .") for _ in range(r.randint(2, 40)))
+        text = "".join(r.choice("abcdef 12") for _ in range(r.randint(0, 30))) + "".join(unit + "x" * r.choice([0, 0, 1, 6]) for _ in range(r.randint(1, 5)))
+        zone, want = text[: max(4 * n, 300)], None
+        for size in range(6, min(80, len(zone) // 2) + 1):
+            for i in range(max(0, min(len(zone) - 2 * size, 2 * n))):
+                lags = [d for d in range(size, size + max(5, int(0.3 * size)) + 1) if len(zone) >= i + d + size and zone[i : i + size] == zone[i + d : i + d + size]]
+                if want is None and lags and letter.search(zone[i : i + size]):
+                    want = i + lags[0]
+        assert validation.second_copies(text, n, letter) == want
+
+
+def test_runaway_numbers(spark):
     rows = spark.createDataFrame([("x" * 20, "o", "abc def " * 40), ("g", "o", "fine"), ("g", "o", None), ("نص", "o", "ـ" * 500)], "gt_text string, ocr_text string, corrected_text string")
     s = validation.runaway_stats(validation.without_runaways(rows)).first()
     assert (s.total, s.fixed, s.unchanged, s.emptied) == (4, 1, 2, 1)
