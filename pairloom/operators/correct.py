@@ -1,4 +1,4 @@
-"""Correctors: a batch interface that never raises, a native identity, and resumable application (UDF01-UDF06, FN21, SRC26, ORC02, ORC04)."""
+"""Correctors: a batch interface that never raises, a native identity, and resumable application (UDF01, UDF02, UDF04-UDF06, ORC02, ORC04)."""
 
 from __future__ import annotations
 
@@ -41,8 +41,30 @@ def identity(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", "dataset", "ocr_text", text.alias("corrected_text"), token_estimate(text).alias("prompt_tokens"), token_estimate(text).alias("output_tokens"), F.lit(0.0).alias("latency_s"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
 
 
+def answered(model: Callable[[list[str]], list[str | None]], texts: list[str], retries: int) -> list[tuple[str | None, str | None]]:
+    """An answer or an error for each text: the batch is asked first, then every text without an answer that is not blank alone, ``retries`` times."""
+    out: list[tuple[str | None, str | None]] = [(None, None)] * len(texts)
+
+    def ask(places: list[int]) -> None:
+        try:
+            answers = list(model([texts[k] for k in places]))
+        except Exception as e:  # noqa: BLE001  the contract of a corrector
+            answers, error = [None] * len(places), str(e)[:500]
+        else:
+            error = None
+        for k, x in zip(places, answers):
+            fine = x is not None and (x.strip() or not texts[k].strip())
+            out[k] = (x, None) if fine else (None, error or "blank answer")
+
+    ask(list(range(len(texts))))
+    for _ in range(retries):
+        for k in [k for k, (x, _) in enumerate(out) if x is None]:
+            ask([k])
+    return out
+
+
 def corrected(rows: DataFrame, name: str = "mock", batch: int = 64, retries: int = 2, arabic_only: bool = True) -> DataFrame:
-    """Corrections of ``rows`` (``sample_id, dataset, ocr_text``) by a registered backend. A failed or blank answer is asked again, then stands as the OCR text with success false."""
+    """Corrections of ``rows`` (``sample_id, dataset, ocr_text``) by a registered backend. A failed or blank answer is asked again by itself, then stands as the OCR text with success false."""
     factory = BACKENDS[name]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,19 +72,13 @@ def corrected(rows: DataFrame, name: str = "mock", batch: int = 64, retries: int
         for frame in frames:
             for first in range(0, len(frame), batch):
                 part = frame.iloc[first : first + batch].copy()
-                texts, answers, error = part["ocr_text"].fillna("").tolist(), None, None
-                began = time.time()
-                for _ in range(retries + 1):
-                    try:
-                        answers, error = model(texts), None
-                        break
-                    except Exception as e:  # noqa: BLE001  the contract of a corrector
-                        error = str(e)[:500]
-                part["corrected_text"] = answers if answers is not None else texts
+                texts, began = part["ocr_text"].fillna("").tolist(), time.time()
+                answers = answered(model, texts, retries)
+                part["corrected_text"] = [t if x is None else x for t, (x, _) in zip(texts, answers)]
                 part["prompt_tokens"] = [max(1, len(t) // 4) for t in texts]
                 part["output_tokens"] = [max(1, len((a or "").split())) for a in part["corrected_text"]]
                 part["latency_s"] = (time.time() - began) / max(1, len(part))
-                part["success"], part["error"] = answers is not None, error
+                part["success"], part["error"] = [x is not None for x, _ in answers], [e for _, e in answers]
                 yield part[["sample_id", "dataset", "ocr_text", "corrected_text", "prompt_tokens", "output_tokens", "latency_s", "success", "error"]]
 
     out = rows.select("sample_id", "dataset", "ocr_text").mapInPandas(run, SCHEMA)

@@ -1,4 +1,4 @@
-"""Error tables from alignments: exploded errors, confusion matrices, taxonomies, word pairs (ALN03-ALN05, AGG09-AGG12, AGG21, FLT13-FLT16, TOP01, TOP03, JON14, JON15, KB01-KB08)."""
+"""Error tables from alignments: exploded errors, confusion matrices, taxonomies, word pairs (ALN03-ALN05, AGG09-AGG12, AGG21, FLT13-FLT16, TOP01, TOP03, JON09, JON15, KB02-KB05)."""
 
 from __future__ import annotations
 

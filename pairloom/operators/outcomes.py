@@ -1,4 +1,4 @@
-"""Before and after a correction: outcomes, impact, reports, training buckets (AGG05, AGG13-AGG15, AGG18-AGG22, AGG30-AGG35, TOP02, TOP04, TOP05)."""
+"""Before and after a correction: outcomes, impact, reports, training buckets (AGG05, AGG13-AGG15, AGG19-AGG22, AGG27, AGG30-AGG33, AGG35, TOP02, TOP05, KB06)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.classify import CATEGORIES, ERROR_TYPES, insight_kind, outcome, sample_category, training_class
-from pairloom.functions.edit import cer, char_errors
+from pairloom.functions.edit import cer, char_errors, distance, error_rate
 from pairloom.functions.text import normalise
 
 
@@ -20,7 +20,10 @@ def compared(corrections: DataFrame) -> DataFrame:
     if "success" in rows.columns:
         rows = rows.where(F.coalesce("success", F.lit(True)))
     rows = rows.where(F.coalesce(F.col("gt_text"), F.lit("")) != "")
-    rows = rows.withColumn("cer_ocr", cer(F.col("gt_text"), F.col("ocr_text"))).withColumn("cer_llm", cer(F.col("gt_text"), F.col("corrected_text")))
+    # each text is normalised once, and a text that was left as it was is not compared again
+    rows = rows.withColumn("_g", normalise(F.col("gt_text"))).withColumn("_o", normalise(F.col("ocr_text"))).withColumn("_c", normalise(F.col("corrected_text")))
+    rows = rows.withColumn("cer_ocr", error_rate(distance(F.col("_g"), F.col("_o")), F.length("_g")))
+    rows = rows.withColumn("cer_llm", F.when(F.col("_c") == F.col("_o"), F.col("cer_ocr")).otherwise(error_rate(distance(F.col("_g"), F.col("_c")), F.length("_g")))).drop("_g", "_o", "_c")
     rows = rows.withColumn("cer_delta", F.col("cer_llm") - F.col("cer_ocr")).withColumn("outcome", outcome(F.col("cer_ocr"), F.col("cer_llm")))
     return rows.withColumn("category", sample_category(F.col("ocr_text"), F.col("corrected_text"), F.col("gt_text"), F.col("cer_ocr"), F.col("cer_llm")))
 

@@ -1,4 +1,4 @@
-"""Pairs of texts, scored (SRC09, FLT01-FLT05, FLT17, AGG06) and the summaries over them (AGG01-AGG08, AGG19-AGG20, AGG26, AGG28)."""
+"""Pairs of texts, scored (FLT01, FLT02, FLT05) and the summaries over them (AGG01-AGG08, FLT17)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Prompt records as Column expressions (PRM01-PRM08, PRM10, KB04, KB07-KB10).
+"""Prompt records as Column expressions (PRM01-PRM08, PRM10, KB04, KB07).
 
 Wordings are parameters with plain defaults; sections keep the tags by which injection finds its place."""
 
@@ -70,7 +70,7 @@ def with_prompts(rows: DataFrame, base: str = BASE) -> DataFrame:
     """Adds ``messages`` and ``prompt_used`` by the column ``prompt_type``; a type whose contexts are all blank, or an unknown one, is zero-shot.
 
     Contexts are read from ``confusion_context, insights_context, word_pairs_context, overcorrection_context, retrieved_sentences,
-    retrieved_words, few_shot_examples``; columns that are not there are blank."""
+    retrieved_words, few_shot_examples, crafted_prompt``; columns that are not there are blank."""
     col = lambda c: F.col(c) if c in rows.columns else F.lit("")
     root = F.lit(base)
     confusion = section("confusion", col("confusion_context"))
@@ -80,7 +80,10 @@ def with_prompts(rows: DataFrame, base: str = BASE) -> DataFrame:
     kind = F.col("prompt_type")
     added = F.when(kind == "ocr_aware", confusion).when(kind == "self_reflective", own).when(kind == "combined", both).when(kind == "rag", found)
     system = inject_examples(inject(root, F.coalesce(added, F.lit(""))), F.coalesce(col("few_shot_examples"), F.lit("")))
-    return rows.withColumn("prompt_used", F.when(added.isNotNull(), kind).otherwise("zero_shot")).withColumn("messages", messages(system, F.col("ocr_text")))
+    # prompts that were written elsewhere stand for the whole system text
+    given = F.when(kind.isin("crafted", "meta") & ~blank(col("crafted_prompt")), col("crafted_prompt"))
+    system = F.coalesce(given, system)
+    return rows.withColumn("prompt_used", F.when(added.isNotNull() | given.isNotNull(), kind).otherwise("zero_shot")).withColumn("messages", messages(system, F.col("ocr_text")))
 
 
 def pair_lines(pairs: DataFrame, by: list[str], n: int = 15) -> DataFrame:

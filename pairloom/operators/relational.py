@@ -1,4 +1,4 @@
-"""Joins, set operations, limits and windows of the data preparation steps (JON01-JON07, JON10-JON13, JON18-JON20, SET01-SET06, WIN01-WIN07, TOP06-TOP09, SRC22, SRC24, SRC26)."""
+"""Joins, set operations, limits and windows of the data preparation steps (JON01-JON07, JON10-JON13, JON18-JON20, SET01-SET06, WIN02, WIN07, TOP07, SRC22)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Deterministic samples and leakage-safe splits (SMP01-SMP11, FLT06-FLT12).
+"""Deterministic samples and leakage-safe splits (SMP01, SMP05-SMP11, FLT06, FLT11).
 
 Order is that of the md5 of seed and id, which any engine can repeat; no rows are collected."""
 

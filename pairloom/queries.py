@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import classify, text
 from pairloom.operators.pairs import spread_out
-from pairloom.operators import correct, errors, outcomes, pairs, prompts, relational, retrieval, sampling, stats, validation
+from pairloom.operators import correct, errors, knowledge, outcomes, pairs, prompts, relational, retrieval, sampling, selection, stats, validation
 from pairloom.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,3 +623,73 @@ def str01_windowed_counts(spark, d):
     from pairloom.streaming.resume import windowed_counts
 
     return windowed_counts(table(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
+
+
+# ---- picks and knowledge
+
+_PICK = "md5('42:' || sample_id)"
+_FIT = "length(gt_text) BETWEEN 10 AND 200 AND length(ocr_text) <= 5.0 * greatest(length(gt_text), 1)"
+_BUCKET = """CASE WHEN length_ratio > 5 THEN 'runaway' WHEN cer_ocr = 0 AND cer_llm = 0 THEN 'correct_ocr' WHEN cer_ocr < 0.02::DOUBLE AND cer_delta > 0.005::DOUBLE THEN 'false_positive' WHEN cer_ocr >= 0.02::DOUBLE AND cer_delta > 0.01::DOUBLE THEN 'degraded_real'
+WHEN abs(cer_delta) <= 0.005::DOUBLE AND cer_ocr > 0.05::DOUBLE THEN 'unfixed_hard' WHEN cer_llm = 0 AND cer_ocr > 0 THEN 'perfect' WHEN cer_delta < -0.005::DOUBLE THEN 'improved' END"""
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id FROM s WHERE {_FIT}")
+def flt08_fit_for_examples(spark, d):
+    return selection.fit_for_examples(samples(spark, d), 10, 200).select("sample_id")
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id, CAST(regexp_extract(sample_id, '_([0-9]+)$', 1) AS BIGINT) IN (SELECT regionkey FROM (SELECT DISTINCT r_regionkey AS regionkey FROM region)) AS pinned FROM s")
+def flt10_pinned(spark, d):
+    rows, numbers = samples(spark, d).select("sample_id"), table(spark, d, "region").select(F.col("r_regionkey").alias("n"))
+    return selection.by_number(rows, "sample_id", numbers).withColumn("pinned", F.lit(True)).unionByName(selection.by_number(rows, "sample_id", numbers, False).withColumn("pinned", F.lit(False)))
+
+
+@query(f"""WITH {D}, m AS (SELECT dataset, count(*) FILTER (WHERE chars > 0 AND length_ratio <= 5) AS n, coalesce(avg(cer) FILTER (WHERE chars > 0 AND length_ratio <= 5), 0) AS cer FROM d GROUP BY dataset)
+SELECT dataset, n, cer FROM m UNION ALL SELECT NULL, CAST(sum(n) AS BIGINT), avg(cer) FROM m""")
+def agg28_mean_over_normal(spark, d):
+    return selection.mean_over_normal(pairs.scored(samples(spark, d), words=False), "dataset")
+
+
+@query(f"""WITH {C}, t AS (SELECT sample_id, cer_ocr, cer_delta, CASE WHEN cer_llm = 0 THEN 'perfect' WHEN cer_delta > 0.005::DOUBLE THEN 'degraded' WHEN abs(cer_delta) <= 0.005::DOUBLE THEN 'unchanged' ELSE 'improved' END AS k FROM q)
+SELECT sample_id, 0 AS turn, CAST(row_number() OVER (ORDER BY cer_delta DESC, sample_id) AS INTEGER) AS rank FROM t WHERE k = 'degraded' QUALIFY rank <= 30
+UNION ALL SELECT sample_id, 1 AS turn, CAST(row_number() OVER (ORDER BY cer_ocr DESC, sample_id) AS INTEGER) AS rank FROM t WHERE k = 'unchanged' QUALIFY rank <= 30""")
+def top04_degraded_then_hard(spark, d):
+    return selection.degraded_then_hard(outcomes.compared(samples(spark, d)).select("sample_id", "cer_ocr", "cer_llm", "cer_delta"), 30).select("sample_id", "turn", "rank")
+
+
+@query("""WITH r AS (SELECT source, doc_id // 4 AS slot, 1.0 * (n_chars % 100) / 200 AS cer, doc_id FROM documents), f AS (SELECT count(DISTINCT source) AS n FROM r),
+c AS (SELECT slot, avg(cer) AS mean_cer, count(DISTINCT source) AS k FROM r GROUP BY slot HAVING k = (SELECT n FROM f)),
+p AS (SELECT *, CASE WHEN mean_cer = 0 THEN 'correct' WHEN mean_cer <= 0.05::DOUBLE THEN 'easy' WHEN mean_cer <= 0.25::DOUBLE THEN 'medium' ELSE 'hard' END AS difficulty FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('42:' || slot), slot) AS turn FROM p) SELECT doc_id, slot, difficulty FROM r JOIN k USING (slot) WHERE turn <= CASE difficulty WHEN 'easy' THEN 5 WHEN 'medium' THEN 10 WHEN 'hard' THEN 10 ELSE 0 END""")
+def smp02_aligned_pick(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", F.expr("doc_id div 4").alias("slot"), ((F.col("n_chars") % 100) / 200).alias("cer"))
+    return selection.aligned_pick(rows, "source", "slot", {"easy": 5, "medium": 10, "hard": 10}).select("doc_id", "slot", "difficulty")
+
+
+@query(f"""WITH {D}, x AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), p AS (SELECT sample_id, CASE WHEN cer <= 0.05::DOUBLE THEN 0 WHEN cer <= 0.15::DOUBLE THEN 1 WHEN cer <= 0.35::DOUBLE THEN 2 ELSE 3 END AS stratum FROM d
+WHERE {_FIT} AND cer > 0 AND doc_id NOT IN (SELECT doc_id FROM x)), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_PICK}, sample_id) AS turn FROM p) SELECT sample_id, stratum FROM k ORDER BY turn, stratum LIMIT 25""")
+def smp03_few_shot_pick(spark, d):
+    rows = pairs.scored(samples(spark, d), words=False)
+    toxic = rows.select("doc_id", "sample_id").join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return selection.few_shot_pick(rows, 25, toxic).select("sample_id", "stratum")
+
+
+@query(f"""WITH {C}, b AS (SELECT sample_id, {_BUCKET} AS bucket FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {_PICK}, sample_id) AS turn FROM b)
+SELECT sample_id, bucket FROM k WHERE turn <= CASE bucket WHEN 'degraded_real' THEN 40 WHEN 'perfect' THEN 10 ELSE 20 END AND bucket IS NOT NULL""")
+def smp04_dev_pick(spark, d):
+    rows = outcomes.compared(samples(spark, d))
+    ratio = F.length(text.normalise(F.col("ocr_text"))) / F.greatest(F.length(text.normalise(F.col("gt_text"))), F.lit(1))
+    rows = rows.select("sample_id", classify.dev_bucket(ratio, F.col("cer_ocr"), F.col("cer_llm")).alias("bucket"))
+    return selection.dev_pick(rows, "bucket", 150).select("sample_id", "bucket")
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS u FROM documents)
+SELECT doc_id, CASE WHEN len(u) >= 40 THEN '' ELSE array_to_string(list_value('a', 'b', 'c', 'd', 'e', 'f', 'g', 'h')[1 : 40 - len(u)], ' ') END AS system, array_to_string(u[greatest(len(u) - 39, 1) : ], ' ') AS words FROM w""")
+def fn21_trimmed(spark, d):
+    system, user = knowledge.trimmed(F.lit("a b c d e f g h"), F.col("text"), 40)
+    return table(spark, d, "documents").select("doc_id", system.alias("system"), F.trim(F.regexp_replace(user, "\\s+", " ")).alias("words"))
+
+
+@query(f"WITH {D} SELECT dataset, avg(greatest(0, 1 - least(cer, 1))) AS score FROM d GROUP BY dataset")
+def udf10_score(spark, d):
+    return pairs.scored(samples(spark, d), words=False).groupBy("dataset").agg(F.avg(knowledge.optimiser_score(F.col("cer"))).alias("score"))

@@ -1,10 +1,11 @@
-"""Readers: paired files, split manifests, JSON lines, tagged pages, HTML, archives (SRC01-SRC22, SRC27). Every reader takes paths that Spark can read."""
+"""Readers: paired files, split manifests, JSON lines, tagged pages, HTML, archives (SRC01-SRC19, SRC21, SRC22, SRC24, SRC27). Every reader takes paths that Spark can read."""
 
 from __future__ import annotations
 
 import html as html_lib
 import io
 import re
+import warnings
 import zipfile
 from collections.abc import Iterator
 
@@ -57,26 +58,102 @@ def font_lines(spark: SparkSession, ocr_path: str, gt_file: str, dataset: str, e
     return ocr.join(gt, "line_no").where("ocr_text <> '' AND gt_text <> ''").select(F.lit(dataset).alias("dataset"), F.col("file_id").alias("sample_id"), F.col("line_no").alias("ord"), "ocr_text", "gt_text")
 
 
-# What is registered for load_all: family, arguments of the reader and the cap of its OCR texts; folders are given by the caller.
-FAMILIES = {"PATS-A01": ("cp1256", 2000), "KHATT": ("utf-8", 2000), "KHATT-Paragraph": ("cp1256", 8000), "Kitab": ("utf-8", 8000), "Yarmouk": ("utf-8", 8000), "Historical": ("utf-8", 8000), "Muharaf": ("utf-8", 8000)}
+# The registered families with the encoding of their references, the cap of their OCR texts and how their files pair up.
+FAMILIES = {
+    "PATS-A01": ("cp1256", 2000, "lines"), "KHATT": ("utf-8", 2000, "stems"), "KHATT-Paragraph": ("cp1256", 8000, "stems"), "Kitab": ("utf-8", 8000, "category"), "Yarmouk": ("utf-8", 8000, "stems"),
+    "Historical": ("utf-8", 8000, "books"), "Muharaf": ("utf-8", 8000, "stems"),
+}
+
+
+def family(key: str) -> tuple[str, int, str]:
+    """What is registered for a data set key; the longest family name that it starts with counts."""
+    known = [k for k in FAMILIES if key.startswith(k)]
+    if not known:
+        raise ValueError(f"no such data set: {key}")
+    return FAMILIES[max(known, key=len)]
+
+
+def load(spark: SparkSession, key: str, ocr: str, gt: str, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """``dataset, sample_id, font, ocr_text, gt_text`` of one data set by its key, ids (``sample_id``, any case) before the limit.
+
+    Sets of lines have one reference file per font, sets by category the id ``category_stem`` (the category is the key's last part, and the font), sets
+    of books one folder per book, which is the font."""
+    encoding, cap, how = family(key)
+    last = key.rsplit("-", 1)[-1]
+    if how == "lines":
+        rows = font_lines(spark, ocr, gt, key, encoding, cap).withColumn("font", F.lit(last))
+    else:
+        rows = paired_files(spark, ocr, gt, key, encoding, cap).withColumn("font", F.lit(None).cast("string"))
+        if how == "category":
+            rows = rows.withColumn("font", F.lit(last)).withColumn("sample_id", F.concat_ws("_", F.lit(last), "sample_id"))
+        elif how == "books":
+            rows = rows.withColumn("font", F.regexp_extract("ocr_path", "([^/]+)/[^/]+$", 1))
+    rows = rows.select("dataset", "sample_id", "font", "ocr_text", "gt_text")
+    if ids is not None:
+        wanted = ids.select(F.lower("sample_id").alias("_id")).distinct()
+        rows = rows.join(wanted, F.lower("sample_id") == F.col("_id"), "left_semi")
+    if limit is not None:
+        number = F.nullif(F.regexp_extract("sample_id", "([0-9]+)$", 1), F.lit("")).cast("decimal(38,0)")
+        rows = rows.orderBy(number.isNull(), number, "sample_id").limit(limit)
+    return rows
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def load_all(spark: SparkSession, folders: dict[str, tuple[str, str]]) -> DataFrame:
-    """The union of the data sets ``key: (OCR folder, ground truth folder)``; the key's family gives encoding and cap."""
-    parts = []
+def load_all(spark: SparkSession, folders: dict[str, tuple[str, str]], limit: int | None = None) -> DataFrame:
+    """The union of the data sets ``key: (OCR folder, ground truth)``; sets whose folders are missing are left out with a warning."""
+    out = None
     for key, (ocr, gt) in folders.items():
-        encoding, cap = next(v for k, v in sorted(FAMILIES.items(), key=lambda x: -len(x[0])) if key.startswith(k))
-        parts.append(paired_files(spark, ocr, gt, key, encoding, cap))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        family(key)
+        if not (exists(spark, ocr) and exists(spark, gt)):
+            warnings.warn(f"{key}: {ocr} or {gt} is missing", stacklevel=2)
+            continue
+        part = load(spark, key, ocr, gt, limit=limit)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "dataset string, sample_id string, font string, ocr_text string, gt_text string")
+
+
+def corrections(spark: SparkSession, folder: str, name: str = "corrections.jsonl") -> DataFrame:
+    """The records of a run: one combined file if there is one, else the files of all data sets below the folder; empty where there is neither."""
+    if exists(spark, f"{folder}/{name}"):
+        return json_lines(spark, f"{folder}/{name}")
+    if exists(spark, folder):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder).select("path")
+        if paths := [r.path for r in found.orderBy("path").collect()]:  # one path per data set
+            return json_lines(spark, paths)
+    return spark.createDataFrame([], CORRECTIONS)
+
+
+def first_corrections(spark: SparkSession, folders: list[str], name: str = "corrections.jsonl") -> DataFrame:
+    """The records of the first folder that has any."""
+    for folder in folders:
+        if not (rows := corrections(spark, folder, name)).isEmpty():
+            return rows
+    raise FileNotFoundError(f"no {name} in {folders}")
+
+
+def sniffed(content: Column, within: int = 500) -> Column:
+    """Text of bytes in UTF-8, with or without a byte order mark, or cp1256: the first of them that is valid and shows an Arabic letter in its first ``within``
+    characters, else UTF-8 with what is invalid replaced."""
+    plain = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\ufeff", "")
+    arabic = lambda c: F.coalesce(F.substring(c, 1, within).rlike("[\u0600-\u06FF]"), F.lit(False))
+    old = decode_bytes(content, F.lit("cp1256"))
+    return F.when(arabic(plain), plain).when(arabic(old), old).otherwise(decoded(content))
+
+
+def second_ocr(samples: DataFrame, other: DataFrame) -> DataFrame:
+    """The same samples with another engine's texts (``dataset, sample_id, ocr_text``); samples that it lacks are left out."""
+    texts = other.select("dataset", "sample_id", F.col("ocr_text").alias("_other"))
+    return samples.join(texts, ["dataset", "sample_id"]).withColumn("ocr_text", F.col("_other")).drop("_other")
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str = CORRECTIONS) -> DataFrame:
     """Records of JSON lines; lines that are no such record are skipped."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(paths)
-    return raw.where(F.col("_bad").isNull()).drop("_bad")
+    lines = spark.read.text(paths)
+    return parse_lines(lines.where(F.trim("value") != ""), schema)
 
 
 def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:

@@ -41,11 +41,13 @@ def pair_lines(pairs: DataFrame, kind: str, n: int = 200) -> DataFrame:
 
 
 def markdown(table: DataFrame, title: str, most: int = 1000) -> str:
-    """A Markdown table of a summary of at most ``most`` rows."""
-    rows = table.limit(most).collect()
+    """A Markdown table of a summary; beyond ``most`` rows it ends with a line that says how many are left out."""
+    rows = table.limit(most + 1).collect()
+    left = table.count() - most if len(rows) > most else 0
+    rows = rows[:most]
     cell = lambda v: f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [f"## {title}", "", "| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows] + (["", f"{left} more rows are not shown."] if left else [])) + "\n"
 
 
 def as_json_document(summary: DataFrame, by: str) -> DataFrame:
