@@ -61,7 +61,7 @@ def loader_order(stem: Column) -> list[Column]:
 def aligned_pick(rows: DataFrame, font: str, index: str, targets: dict[str, int], extra: DataFrame | None = None, share: float = 0.1, seed: int = SEED) -> DataFrame:
     """Indices that every font has, drawn by the difficulty of their mean error rate (``cer``), and the rows of all fonts for them; of ``extra`` rows
     (``sample_id``) a share of that many more."""
-    fonts = rows.select(font).distinct().count()
+    fonts = rows.where(F.col(font).isNotNull()).select(font).distinct().count()
     common = rows.groupBy(index).agg(F.countDistinct(font).alias("_fonts"), F.avg("cer").alias("mean_cer")).where(F.col("_fonts") == fonts).drop("_fonts")
     picked = stratified(common.withColumn("difficulty", difficulty(F.col("mean_cer"))), "difficulty", targets, index, seed=seed)
     out = rows.join(picked.select(index, "difficulty", "mean_cer"), index)

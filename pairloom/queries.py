@@ -657,12 +657,12 @@ def top04_degraded_then_hard(spark, d):
     return selection.degraded_then_hard(outcomes.compared(samples(spark, d)).select("sample_id", "cer_ocr", "cer_llm", "cer_delta"), 30).select("sample_id", "turn", "rank")
 
 
-@query("""WITH r AS (SELECT source, doc_id // 4 AS slot, 1.0 * (n_chars % 100) / 200 AS cer, doc_id FROM documents), f AS (SELECT count(DISTINCT source) AS n FROM r),
+@query("""WITH r AS (SELECT lang AS source, doc_id % 50 AS slot, 1.0 * (n_chars % 100) / 200 AS cer, doc_id FROM documents), f AS (SELECT count(DISTINCT source) AS n FROM r),
 c AS (SELECT slot, avg(cer) AS mean_cer, count(DISTINCT source) AS k FROM r GROUP BY slot HAVING k = (SELECT n FROM f)),
 p AS (SELECT *, CASE WHEN mean_cer = 0 THEN 'correct' WHEN mean_cer <= 0.05::DOUBLE THEN 'easy' WHEN mean_cer <= 0.25::DOUBLE THEN 'medium' ELSE 'hard' END AS difficulty FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('42:' || slot), slot) AS turn FROM p) SELECT doc_id, slot, difficulty FROM r JOIN k USING (slot) WHERE turn <= CASE difficulty WHEN 'easy' THEN 5 WHEN 'medium' THEN 10 WHEN 'hard' THEN 10 ELSE 0 END""")
 def smp02_aligned_pick(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", F.expr("doc_id div 4").alias("slot"), ((F.col("n_chars") % 100) / 200).alias("cer"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("source"), (F.col("doc_id") % 50).alias("slot"), ((F.col("n_chars") % 100) / 200).alias("cer"))
     return selection.aligned_pick(rows, "source", "slot", {"easy": 5, "medium": 10, "hard": 10}).select("doc_id", "slot", "difficulty")
 
 
