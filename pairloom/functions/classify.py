@@ -12,6 +12,7 @@ HAMZA, TAA, ALEF_MAKSURA = "أاإآءٱ", "ةه", "ىي"
 DOTS = ["بتثن", "جحخ", "دذ", "رز", "سش", "صض", "طظ", "فق", "يى"]
 SIMILAR = ["وأ", "عغ", "من", "كل", "لا", "هأ", "حم"]
 ERROR_TYPES = ["dot_confusion", "hamza", "taa_marbuta", "alef_maksura", "similar_shape", "other_substitution", "insertion", "deletion", "merged_words", "split_word", "unknown"]
+TYPED = [x for x in ERROR_TYPES if x != "unknown"]
 POSITIONS = ["word_start", "word_middle", "word_end", "single_char"]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.functions.classify import error_type_of, position_of
+from pairloom.functions.classify import TYPED, error_type_of, position_of
 from pairloom.functions.text import normalise, tokens
 
 _FIRST_SIGN, _NEAR_SIGNS, _FAR_SIGN, _MOST_SIGNS = 0x4E00, 35_000, 0x10000, 1 << 20
@@ -153,6 +153,24 @@ def char_errors(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([char_errors_of(a, b) for a, b in zip(refs, hyps)])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def char_error_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How many errors of each of ``TYPED`` a pair has, in that order; null for a null text, so that equal texts can be sent as nulls."""
+    place = {k: n for n, k in enumerate(TYPED)}
+    for refs, hyps in batches:
+        out: list[list[int] | None] = []
+        for ref, hyp in zip(refs, hyps):
+            if ref is None or hyp is None:
+                out.append(None)
+                continue
+            counts = [0] * len(TYPED)
+            for r, h in align(ref, hyp) if ref != hyp else []:
+                if r != h and (n := place.get(error_type_of(r or "", h or ""))) is not None:
+                    counts[n] += 1
+            out.append(counts)
+        yield pd.Series(out, dtype="object")
+
+
 def word_errors_of(ref: list[str], hyp: list[str]) -> list[dict]:
     """Word pairs that differ. Merged: over half as long again as the reference word, and that word followed by a next one; split: a word of over four letters lost."""
     following: dict[str, set[str]] = {}

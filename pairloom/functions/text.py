@@ -114,6 +114,26 @@ def dataset_parts(key: Column) -> Column:
     return out.when(key.startswith("Historical"), parts("Historical", F.nullif(F.substring(key, 12, 1000), F.lit("")), none))
 
 
+def is_training(key: Column) -> Column:
+    """Whether a data set key names a training split."""
+    return F.lower(key).endswith("train")
+
+
+def is_validation(key: Column) -> Column:
+    """Whether a data set key names a validation split."""
+    return F.lower(key).endswith("-val") | F.lower(key).endswith("validation")
+
+
+def sample_number(c: Column) -> Column:
+    """The number of an id ``dataset:Font_Number``; null without a colon, or where other than digits follow the first underscore after it."""
+    return F.nullif(F.regexp_extract(c, ":[^:_]*_([0-9]+)$", 1), F.lit("")).cast("long")
+
+
+def paragraph_id(stem: Column) -> Column:
+    """The stem of a line's file without the line's number."""
+    return F.regexp_replace(stem, "_[^_]*$", "")
+
+
 def trailing_number(c: Column) -> Column:
     """The number after the last underscore of an id, else null."""
     return F.nullif(F.regexp_extract(c, "_([0-9]+)$", 1), F.lit("")).cast("long")

@@ -1,8 +1,11 @@
-"""Correctors: a batch interface that never raises, a native identity, and resumable application (UDF01, UDF02, UDF04-UDF06, ORC02, ORC04)."""
+"""Correctors: a batch interface that never raises, a native identity, and resumable application (UDF01-UDF06, ORC02, ORC04)."""
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import accepted_output, token_estimate
+from pairloom.operators.prompts import BASE
 
 SCHEMA = "sample_id string, dataset string, ocr_text string, corrected_text string, prompt_tokens long, output_tokens long, latency_s double, success boolean, error string"
 BACKENDS: dict[str, Callable[..., Callable[[list[str]], list[str | None]]]] = {}
@@ -31,8 +35,20 @@ def _mock():
 
 
 @backend("api")
-def _api():
-    raise NotImplementedError("no remote model is available here")
+def _api(url: str = "", model: str = "", system: str = BASE, timeout: float = 120.0, key_variable: str = "", **options):
+    """A model behind a chat endpoint of the common form (``POST {url}/chat/completions``), asked one text at a time; failures are raised to the caller,
+    which asks again. The key is read from the environment variable ``key_variable`` of the worker, if one is named."""
+    if not url:
+        raise ValueError("the api backend needs the url of a chat endpoint")
+
+    def ask(text: str) -> str | None:
+        body = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": text}], **options}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[key_variable]}"} if key_variable else {})
+        request = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"]
+
+    return lambda texts: [ask(t) if t.strip() else t for t in texts]
 
 
 def identity(rows: DataFrame) -> DataFrame:
@@ -63,12 +79,12 @@ def answered(model: Callable[[list[str]], list[str | None]], texts: list[str], r
     return out
 
 
-def corrected(rows: DataFrame, name: str = "mock", batch: int = 64, retries: int = 2, arabic_only: bool = True) -> DataFrame:
-    """Corrections of ``rows`` (``sample_id, dataset, ocr_text``) by a registered backend. A failed or blank answer is asked again by itself, then stands as the OCR text with success false."""
+def corrected(rows: DataFrame, name: str = "mock", batch: int = 64, retries: int = 2, arabic_only: bool = True, **options) -> DataFrame:
+    """Corrections of ``rows`` (``sample_id, dataset, ocr_text``) by a registered backend, made with ``options``. A failed or blank answer is asked again by itself, then stands as the OCR text with success false."""
     factory = BACKENDS[name]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = factory(**options)
         for frame in frames:
             for first in range(0, len(frame), batch):
                 part = frame.iloc[first : first + batch].copy()

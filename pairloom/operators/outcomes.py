@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.classify import CATEGORIES, ERROR_TYPES, insight_kind, outcome, sample_category, training_class
-from pairloom.functions.edit import cer, char_errors, distance, error_rate
+from pairloom.functions.classify import CATEGORIES, TYPED, insight_kind, outcome, sample_category, training_class
+from pairloom.functions.edit import char_error_counts, distance, error_rate
 from pairloom.functions.text import normalise
+from pairloom.operators.pairs import scored
 
 
 def compared(corrections: DataFrame) -> DataFrame:
@@ -51,33 +52,105 @@ def training_buckets(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", training_class(F.col("cer_ocr"), F.col("cer_llm"))).rollup("dataset").agg(F.count("*").alias("n"), *[F.count_if(F.col("bucket") == x).alias(x) for x in ("perfect", "degraded", "unchanged", "improved")])
 
 
-def _equal_to(kind: str):
-    return lambda x: x == F.lit(kind)
+def training_metrics(corrections: DataFrame) -> DataFrame:
+    """``dataset`` (null: all), ``diacritics, text, rate, n, mean, median, std, p95``: eight families of rates of OCR texts and corrections.
 
+    A null correction stands for the OCR text. The percentile is the nearest rank at ``floor(0.95 n)``; the deviation of one sample is 0."""
+    rows, found = corrections.withColumn("corrected_text", F.coalesce("corrected_text", "ocr_text")), []
+    keep = ["dataset", "gt_text", "ocr_text", "corrected_text"]
+    rows = rows.select(*keep)
+    for kept in (False, True):
+        for name, column in (("ocr", "ocr_text"), ("llm", "corrected_text")):
+            rows = scored(rows, column, diacritics=kept)
+            found += [(kept, name, r, f"{r}_{name}_{kept}") for r in ("cer", "wer")]
+            rows = rows.select(*keep, *[c for *_, c in found[:-2]], F.col("cer").alias(found[-2][-1]), F.col("wer").alias(found[-1][-1]))
+    each = F.array(*[F.struct(F.lit(d).alias("diacritics"), F.lit(t).alias("text"), F.lit(r).alias("rate"), F.col(c).alias("value")) for d, t, r, c in found])
+    values = rows.select("dataset", F.explode(each).alias("x")).select("dataset", "x.*")
+    family = ["dataset", "diacritics", "text", "rate"]
+    counted = values.groupBy(*family, "value").agg(F.count("*").alias("k"))
+    counted = counted.unionByName(counted.groupBy(*family[1:], "value").agg(F.sum("k").alias("k")).withColumn("dataset", F.lit(None).cast("string")))
+    upto = F.sum("k").over(Window.partitionBy(*family).orderBy("value"))
+    totals = Window.partitionBy(*family)
+    ranked = counted.withColumn("upto", upto).withColumn("n", F.sum("k").over(totals)).withColumn("mean", (F.sum(F.col("k") * F.col("value")).over(totals) / F.sum("k").over(totals)))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    std = F.sqrt(F.sum(F.col("k") * F.pow(F.col("value") - F.col("mean"), F.lit(2))) / (F.max("n") - 1))
+    return ranked.groupBy(*family).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), middle.alias("median"), F.when(F.max("n") > 1, std).otherwise(0.0).alias("std"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"))
+
+
+def _typed(corrections: DataFrame) -> DataFrame:
+    """Adds ``before`` and ``after``, counts of errors by type (in the order of ``TYPED``) of the OCR text and its correction.
+
+    A text equal to its reference is sent to Python as null and counts as free of errors, and one that the correction left as it was is aligned once."""
+    rows = corrections.withColumn("_g", normalise(F.col("gt_text"))).withColumn("_o", normalise(F.col("ocr_text"))).withColumn("_c", normalise(F.coalesce("corrected_text", "ocr_text")))
+    wrong, changed = F.col("_g") != F.col("_o"), (F.col("_g") != F.col("_c")) & (F.col("_o") != F.col("_c"))
+    none = F.array_repeat(F.lit(0), len(TYPED))
+    before = char_error_counts(F.when(wrong, F.col("_g")), F.when(wrong, F.col("_o")))
+    after = char_error_counts(F.when(changed, F.col("_g")), F.when(changed, F.col("_c")))
+    rows = rows.withColumn("before", F.coalesce(before, none)).withColumn("_a", after)
+    return rows.withColumn("after", F.when(F.col("_o") == F.col("_c"), F.col("before")).otherwise(F.coalesce("_a", none))).drop("_g", "_o", "_c", "_a")
+
+
+def _step(b: Column, r: Column) -> list[Column]:
+    return [F.greatest(F.lit(0), b - r), F.greatest(F.lit(0), r - b)]
 
-def error_changes(corrections: DataFrame, by: list[str], cumulative: bool = False) -> DataFrame:
-    """``by, error_type, baseline, residual, fixed, introduced`` and their rates (null where nothing was wrong before).
 
-    Fixed and introduced are sums over samples of what got less and what got more. ``cumulative`` compares running totals after each sample
-    (in order of ``ord``) instead, as older reports did."""
-    kinds = [x for x in ERROR_TYPES if x != "unknown"]
-    ref = normalise(F.col("gt_text"))
-    typed = corrections.withColumn("before", char_errors(ref, normalise(F.col("ocr_text")))).withColumn("after", char_errors(ref, normalise(F.coalesce("corrected_text", "ocr_text"))))
+def _by_type(rows: DataFrame, keep: list[str]) -> DataFrame:
+    each = [F.struct(F.lit(k).alias("error_type"), F.col("before")[n].alias("baseline"), F.col("after")[n].alias("residual")) for n, k in enumerate(TYPED)]
+    return rows.select(*keep, F.explode(F.array(*each)).alias("x")).select(*keep, "x.*")
 
-    def of(c: str) -> list:
-        return [F.size(F.filter(F.col(c)["error_type"], _equal_to(k))).alias(f"{c}_{k}") for k in kinds]
 
-    wide = typed.select(*by, "ord", *of("before"), *of("after"))
-    stacked = wide.select(*by, "ord", F.explode(F.array(*[F.struct(F.lit(k).alias("error_type"), F.col(f"before_{k}").alias("b"), F.col(f"after_{k}").alias("r")) for k in kinds])).alias("x")).select(*by, "ord", "x.*")
-    counted = stacked
+def sample_changes(corrections: DataFrame, key: list[str]) -> DataFrame:
+    """``key, error_type, baseline, residual, fixed, introduced`` of every sample and type, zeros included."""
+    fixed, introduced = _step(F.col("baseline"), F.col("residual"))
+    return _by_type(_typed(corrections), key).withColumn("fixed", fixed).withColumn("introduced", introduced)
+
+
+def error_changes(corrections: DataFrame, by: list[str], cumulative: bool = False) -> DataFrame:
+    """``by, error_type, baseline, residual, fixed, introduced`` and their rates (null where nothing was wrong before).
+
+    Fixed and introduced are sums over samples of what got less and what got more, summed without a row for each type. ``cumulative`` compares
+    running totals after each sample (in order of ``ord``) instead, as older reports did."""
+    rows = _typed(corrections)
     if cumulative:
         so_far = Window.partitionBy(*by, "error_type").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-        counted = stacked.withColumn("cb", F.sum("b").over(so_far)).withColumn("cr", F.sum("r").over(so_far))
-    x, y = ("cb", "cr") if cumulative else ("b", "r")
-    out = counted.groupBy(*by, "error_type").agg(F.sum("b").alias("baseline"), F.sum("r").alias("residual"), F.sum(F.greatest(F.lit(0), F.col(x) - F.col(y))).alias("fixed"), F.sum(F.greatest(F.lit(0), F.col(y) - F.col(x))).alias("introduced"))
+        stacked = _by_type(rows, [*by, "ord"]).withColumn("cb", F.sum("baseline").over(so_far)).withColumn("cr", F.sum("residual").over(so_far))
+        fixed, introduced = _step(F.col("cb"), F.col("cr"))
+        out = stacked.groupBy(*by, "error_type").agg(F.sum("baseline").alias("baseline"), F.sum("residual").alias("residual"), F.sum(fixed).alias("fixed"), F.sum(introduced).alias("introduced"))
+    else:
+        sums = []
+        for n, k in enumerate(TYPED):
+            b, r = F.col("before")[n], F.col("after")[n]
+            fixed, introduced = _step(b, r)
+            sums.append(F.struct(F.lit(k).alias("error_type"), F.sum(b).alias("baseline"), F.sum(r).alias("residual"), F.sum(fixed).alias("fixed"), F.sum(introduced).alias("introduced")))
+        out = rows.groupBy(*by).agg(F.array(*sums).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.*")
     return out.withColumn("fix_rate", F.try_divide("fixed", "baseline")).withColumn("introduction_rate", F.try_divide("introduced", "baseline"))
 
 
+def change_summary(changes: DataFrame, by: list[str]) -> DataFrame:
+    """``by, error_type, baseline, fixed, introduced, fix_rate, introduction_rate`` of ``error_changes``: a row for each type and one (null) for all of a
+    group; rates have four places and are null where nothing was wrong before."""
+    sums = [F.sum(c).alias(c) for c in ("baseline", "fixed", "introduced")]
+    whole = changes.groupBy(*by).agg(*sums).withColumn("error_type", F.lit(None).cast("string"))
+    rows = changes.select(*by, "error_type", "baseline", "fixed", "introduced").unionByName(whole)
+    return rows.withColumn("fix_rate", F.round(F.try_divide("fixed", "baseline"), 4)).withColumn("introduction_rate", F.round(F.try_divide("introduced", "baseline"), 4))
+
+
+def insights_text(changes: DataFrame, by: list[str], least: int = 10, strong: float = 0.6, weak: float = 0.4, harm: float = 0.05, weaknesses: int = 3, harms: int = 2) -> DataFrame:
+    """``by, text`` for prompts: the types that are mended least and harmed most, a line each, worst first (ties by name), then those mended well.
+
+    A type counts from ``least`` errors on; a group without any such type has an empty text."""
+    enough = F.col("baseline") >= least
+    lines = lambda keep, rank, form, n: F.transform(F.slice(F.array_sort(F.filter(F.collect_list(F.when(enough & keep, F.struct(rank.alias("k"), "error_type", form.alias("line")))), lambda x: x.isNotNull())), 1, n), lambda x: x["line"])
+    percent = lambda c: F.round(F.col(c) * 100).cast("int")
+    poor = lines(F.col("fix_rate") < weak, F.col("fix_rate"), F.format_string("- %s: %d%% mended", "error_type", percent("fix_rate")), weaknesses)
+    worse = lines(F.col("introduction_rate") > harm, -F.col("introduction_rate"), F.format_string("- %s: %d%% new errors", "error_type", percent("introduction_rate")), harms)
+    good = lines(F.col("fix_rate") > strong, -F.col("fix_rate"), F.format_string("- %s: %d%% mended", "error_type", percent("fix_rate")), len(TYPED))
+    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}\n"), F.array_join(c, "\n")))
+    texts = changes.groupBy(*by).agg(poor.alias("_poor"), worse.alias("_worse"), good.alias("_good"))
+    return texts.select(*by, F.concat_ws("\n", part("Weak:", F.col("_poor")), part("Over-corrected:", F.col("_worse")), part("Strong:", F.col("_good"))).alias("text"))
+
+
 def insights(changes: DataFrame, by: list[str]) -> DataFrame:
     """Each error type's kind: strength, weakness, over-correction or null."""
     return changes.select(*by, "error_type", "baseline", "fix_rate", "introduction_rate", insight_kind(F.col("fix_rate"), F.col("introduction_rate"), F.col("baseline")).alias("kind"))

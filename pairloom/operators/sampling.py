@@ -48,6 +48,13 @@ def drawn(rows: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     return rows.orderBy(shuffled(F.col(key), seed), key).limit(n)
 
 
+def train_and_dev(rows: DataFrame, key: str, train: int = 50, dev: int = 20, seed: int = SEED) -> DataFrame:
+    """``train`` rows and the ``dev`` next ones of the shuffled table, marked in ``split``; where there are too few, training is filled first."""
+    taken = rows.orderBy(shuffled(F.col(key), seed), key).limit(train + dev)
+    place = F.row_number().over(Window.orderBy(shuffled(F.col(key), seed), key))
+    return taken.withColumn("_k", place).withColumn("split", F.when(F.col("_k") <= train, "train").otherwise("dev")).drop("_k")
+
+
 def compat_shuffle(ids: list[str], seed: int = SEED) -> list[str]:
     """The order of a seeded shuffle of a small pool on the driver, for exact parity with older selections."""
     out = list(ids)

@@ -59,6 +59,14 @@ def reverted(corrections: DataFrame, lexicon: DataFrame, known_wrong: DataFrame
     return out.select("sample_id", text.alias("final_text"), F.coalesce("reverted", F.lit(0)).alias("reverted"), F.coalesce("kept", F.size("a").cast("long")).alias("kept"), F.coalesce("unchanged", F.lit(0)).alias("unchanged"), F.coalesce(F.try_divide("reverted", n), F.lit(0.0)).alias("revert_rate"))
 
 
+def revert_statistics(rows: DataFrame) -> DataFrame:
+    """One row over the results of ``reverted``; the rate is that of all words, 0 without words."""
+    words = F.sum(F.col("reverted") + F.col("kept") + F.col("unchanged"))
+    rate = F.coalesce(F.sum("reverted"), F.lit(0)) / F.greatest(F.coalesce(words, F.lit(0)), F.lit(1))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(f"words_{c}") for c in ("reverted", "kept", "unchanged")]
+    return rows.agg(F.count("*").alias("total_samples"), F.count_if(F.col("reverted") > 0).alias("samples_with_reverts"), F.coalesce(words, F.lit(0)).alias("total_words"), *sums, F.round(rate, 4).alias("avg_revert_rate"), F.round(rate * 100, 2).alias("revert_rate_pct"))
+
+
 _TOKEN = re.compile(r"[^\s،؛؟!-/:-@[-`{-~]+")
 
 

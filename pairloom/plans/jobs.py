@@ -48,3 +48,11 @@ def trial_matrix(spark, prompts_: list[str], retrieval: list[bool]) -> DataFrame
 
 def trial_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("trial", "dataset").agg(F.count("*").alias("n"), F.avg("cer").alias("cer"))
+
+
+def trial_table(summary: DataFrame, trials: list[str]) -> DataFrame:
+    """A row for each data set with a column for each of ``trials`` (null where it was not run), and ``best``, the trial with the smallest rate (ties to the first)."""
+    table = summary.groupBy("dataset").pivot("trial", trials).agg(F.first("cer"))
+    least = F.array_min(F.array(*[F.col(f"`{t}`") for t in trials]))
+    best = F.coalesce(*[F.when(F.col(f"`{t}`") == least, F.lit(t)) for t in trials])
+    return table.withColumn("best", best)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import classify, text
 from pairloom.operators.pairs import spread_out
 from pairloom.operators import correct, errors, knowledge, outcomes, pairs, prompts, relational, retrieval, sampling, selection, stats, validation
+from pairloom.plans import jobs
 from pairloom.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -693,3 +694,69 @@ def fn21_trimmed(spark, d):
 @query(f"WITH {D} SELECT dataset, avg(greatest(0, 1 - least(cer, 1))) AS score FROM d GROUP BY dataset")
 def udf10_score(spark, d):
     return pairs.scored(samples(spark, d), words=False).groupBy("dataset").agg(F.avg(knowledge.optimiser_score(F.col("cer"))).alias("score"))
+
+
+# ---- summaries of corrections, keys and tables of trials
+
+
+@query()
+def agg14_sample_changes(spark, d):
+    return outcomes.sample_changes(samples(spark, d), ["dataset", "sample_id"]).where("baseline + residual > 0")
+
+
+@query()
+def agg15_change_summary(spark, d):
+    return outcomes.change_summary(outcomes.error_changes(samples(spark, d), ["dataset"]), ["dataset"])
+
+
+@query()
+def kb06_insights_text(spark, d):
+    return outcomes.insights_text(outcomes.error_changes(samples(spark, d), ["dataset"]), ["dataset"])
+
+
+@query()
+def agg18_revert_statistics(spark, d):
+    return validation.revert_statistics(validation.reverted(samples(spark, d), _lexicon(spark, d), letters=ASCII_LETTERS))
+
+
+@query()
+def agg22_training_metrics(spark, d):
+    return outcomes.training_metrics(samples(spark, d))
+
+
+@query()
+def sta01_student(spark, d):
+    return stats.compare_all(runs(spark, d), "base", exact=True)
+
+
+@query(f"""WITH {R}, t AS (SELECT dataset, run, avg(cer) AS cer FROM r GROUP BY ALL), p AS (SELECT dataset, max(cer) FILTER (WHERE run = 'base') AS base, max(cer) FILTER (WHERE run = 'llm') AS llm, max(cer) FILTER (WHERE run = 'mean') AS mean FROM t GROUP BY dataset)
+SELECT *, CASE least(base, llm, mean) WHEN base THEN 'base' WHEN llm THEN 'llm' ELSE 'mean' END AS best FROM p""")
+def agg29_trial_table(spark, d):
+    return jobs.trial_table(jobs.trial_summary(runs(spark, d).withColumnRenamed("run", "trial")), ["base", "llm", "mean"])
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || '-Train' WHEN 1 THEN lang || '-val' WHEN 2 THEN lang || '-VALIDATION' ELSE lang END AS key, doc_id % 4 = 0 AS training, doc_id % 4 IN (1, 2) AS validation FROM documents WHERE lang IS NOT NULL""")
+def flt09_splits(spark, d):
+    lang, n = F.col("lang"), F.col("doc_id") % 4
+    key = F.when(n == 0, F.concat(lang, F.lit("-Train"))).when(n == 1, F.concat(lang, F.lit("-val"))).when(n == 2, F.concat(lang, F.lit("-VALIDATION"))).otherwise(lang)
+    rows = table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", key.alias("key"))
+    return rows.withColumn("training", text.is_training(F.col("key"))).withColumn("validation", text.is_validation(F.col("key")))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id END AS number, CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'set:A' ELSE 'set-x:A' END AS paragraph FROM documents""")
+def fn18_ids(spark, d):
+    n = F.col("doc_id") % 3
+    key = F.concat(F.when(n == 0, "A_").when(n == 1, "set:A_").otherwise("set-x:A_"), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select("doc_id", text.sample_number(key).alias("number"), text.paragraph_id(key).alias("paragraph"))
+
+
+@query(f"""WITH {SAMPLES} SELECT sample_id, CASE doc_id % 3 WHEN 1 THEN {_quoted(prompts.SHORT)} WHEN 2 THEN {_quoted(prompts.STRICT)} ELSE {_quoted(_B)} END AS system, ocr_text AS user_text FROM s""")
+def prm01_versions(spark, d):
+    version = F.when(F.col("doc_id") % 3 == 1, "v1").when(F.col("doc_id") % 3 == 2, "v2").otherwise("crafted")
+    said = prompts.zero_shot(F.col("ocr_text"), version)
+    return samples(spark, d).select("sample_id", said[0]["content"].alias("system"), said[1]["content"].alias("user_text"))
+
+
+@query("""WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS turn FROM documents) SELECT doc_id, CASE WHEN turn <= 50 THEN 'train' ELSE 'dev' END AS split FROM k WHERE turn <= 70""")
+def smp10_train_and_dev(spark, d):
+    return sampling.train_and_dev(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
