@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.chat import CHAT_SCHEMAS, conversation_calls, link_tool_calls
 from pairloom.llm.decontamination import contaminated
+from pairloom.llm.filter_audit import audit_filters
 from pairloom.llm.language_id import identify_held_out
 from pairloom.llm.licenses import find_licenses
 from pairloom.llm.neighbours import nearest_of_queries
 from pairloom.llm.ngram_join import similar_groups
 from pairloom.llm.pieces import encode_texts
+from pairloom.llm.simhash_groups import simhash_groups
 from pairloom.llm.store import table
 from pairloom.llm.substring_dedup import remove_repeats
 from pairloom.llm.toxicity import score_toxicity
+from pairloom.llm.vector_codes import ROUNDS, code_report
 from pairloom.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +150,61 @@ FROM d
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per license notice in the documents."""
     return find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint and the smallest doc_id that links of at most four differing bits reach."""
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: its code, its error, the error of its label, and the digest of the codebooks."""
+    return code_report(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """All vectors against all entries in each round; a distance and its entry are one number, so that ties go to the smaller index."""
+    nearest = lambda k: f"a{k} AS MATERIALIZED (SELECT vec_id, label, pos, any_value(x) AS x, min(CAST(xx - 2 * list_inner_product(x, c) + cc AS BIGINT) * 256 + entry) AS m FROM p JOIN k{k} USING (pos) GROUP BY vec_id, label, pos)"
+    books = lambda k: (
+        f"n{k} AS (SELECT pos, entry, list(c ORDER BY i) AS c FROM (SELECT pos, m % 256 AS entry, i, floor(sum(x[i]) / count(*)) AS c FROM (SELECT pos, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{k - 1}) GROUP BY pos, m % 256, i) GROUP BY pos, entry),\n"
+        f"k{k} AS MATERIALIZED (SELECT pos, entry, c, list_inner_product(c, c) AS cc FROM (SELECT o.pos, o.entry, coalesce(n{k}.c, o.c) AS c FROM k{k - 1} o LEFT JOIN n{k} USING (pos, entry)))"
+    )
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT vec_id, label, CAST(pos AS INTEGER) AS pos, e[pos * len(e) // 4 + 1 : (pos + 1) * len(e) // 4] AS x FROM v CROSS JOIN (SELECT unnest(range(0, 4)) AS pos)),
+p AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM s),
+k0 AS MATERIALIZED (SELECT pos, entry, x AS c, xx AS cc FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 256),
+{nearest(0)},
+{",".join(f"{chr(10)}{books(k)},{chr(10)}{nearest(k)}" for k in range(1, rounds + 1))},
+r AS (SELECT vec_id, label, string_agg(printf('%02x', m % 256), '' ORDER BY pos) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(CAST(CAST(z AS BIGINT) AS VARCHAR), ',' ORDER BY pos, entry, i)) AS codebooks_sha256 FROM (SELECT pos, entry, unnest(c) AS z, unnest(range(0, len(c))) AS i FROM k{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r CROSS JOIN h
+"""
+
+
+SQL["op12_vector_codes"] = _codes_sql(ROUNDS)
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per source, order of the five filters and step: what stays, goes, would have gone anyway, and whose fault it is."""
+    return audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+SQL["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS again FROM d),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN again THEN 16 ELSE 0 END AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS y),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.y, b.y, c.y, d.y, e.y] AS ys FROM x a, x b, x c, x d, x e WHERE a.y + b.y + c.y + d.y + e.y = 31 AND len(list_distinct([a.y, b.y, c.y, d.y, e.y])) = 5),
+s AS (SELECT filter_order, step, ys[step] AS own, CAST(list_sum(ys[1 : step]) AS INTEGER) AS upto FROM (SELECT filter_order, ys, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE fails & upto = 0) AS kept, sum(n) FILTER (WHERE fails & upto = own) AS removed, sum(n) FILTER (WHERE fails & own > 0 AND fails & upto > own) AS redundant,
+  sum(n) FILTER (WHERE fails = own) AS unique_fails, sum(good) FILTER (WHERE fails & upto = own) AS good_lost, sum(toxic) FILTER (WHERE fails & upto = own) AS toxic_lost FROM c CROSS JOIN s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+ CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r
+"""

@@ -62,7 +62,7 @@ class Chunk:
     """Consecutive texts of a batch: ``rows`` in the batch; for each word its hash and text; for each text the bounds of its words."""
 
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, lower: bool) -> None:
-        self.first, self.n = first, len(offsets) - 1
+        self.first, self.n, self.offsets = first, len(offsets) - 1, offsets
         self.data = data = _LOWER[data] if lower else data
         word = ~_SEPARATOR[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
