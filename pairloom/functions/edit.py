@@ -1,14 +1,13 @@
 """Edit distances as Column expressions, and alignments (ALN01-ALN05) as Arrow batches.
 
-Error rates stay in the JVM: ``levenshtein`` counts characters, and words are compared by mapping each distinct word of a pair to one character.
-Alignments return a path, which no built-in does. Their dynamic programme keeps every ``sqrt(n)``-th row and works out the rows between on the way
-back, so memory is proportional to m * sqrt(n) and texts of any length are aligned whole.
+Distances and paths are bit-parallel: one column of the table is a pair of bit vectors as long as the reference (which rows are one more than the row above, which one less), and a
+column follows from the one before in a dozen operations on whole vectors. Texts that start one another, and short ones, stay in the JVM, so that only pairs with a table worth filling are sent to Python.
+Paths come from the vectors kept for each column; of long texts every so manieth column is kept, and the columns between are worked out again on the way back, so memory is bounded at any length.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Hashable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,17 +18,70 @@ from pyspark.sql import types as T
 from pairloom.functions.classify import TYPED, error_type_of, position_of
 from pairloom.functions.text import normalise, tokens
 
-_FIRST_SIGN, _NEAR_SIGNS, _FAR_SIGN, _MOST_SIGNS = 0x4E00, 35_000, 0x10000, 1 << 20
-_BAND, _BANDED = 64, 256
+_SHORT, _KEPT_BYTES, _FEW = 24, 1 << 24, 64
+
+
+def _masks(a: Sequence[Hashable]) -> dict[Hashable, int]:
+    """For each symbol the bits of its places."""
+    places: dict[Hashable, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    if len(a) <= _FEW:
+        return {x: sum(1 << i for i in at) for x, at in places.items()}
+    out, room = {}, np.zeros(len(a), np.uint8)
+    for x, at in places.items():
+        room[at] = 1
+        out[x] = int.from_bytes(np.packbits(room, bitorder="little").tobytes(), "little")
+        room[at] = 0
+    return out
+
+
+def _column(own: int, up: int, down: int, whole: int) -> tuple[int, int, int]:
+    """The next column from the rows ``up`` and ``down`` of the last and the places ``own`` of its symbol: rows equal to their upper left neighbour, and rows up and down."""
+    same = (((own & up) + up ^ up) | own | down) & whole
+    right = down | (same | up) ^ whole
+    right = (right << 1 | 1) & whole
+    return same, ((up & same) << 1 & whole) | (same | right) ^ whole, right & same
+
+
+def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Levenshtein distance of two sequences of symbols."""
+    if len(a) < len(b):
+        a, b = b, a
+    first, end = 0, len(b)
+    while first < end and a[first] == b[first]:
+        first += 1
+    apart = len(a) - end
+    while end > first and a[end - 1 + apart] == b[end - 1]:
+        end -= 1
+    a, b = a[first : end + apart], b[first:end]
+    if not b:
+        return len(a)
+    masks, whole = _masks(a), (1 << len(a)) - 1
+    up, down = whole, 0
+    for x in b:
+        _, up, down = _column(masks.get(x, 0), up, down, whole)
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
+def _char_distances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for xs, ys in batches:
+        yield pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(xs, ys)], dtype="Int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def _word_distances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for xs, ys in batches:
+        yield pd.Series([None if x is None or y is None else edit_distance(x.tolist(), y.tolist()) for x, y in zip(xs, ys)], dtype="Int32")
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Character edit distance; where one text starts the other it is the difference of their lengths, and no table is filled. Of long texts a band of the
-    table comes first, and the rest only where the distance is beyond it."""
-    starts = F.startswith(a, b) | F.startswith(b, a)
-    apart = F.abs(F.length(a) - F.length(b))
-    banded = F.coalesce(F.nullif(F.levenshtein(a, b, _BAND), F.lit(-1)), F.levenshtein(a, b))
-    return F.when(starts, apart).when((F.least(F.length(a), F.length(b)) > _BANDED) & (apart <= _BAND), banded).otherwise(F.levenshtein(a, b))
+    """Character edit distance; where one text starts the other it is the difference of their lengths, and no table is filled."""
+    easy = F.startswith(a, b) | F.startswith(b, a)
+    short = F.least(F.length(a), F.length(b)) <= _SHORT
+    sent = lambda x: F.when(~easy & ~short, x)
+    return F.when(easy, F.abs(F.length(a) - F.length(b))).when(short, F.levenshtein(a, b)).otherwise(_char_distances(sent(a), sent(b)))
 
 
 def error_rate(errors: Column, length: Column) -> Column:
@@ -43,14 +95,10 @@ def cer(reference: Column, hypothesis: Column, diacritics: bool = True) -> Colum
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of words, each distinct word spelt as one character; an error beyond ``_MOST_SIGNS`` distinct words."""
-    known = F.array_distinct(F.concat(a, b))
-    near = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + (_FIRST_SIGN - 1)), 4, "0")), "UTF-16BE")
-    far = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + (_FAR_SIGN - 1)), 8, "0")), "UTF-32")
-    spelt = lambda words, sign: F.array_join(F.transform(words, sign), "")
-    by = lambda sign: F.levenshtein(spelt(a, sign), spelt(b, sign))
-    too_many = F.raise_error(F.lit(f"more than {_MOST_SIGNS} distinct words")).cast("int")
-    return F.when(a == b, F.lit(0)).when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).when(F.size(known) <= _NEAR_SIGNS, by(near)).when(F.size(known) <= _MOST_SIGNS, by(far)).otherwise(too_many)
+    """Levenshtein distance of two arrays of words."""
+    easy = (a == b) | (F.size(a) == 0) | (F.size(b) == 0)
+    sent = lambda x: F.when(~easy, x)
+    return F.when(a == b, F.lit(0)).when(easy, F.greatest(F.size(a), F.size(b))).otherwise(_word_distances(sent(a), sent(b)))
 
 
 def wer(reference: Column, hypothesis: Column, diacritics: bool = True) -> Column:
@@ -58,60 +106,47 @@ def wer(reference: Column, hypothesis: Column, diacritics: bool = True) -> Colum
     return error_rate(word_distance(ref, hyp), F.size(ref))
 
 
-def _rows(start: np.ndarray, ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
-    """The rows of the distance table after ``start``, one for each symbol of ``ref``; the first is ``start`` itself."""
-    out = np.empty((len(ref) + 1, len(hyp) + 1), np.int32)
-    out[0] = start
-    steps = np.arange(len(hyp) + 1, dtype=np.int32)
-    for i, x in enumerate(ref, 1):
-        row = out[i]
-        row[0] = out[i - 1, 0] + 1
-        np.minimum(out[i - 1, 1:] + 1, out[i - 1, :-1] + (hyp != x), out=row[1:])
-        row -= steps
-        np.minimum.accumulate(row, out=row)
-        row += steps
-    return out
-
-
 def align(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[str | None, str | None]]:
     """Pairs of aligned symbols, None for a gap. From the end backwards a match is taken before a substitution, a deletion, an insertion."""
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(x, len(ids)) for x in ref], np.int32)
-    b = np.array([ids.setdefault(x, len(ids)) for x in hyp], np.int32)
     path: list[tuple[str | None, str | None]] = []
-    i, j = len(a), len(b)
-    while i and j and a[i - 1] == b[j - 1]:
+    i, j = len(ref), len(hyp)
+    while i and j and ref[i - 1] == hyp[j - 1]:
         i, j = i - 1, j - 1
         path.append((ref[i], hyp[j]))
-    a, b = a[:i], b[:j]
-    step = max(1, math.isqrt(i))
-    kept = [np.arange(j + 1, dtype=np.int32)]
-    for first in range(0, i, step):
-        kept.append(_rows(kept[-1], a[first : first + step], b)[-1])
-    while i:
-        first = (i - 1) // step * step
-        table = _rows(kept[first // step][: j + 1], a[first:i], b[:j])
-        while i > first:
-            k = i - first
-            if j and a[i - 1] == b[j - 1]:
+    masks, whole = _masks(ref[:i]), (1 << i) - 1
+    step = max(1, _KEPT_BYTES // (i // 3 + 64))  # two vectors of about i / 7 bytes for each column
+    up, down, kept = whole, 0, []
+    for n in range(j):
+        if n % step == 0:
+            kept.append((up, down))
+        if j > step:
+            _, up, down = _column(masks.get(hyp[n], 0), up, down, whole)
+    while i and j:
+        first = (j - 1) // step * step
+        up, down = kept[first // step]
+        columns = []
+        for n in range(first, j):
+            same, up, down = _column(masks.get(hyp[n], 0), up, down, whole)
+            columns.append((same, up))
+        while i and j > first:
+            same, up = columns[j - 1 - first]
+            if ref[i - 1] == hyp[j - 1]:
                 i, j = i - 1, j - 1
                 path.append((ref[i], hyp[j]))
-            elif j and table[k, j] == table[k - 1, j - 1] + 1:
+            elif not same >> (i - 1) & 1:
                 i, j = i - 1, j - 1
                 path.append((ref[i], hyp[j]))
-            elif table[k, j] == table[k - 1, j] + 1:
+            elif up >> (i - 1) & 1:
                 i -= 1
                 path.append((ref[i], None))
             else:
                 j -= 1
                 path.append((None, hyp[j]))
-    path += [(None, hyp[k]) for k in range(j - 1, -1, -1)]
+    path += [(ref[k], None) for k in range(i - 1, -1, -1)] + [(None, hyp[k]) for k in range(j - 1, -1, -1)]
     path.reverse()
     return path
 
 
-
-
 def _list_of(texts: str, flags: str = "") -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in texts.split()] + [T.StructField(n, T.BooleanType()) for n in flags.split()]))
 

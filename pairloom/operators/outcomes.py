@@ -11,6 +11,8 @@ from pairloom.functions.classify import CATEGORIES, TYPED, insight_kind, outcome
 from pairloom.functions.edit import char_error_counts, distance, error_rate
 from pairloom.functions.text import normalise
 from pairloom.operators.pairs import scored
+from pairloom.operators.percentiles import at_ranks, counted, on
+from pairloom.plans.shared import kept
 
 
 def compared(corrections: DataFrame) -> DataFrame:
@@ -40,6 +42,19 @@ def outcome_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *counts, F.avg("cer_ocr").alias("cer_ocr"), F.avg("cer_llm").alias("cer_llm"))
 
 
+def rate_summary(corrections: DataFrame, by: list[str]) -> DataFrame:
+    """Outcome counts of each group and the means of its four rates: characters and words, before and after, without diacritics and (``_raw``) with them."""
+    rows = compared(corrections)
+    names = []
+    for raw in (False, True):
+        for name, column in (("ocr", "ocr_text"), ("llm", "corrected_text")):
+            rows = scored(rows.drop("chars", "cer"), column, diacritics=raw)
+            names += [f"{r}_{name}{'_raw' if raw else ''}" for r in ("cer", "wer")]
+            rows = rows.select(*corrections.columns, "outcome", *[c for c in names[:-2]], F.col("cer").alias(names[-2]), F.col("wer").alias(names[-1]))
+    counts = [F.count_if(F.col("outcome") == x).alias(x) for x in ("improved", "regressed", "unchanged")]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *counts, *[F.avg(c).alias(c) for c in names])
+
+
 def extremes(rows: DataFrame, regressed: int = 40, improved: int = 20) -> DataFrame:
     """The samples that lost most and gained most, as the report shows them; ties by id."""
     worst = rows.where("outcome = 'regressed'").orderBy(F.desc("cer_delta"), "sample_id").limit(regressed)
@@ -59,23 +74,21 @@ def training_metrics(corrections: DataFrame) -> DataFrame:
     rows, found = corrections.withColumn("corrected_text", F.coalesce("corrected_text", "ocr_text")), []
     keep = ["dataset", "gt_text", "ocr_text", "corrected_text"]
     rows = rows.select(*keep)
-    for kept in (False, True):
+    for marks in (False, True):
         for name, column in (("ocr", "ocr_text"), ("llm", "corrected_text")):
-            rows = scored(rows, column, diacritics=kept)
-            found += [(kept, name, r, f"{r}_{name}_{kept}") for r in ("cer", "wer")]
+            rows = scored(rows, column, diacritics=marks)
+            found += [(marks, name, r, f"{r}_{name}_{marks}") for r in ("cer", "wer")]
             rows = rows.select(*keep, *[c for *_, c in found[:-2]], F.col("cer").alias(found[-2][-1]), F.col("wer").alias(found[-1][-1]))
     each = F.array(*[F.struct(F.lit(d).alias("diacritics"), F.lit(t).alias("text"), F.lit(r).alias("rate"), F.col(c).alias("value")) for d, t, r, c in found])
     values = rows.select("dataset", F.explode(each).alias("x")).select("dataset", "x.*")
     family = ["dataset", "diacritics", "text", "rate"]
-    counted = values.groupBy(*family, "value").agg(F.count("*").alias("k"))
-    counted = counted.unionByName(counted.groupBy(*family[1:], "value").agg(F.sum("k").alias("k")).withColumn("dataset", F.lit(None).cast("string")))
-    upto = F.sum("k").over(Window.partitionBy(*family).orderBy("value"))
-    totals = Window.partitionBy(*family)
-    ranked = counted.withColumn("upto", upto).withColumn("n", F.sum("k").over(totals)).withColumn("mean", (F.sum(F.col("k") * F.col("value")).over(totals) / F.sum("k").over(totals)))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
-    std = F.sqrt(F.sum(F.col("k") * F.pow(F.col("value") - F.col("mean"), F.lit(2))) / (F.max("n") - 1))
-    return ranked.groupBy(*family).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), middle.alias("median"), F.when(F.max("n") > 1, std).otherwise(0.0).alias("std"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"))
+    values = counted(values, family, "value")
+    values = kept(values.unionByName(values.groupBy(*family[1:], "value").agg(F.sum("weight").alias("weight")).withColumn("dataset", F.lit(None).cast("string"))), "training-values")
+    # the deviation from the sums of squares, as all groups are summed in one pass
+    n, s, ss = F.sum("weight"), F.sum(F.col("weight") * F.col("value")), F.sum(F.col("weight") * F.col("value") * F.col("value"))
+    sums = values.groupBy(*family).agg(n.alias("n"), (s / n).alias("mean"), F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1)))).otherwise(0.0).alias("std"))
+    places = at_ranks(values, family)
+    return sums.join(places, on(family, sums, places)).select(*[sums[c] for c in (*family, "n", "mean")], ((F.col("low") + F.col("high")) / 2).alias("median"), "std", "p95")
 
 
 def _typed(corrections: DataFrame) -> DataFrame:
@@ -165,11 +178,22 @@ def impact(rows: DataFrame, by: list[str], band: float = 0.01) -> DataFrame:
     )
 
 
-def severity(rows: DataFrame) -> DataFrame:
-    """How far corrections moved, in four bands of 0.1."""
+def severity(rows: DataFrame, band: float = 1e-6) -> DataFrame:
+    """How far corrections moved: bands of 0.1, and ``same`` up to ``band`` either way."""
     d = F.col("cer_delta")
-    band = F.when(d <= -0.1, "large gain").when(d < 0, "gain").when(d == 0, "same").when(d < 0.1, "loss").otherwise("large loss")
-    return rows.groupBy(band.alias("severity")).agg(F.count("*").alias("n"))
+    band_ = F.when(F.abs(d) <= band, "same").when(d <= -0.1, "large gain").when(d < 0, "gain").when(d < 0.1, "loss").otherwise("large loss")
+    return rows.groupBy(band_.alias("severity")).agg(F.count("*").alias("n"))
+
+
+def prompt_evaluation(rows: DataFrame, by: list[str], band: float = 1e-6, large: float = 0.1) -> DataFrame:
+    """What a prompt did to each group: mean rates before and after, their difference (positive: better) and its share, how many samples improved, regressed
+    and stayed (within ``band``), these as percentages, and how many moved by ``large`` or more."""
+    gain = -F.col("cer_delta")
+    better, worse = gain > band, gain < -band
+    counts = {"improved": better, "regressed": worse, "unchanged": ~better & ~worse, "large_improve": better & (gain >= large), "small_improve": better & (gain < large), "small_regress": worse & (-gain < large), "large_regress": worse & (-gain >= large)}
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("cer_ocr").alias("ocr_cer"), F.avg("cer_llm").alias("cer"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    out = out.withColumn("cer_delta", F.col("ocr_cer") - F.col("cer")).withColumn("relative_pct", F.when(F.col("ocr_cer") > 0, F.col("cer_delta") / F.col("ocr_cer") * 100).otherwise(0.0))
+    return out.withColumn("improvement_rate", F.col("improved") / F.col("n") * 100).withColumn("regression_rate", F.col("regressed") / F.col("n") * 100)
 
 
 def run_averages(runs: DataFrame) -> DataFrame:

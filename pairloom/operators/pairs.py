@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.edit import distance, error_rate, word_distance
 from pairloom.functions.text import normalise, tokens
+from pairloom.operators.percentiles import at_ranks, counted, on, statistics
+from pairloom.plans.shared import kept
 
 RUNAWAY = 5.0
 
@@ -37,22 +39,21 @@ def spread(c: Column) -> Column:
 
 
 def metrics(rows: DataFrame, by: list[str], words: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
-    """Counts, sums and the mean, deviation, median and 95th percentile of the rates of each group, and the aggregates ``more``."""
+    """Counts, sums and the mean, deviation, median and 95th percentile of the rates of each group, and the aggregates ``more``.
+
+    What the summaries need of each row is written once, as texts cost far more to score than rows to read again."""
     rates = ["cer", "wer"] if words else ["cer"]
     summed = [F.count("*").alias("num_samples"), F.sum("chars").cast("long").alias("num_chars_ref")] + ([F.sum("words").cast("long").alias("num_words_ref")] if words else [])
-    summed += [x for r in rates for x in (F.avg(r).alias(r), spread(F.col(r)).alias(f"{r}_std"), F.median(r).alias(f"{r}_median"))]
-    out = rows.groupBy(*by).agg(*summed, *more)
-    for r in rates:
-        out = out.join(percentile(rows, by, r).withColumnRenamed("value", f"{r}_p95"), by)
-    return out
+    summed += [x for r in rates for x in (F.avg(r).alias(r), spread(F.col(r)).alias(f"{r}_std"))]
+    rows = kept(rows.select(*[c for c in rows.columns if rows.schema[c].dataType.typeName() in ("integer", "long", "double", "boolean") or c in by]), "metrics-rows")
+    out, places = rows.groupBy(*by).agg(*summed, *more), statistics(rows, by, rates)
+    joined = out.join(places, on(by, out, places), "left").drop(*[places[c] for c in by])
+    return joined.select(*by, *[c for c in joined.columns if c not in by])
 
 
 def percentile(rows: DataFrame, by: list[str], rate: str, percent: int = 95) -> DataFrame:
-    """``by, value``: the nearest-rank percentile. Equal values are counted first, so what a group gathers is its distinct values, ordered by a window."""
-    counted = rows.groupBy(*by, rate).agg(F.count("*").alias("n"))
-    sums = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(rate))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    at = F.least(F.col("total") - 1, F.floor(F.col("total") * (percent / 100.0)))
-    return sums.where(F.col("upto") > at).groupBy(*by).agg(F.min(rate).alias("value"))
+    """``by, value``: the nearest-rank percentile, exact at any size."""
+    return at_ranks(counted(rows, by, rate), by, {"value": lambda n: F.least(n - 1, F.floor(n * (percent / 100.0)))})
 
 
 def metrics_and_quality(rows: DataFrame, by: list[str]) -> DataFrame:

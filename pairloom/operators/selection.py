@@ -43,10 +43,10 @@ def mean_over_normal(rows: DataFrame, key: str, empty: float | None = 0.0) -> Da
     return each.unionByName(each.agg(F.lit(None).cast("string").alias(key), F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in rates]))
 
 
-def degraded_then_hard(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` worst of the degraded samples by how much they lost, then the ``n`` hardest of the unchanged ones by their OCR error rate; ``turn, rank`` give the order."""
+def degraded_then_hard(rows: DataFrame, n: int, hard: float = 0.05) -> DataFrame:
+    """The ``n`` worst of the degraded samples by how much they lost, then the ``n`` hardest of the unchanged ones by their OCR error rate, if that is over ``hard``; ``turn, rank`` give the order."""
     sorted_by = lambda kind, turn, by: (
-        rows.where(training_class(F.col("cer_ocr"), F.col("cer_llm")) == kind).orderBy(F.desc(by), "sample_id").limit(n)
+        rows.where((training_class(F.col("cer_ocr"), F.col("cer_llm")) == kind) & (F.lit(turn == 0) | (F.col("cer_ocr") > hard))).orderBy(F.desc(by), "sample_id").limit(n)
         .withColumn("turn", F.lit(turn)).withColumn("rank", F.row_number().over(Window.partitionBy("turn").orderBy(F.desc(by), "sample_id")))
     )
     return sorted_by("degraded", 0, "cer_delta").unionByName(sorted_by("unchanged", 1, "cer_ocr"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import classify, text
 from pairloom.operators.pairs import spread_out
-from pairloom.operators import correct, errors, knowledge, outcomes, pairs, prompts, relational, retrieval, sampling, selection, stats, validation
-from pairloom.plans import jobs
+from pairloom.operators import correct, errors, gram_index, knowledge, outcomes, pairs, prompts, relational, retrieval, sampling, selection, stats, validation
+from pairloom.plans import jobs, shared
 from pairloom.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,11 +176,23 @@ def agg22_training_buckets(spark, d):
     return outcomes.training_buckets(outcomes.compared(samples(spark, d)))
 
 
-@query(f"""WITH {C} SELECT CASE WHEN cer_delta <= -0.1::DOUBLE THEN 'large gain' WHEN cer_delta < 0 THEN 'gain' WHEN cer_delta = 0 THEN 'same' WHEN cer_delta < 0.1::DOUBLE THEN 'loss' ELSE 'large loss' END AS severity, count(*) AS n FROM q GROUP BY 1""")
+@query(f"""WITH {C} SELECT CASE WHEN abs(cer_delta) <= 1e-6::DOUBLE THEN 'same' WHEN cer_delta <= -0.1::DOUBLE THEN 'large gain' WHEN cer_delta < 0 THEN 'gain' WHEN cer_delta < 0.1::DOUBLE THEN 'loss' ELSE 'large loss' END AS severity, count(*) AS n FROM q GROUP BY 1""")
 def agg30_severity(spark, d):
     return outcomes.severity(outcomes.compared(samples(spark, d)))
 
 
+@query(f"""WITH {C}, mv AS (SELECT dataset, cer_ocr, cer_llm, -cer_delta AS gain FROM q), m AS (SELECT dataset, count(*) AS n, avg(cer_ocr) AS ocr_cer, avg(cer_llm) AS cer, count(*) FILTER (WHERE gain > 1e-6::DOUBLE) AS improved, count(*) FILTER (WHERE gain < -1e-6::DOUBLE) AS regressed, count(*) FILTER (WHERE abs(gain) <= 1e-6::DOUBLE) AS unchanged,
+count(*) FILTER (WHERE gain >= 0.1::DOUBLE) AS large_improve, count(*) FILTER (WHERE gain > 1e-6::DOUBLE AND gain < 0.1::DOUBLE) AS small_improve, count(*) FILTER (WHERE gain < -1e-6::DOUBLE AND gain > -0.1::DOUBLE) AS small_regress, count(*) FILTER (WHERE gain <= -0.1::DOUBLE) AS large_regress FROM mv GROUP BY dataset)
+SELECT *, ocr_cer - cer AS cer_delta, CASE WHEN ocr_cer > 0 THEN (ocr_cer - cer) / ocr_cer * 100 ELSE 0 END AS relative_pct, improved / n * 100 AS improvement_rate, regressed / n * 100 AS regression_rate FROM m""")
+def agg30_prompt_evaluation(spark, d):
+    return outcomes.prompt_evaluation(outcomes.compared(samples(spark, d)), ["dataset"])
+
+
+@query()
+def agg20_rate_outcomes(spark, d):
+    return outcomes.rate_summary(samples(spark, d), ["dataset"])
+
+
 @query(f"""WITH {C}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cer_delta, sample_id) AS lo, row_number() OVER (PARTITION BY dataset ORDER BY -cer_delta, sample_id) AS hi FROM q)
 SELECT dataset, count(*) FILTER (WHERE cer_delta < -0.01::DOUBLE) AS improved, count(*) FILTER (WHERE abs(cer_delta) <= 0.01::DOUBLE) AS unchanged, count(*) FILTER (WHERE cer_delta > 0.01::DOUBLE) AS worsened, max(sample_id) FILTER (WHERE lo = 1) AS best, max(sample_id) FILTER (WHERE hi = 1) AS worst, avg(cer_delta) AS mean_delta FROM r GROUP BY dataset""")
 def agg35_impact(spark, d):
@@ -553,9 +565,8 @@ n AS (SELECT doc_id, greatest(length(text) - 2, 0) AS len FROM documents), t AS
 s AS (SELECT item_id, doc_id, sum(ln(1 + (documents - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean_length))) AS score FROM a JOIN f USING (gram) JOIN i USING (gram) JOIN n USING (doc_id), t GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3""")
 def jon16_bm25(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    totals = docs.agg(F.count("*").alias("documents"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("mean_length"))
-    return retrieval.bm25(table(spark, d, "benchmark"), retrieval.postings(docs), totals, 3).select("item_id", "doc_id", "score", "rank")
+    index = shared.kept(gram_index.gram_index(table(spark, d, "documents").select("doc_id", "text")), "grams")
+    return gram_index.bm25(table(spark, d, "benchmark"), index, 3)
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(x.e, x.e))) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
@@ -653,7 +664,7 @@ def agg28_mean_over_normal(spark, d):
 
 @query(f"""WITH {C}, t AS (SELECT sample_id, cer_ocr, cer_delta, CASE WHEN cer_llm = 0 THEN 'perfect' WHEN cer_delta > 0.005::DOUBLE THEN 'degraded' WHEN abs(cer_delta) <= 0.005::DOUBLE THEN 'unchanged' ELSE 'improved' END AS k FROM q)
 SELECT sample_id, 0 AS turn, CAST(row_number() OVER (ORDER BY cer_delta DESC, sample_id) AS INTEGER) AS rank FROM t WHERE k = 'degraded' QUALIFY rank <= 30
-UNION ALL SELECT sample_id, 1 AS turn, CAST(row_number() OVER (ORDER BY cer_ocr DESC, sample_id) AS INTEGER) AS rank FROM t WHERE k = 'unchanged' QUALIFY rank <= 30""")
+UNION ALL SELECT sample_id, 1 AS turn, CAST(row_number() OVER (ORDER BY cer_ocr DESC, sample_id) AS INTEGER) AS rank FROM t WHERE k = 'unchanged' AND cer_ocr > 0.05::DOUBLE QUALIFY rank <= 30""")
 def top04_degraded_then_hard(spark, d):
     return selection.degraded_then_hard(outcomes.compared(samples(spark, d)).select("sample_id", "cer_ocr", "cer_llm", "cer_delta"), 30).select("sample_id", "turn", "rank")
 

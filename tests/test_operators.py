@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.operators.gram_index import gram_index
 from pairloom.operators import correct, errors, outcomes, pairs, prompts, relational, retrieval, sampling, stats, validation
 from pairloom.plans import jobs
 from pairloom.sources import readers, sinks
@@ -165,8 +166,7 @@ def test_joins(spark):
 
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "the quick fox"), (2, "lazy dogs sleep"), (3, "quick quick fox")], "doc_id long, text string")
-    totals = docs.agg(F.count("*").alias("documents"), F.avg(F.length("text") - 2).alias("mean_length"))
-    found = retrieval.bm25(spark.createDataFrame([(9, "quick fox"), (8, "zzz")], "item_id long, text string"), retrieval.postings(docs), totals, 2).collect()
+    found = retrieval.bm25(spark.createDataFrame([(9, "quick fox"), (8, "zzz")], "item_id long, text string"), gram_index(docs), 2).collect()
     assert {r.doc_id for r in found} == {1, 3} and {r.item_id for r in found} == {9}
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     near = retrieval.dense(vectors.where("vec_id = 1").withColumnRenamed("vec_id", "query_id"), vectors, 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import edit
 from pairloom.operators import correct, knowledge, prompts, retrieval, selection
 from pairloom.sources import readers, sinks
+from test_text import table_path
 
 
 def write(path, data):
@@ -111,13 +112,11 @@ def test_long_texts_and_many_words(spark, monkeypatch):
     got = [tuple(r) for r in rows.select(edit.distance(F.col("a"), F.col("b")), F.levenshtein("a", "b")).collect()]
     assert got[0][0] == 2 and all(x == y for x, y in got)
     words = lambda c: F.split(c, " ")
-    two = spark.createDataFrame([("a b c d e f", "a x c d f g"), ("a", "b")], "a string, b string")
-    want = [r[0] for r in two.select(edit.word_distance(words("a"), words("b"))).collect()]
-    monkeypatch.setattr(edit, "_NEAR_SIGNS", 2)
-    assert [r[0] for r in two.select(edit.word_distance(words("a"), words("b"))).collect()] == want == [3, 1]
-    monkeypatch.setattr(edit, "_MOST_SIGNS", 3)
-    with pytest.raises(Exception, match="distinct words"):
-        two.select(edit.word_distance(words("a"), words("b"))).collect()
+    many = " ".join(f"w{i}" for i in range(40_000))
+    two = spark.createDataFrame([("a b c d e f", "a x c d f g"), ("a", "b"), (many, many.replace("w7 ", "")), (None, "a")], "a string, b string")
+    assert [r[0] for r in two.select(edit.word_distance(words("a"), words("b"))).collect()] == [3, 1, 1, None]
+    monkeypatch.setattr(edit, "_KEPT_BYTES", 1 << 10)  # columns in many blocks
+    assert edit.align(a + "x", a[::-1]) == table_path(a + "x", a[::-1])
 
 
 def test_answers_are_asked_again_one_by_one():
