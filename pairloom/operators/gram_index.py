@@ -112,7 +112,7 @@ def _frequencies(codes: np.ndarray):
     return count
 
 
-def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_of(found: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of each query; scores are compared to six decimals, then the smaller key is better."""
     found = found.assign(r=-found.score.round(6)).sort_values(["q", "r", "key"], kind="stable", na_position="first")
     return found[found.groupby("q").cumcount() < k].drop(columns="r")
@@ -127,7 +127,7 @@ def _scan(asked: _Asked, mean: float, k: int, floor: np.ndarray | None, out: T.S
         least = np.zeros(nq) if floor is None else floor.copy()
 
         def shrunk() -> pd.DataFrame:
-            best = _best(pd.concat(held, ignore_index=True), k)
+            best = best_of(pd.concat(held, ignore_index=True), k)
             full = best.groupby("q").score.agg(["size", "min"])
             full = full[full["size"] == k]
             least[full.index] = np.maximum(least[full.index], full["min"])

@@ -29,8 +29,10 @@ def token_validity(pairs: DataFrame, lexicon: DataFrame, by: list[str], letters:
     )
 
 
-def text_validity(texts: DataFrame, lexicon: DataFrame, key: str, text: str, letters: str = ARABIC) -> DataFrame:
-    """``key, rate``: share of a text's words that the lexicon has; 1 for a text without words."""
+def text_validity(texts: DataFrame, lexicon: DataFrame | None, key: str, text: str, letters: str = ARABIC) -> DataFrame:
+    """``key, rate``: share of a text's words that the lexicon has; 1 for a text without words. Without a lexicon (an analyser that is switched off) every rate is 0."""
+    if lexicon is None:
+        return texts.select(key, F.lit(0.0).alias("rate"))
     words = texts.select(key, F.explode(F.filter(tokens(F.col(text)), lambda x: x.rlike(letters))).alias("word"))
     hit = words.join(lexicon.select("word").distinct().withColumn("k", F.lit(1)), "word", "left").groupBy(key).agg((F.count("k") / F.count("*")).alias("rate"))
     return texts.select(key).join(hit, key, "left").select(key, F.coalesce("rate", F.lit(1.0)).alias("rate"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import classify, text
 from pairloom.operators.pairs import spread_out
-from pairloom.operators import correct, errors, gram_index, knowledge, outcomes, pairs, prompts, relational, retrieval, sampling, selection, stats, validation
+from pairloom.operators import correct, errors, gram_index, knowledge, morphology, outcomes, pairs, prompts, relational, retrieval, sampling, selection, signatures, stats, validation
 from pairloom.plans import jobs, shared
 from pairloom.sources import readers, sinks
 
@@ -514,6 +514,50 @@ def _lexicon(spark, d):
     return table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).distinct()
 
 
+# The forms and pairs of categories of a small morphology over the words of the benchmark.
+_PREFIXES = [("", "none"), ("a", "vowel"), ("re", "again"), ("de", "again"), ("T", "capital")]
+_SUFFIXES = [("", "none"), ("s", "many"), ("n", "many"), ("ra", "long"), ("o", "long")]
+_PREFIX_STEM = [("none", "even"), ("none", "odd"), ("vowel", "even"), ("again", "odd"), ("capital", "odd")]
+_STEM_SUFFIX = [("even", "none"), ("odd", "none"), ("even", "many"), ("odd", "long")]
+_PREFIX_SUFFIX = [("none", "none"), ("none", "many"), ("none", "long"), ("vowel", "none"), ("vowel", "many"), ("again", "none"), ("capital", "long")]
+
+
+def _morphology(spark, d):
+    stems = _lexicon(spark, d).where(F.length("word") >= 3).select(F.col("word").alias("form"), F.when(F.length("word") % 2 == 0, "even").otherwise("odd").alias("category"))
+    forms, pairs_ = (lambda x: spark.createDataFrame(x, "form string, category string")), (lambda x: spark.createDataFrame(x, "a string, b string"))
+    return morphology.Morphology(forms(_PREFIXES), stems, forms(_SUFFIXES), pairs_(_PREFIX_STEM), pairs_(_STEM_SUFFIX), pairs_(_PREFIX_SUFFIX))
+
+
+_rows_sql = lambda rows: ", ".join(f"({_quoted(x)}, {_quoted(y)})" for x, y in rows)
+_TEXT_WORDS = "list_filter(regexp_split_to_array({0}, '[\\s!-/:-@\\[-`{{-~]+'), lambda x: regexp_matches(x, '[A-Za-z]'))"
+_MORPHOLOGY = f"""p(prefix, prefix_category) AS (VALUES {_rows_sql(_PREFIXES)}), f(suffix, suffix_category) AS (VALUES {_rows_sql(_SUFFIXES)}), ps(x, y) AS (VALUES {_rows_sql(_PREFIX_STEM)}), sf(x, y) AS (VALUES {_rows_sql(_STEM_SUFFIX)}), pf(x, y) AS (VALUES {_rows_sql(_PREFIX_SUFFIX)}),
+st AS (SELECT word AS stem, CASE WHEN length(word) % 2 = 0 THEN 'even' ELSE 'odd' END AS stem_category FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS word FROM benchmark) WHERE length(word) >= 3),
+dw AS (SELECT DISTINCT unnest({_TEXT_WORDS.format('gt_text')}) AS word FROM s UNION SELECT DISTINCT unnest({_TEXT_WORDS.format('ocr_text')}) FROM s),
+an AS (SELECT word, prefix, stem, suffix, prefix_category, stem_category, suffix_category FROM dw, p, f, st WHERE word = prefix || stem || suffix AND (prefix_category, stem_category) IN (SELECT (x, y) FROM ps) AND (stem_category, suffix_category) IN (SELECT (x, y) FROM sf) AND (prefix_category, suffix_category) IN (SELECT (x, y) FROM pf))"""
+
+
+@query(f"WITH {SAMPLES}, {_MORPHOLOGY} SELECT * FROM an")
+def udf07_analyses(spark, d):
+    rows = samples(spark, d)
+    words = [F.filter(text.tokens(F.col(c)), lambda x: x.rlike(ASCII_LETTERS)) for c in ("gt_text", "ocr_text")]
+    return morphology.analyses(rows.select(F.explode(F.array_distinct(F.concat(*words))).alias("word")), _morphology(spark, d))
+
+
+@query(f"""WITH {SAMPLES}, {_MORPHOLOGY}, t AS (SELECT dataset, {_TEXT_WORDS.format('gt_text')} AS g, {_TEXT_WORDS.format('ocr_text')} AS o FROM s), z AS (SELECT dataset, unnest(g[1 : least(len(g), len(o))]) AS gt, unnest(o[1 : least(len(g), len(o))]) AS ocr FROM t),
+x AS (SELECT DISTINCT word FROM an) SELECT dataset, count(*) AS tokens, count(*) FILTER (WHERE gt IN (SELECT word FROM x)) AS gt_valid, count(*) FILTER (WHERE ocr IN (SELECT word FROM x)) AS ocr_valid, count(*) FILTER (WHERE ocr IN (SELECT word FROM x) AND gt <> ocr) AS valid_but_wrong,
+count(*) FILTER (WHERE ocr NOT IN (SELECT word FROM x) AND gt IN (SELECT word FROM x)) AS non_word, count(*) FILTER (WHERE ocr NOT IN (SELECT word FROM x) AND gt NOT IN (SELECT word FROM x)) AS both_invalid FROM z GROUP BY dataset""")
+def agg16_morphology(spark, d):
+    rows = samples(spark, d)
+    return validation.token_validity(rows, shared.kept(morphology.known_words(rows, ["gt_text", "ocr_text"], _morphology(spark, d), ASCII_LETTERS), "known-words"), ["dataset"], ASCII_LETTERS)
+
+
+@query()
+def udf09_morphology(spark, d):
+    rows = samples(spark, d)
+    lexicon = shared.kept(morphology.known_words(rows, ["corrected_text", "ocr_text"], _morphology(spark, d), ASCII_LETTERS), "known-words")
+    return validation.reverted(rows, lexicon, letters=ASCII_LETTERS)
+
+
 @query(f"""WITH {SAMPLES}, x AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS word FROM benchmark), w AS (SELECT sample_id, unnest(list_filter(regexp_split_to_array(gt_text, '[\\s!-/:-@\\[-`{{-~]+'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS word FROM s),
 r AS (SELECT sample_id, count(x.word) / count(*) AS rate FROM w LEFT JOIN x USING (word) GROUP BY sample_id) SELECT sample_id, coalesce(rate, 1) AS rate FROM s LEFT JOIN r USING (sample_id)""")
 def agg17_text_validity(spark, d):
@@ -579,9 +623,24 @@ def rag03_dense(spark, d):
 @query()
 def jon17_signatures(spark, d):
     found = errors.char_error_rows(samples(spark, d)).withColumn("doc_id", F.split("sample_id", "_")[0].cast("long"))
-    sig = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("ocr_char")).alias("chars"), F.array_sort(F.collect_set("error_type")).alias("types"), F.count("*").alias("difficulty"), F.count_if(F.col("error_type") == "insertion").alias("invalid"))
-    held = table(spark, d, "labels").select("doc_id")
-    return retrieval.signature_matches(sig.join(held, "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id"), sig.join(held, "doc_id", "left_anti").withColumnRenamed("doc_id", "entry_id"))
+    sig = signatures.signatures(found, "doc_id", found.groupBy("doc_id").agg(F.count_if(F.col("error_type") == "insertion").alias("invalid")))
+    held, sig = table(spark, d, "labels").select("doc_id"), shared.kept(sig, "signatures")
+    return signatures.signature_matches(sig.join(held, "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id"), sig.join(held, "doc_id", "left_anti").withColumnRenamed("doc_id", "entry_id"))
+
+
+@query("""WITH g AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(t, '[A-Z0-9]'))) AS chars, list_distinct(list_transform(regexp_extract_all(t, '[a-z]+'), lambda w: length(w))) AS types,
+len(string_split(t, chr(10))) AS difficulty, len(regexp_extract_all(t, '[a-z]{9,}')) AS invalid FROM g),
+p AS (SELECT q.doc_id AS query_id, e.doc_id AS entry_id, len(list_intersect(q.chars, e.chars)) AS c, len(q.chars) + len(e.chars) AS cs, len(list_intersect(q.types, e.types)) AS y, len(q.types) + len(e.types) AS ys, abs(q.difficulty - e.difficulty) AS dd, abs(q.invalid - e.invalid) AS di
+FROM x q JOIN x e ON list_has_any(q.chars, e.chars) OR list_has_any(q.types, e.types) WHERE q.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND e.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+s AS (SELECT query_id, entry_id, 0.4::DOUBLE * coalesce(c / nullif(cs - c, 0), 0) + 0.3::DOUBLE * coalesce(y / nullif(ys - y, 0), 0) + 0.2::DOUBLE * (1 / (1 + dd)) + 0.1::DOUBLE * (1 / (1 + di)) AS score FROM p),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+def jon17_profiles(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    found = lambda p: F.regexp_extract_all(t, F.lit(f"({p})"))
+    types = F.array_distinct(F.transform(found("[a-z]+"), lambda w: F.length(w).cast("string")))
+    sig = table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(found("[A-Z0-9]"))).alias("chars"), F.array_sort(types).alias("types"), F.size(F.split(t, "\n")).alias("difficulty"), F.size(found("[a-z]{9,}")).alias("invalid"))
+    sig, toxic = shared.kept(sig, "profiles"), table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return signatures.signature_matches(sig.join(toxic, "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id"), sig.join(toxic, "doc_id", "left_anti").withColumnRenamed("doc_id", "entry_id"))
 
 
 # ---- sources and sinks

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators.gram_index import gram_index
+from pairloom.operators.signatures import signature_matches
 from pairloom.operators import correct, errors, outcomes, pairs, prompts, relational, retrieval, sampling, stats, validation
 from pairloom.plans import jobs
 from pairloom.sources import readers, sinks
@@ -175,7 +176,7 @@ def test_retrieval(spark):
     both = {r.vec_id: r.score for r in retrieval.hybrid(lexical, near, "query_id", "vec_id", 5).collect()}
     assert both[3] == pytest.approx(0.6) and both[2] > 0.6
     sig = spark.createDataFrame([(1, ["a", "b"], ["x"], 2, 0), (2, ["a"], ["x"], 2, 0), (3, ["q"], ["y"], 9, 9)], "query_id long, chars array<string>, types array<string>, difficulty int, invalid int")
-    hits = retrieval.signature_matches(sig.where("query_id = 1"), sig.where("query_id > 1").withColumnRenamed("query_id", "entry_id")).collect()
+    hits = signature_matches(sig.where("query_id = 1"), sig.where("query_id > 1").withColumnRenamed("query_id", "entry_id")).collect()
     assert [(r.entry_id, round(r.score, 6)) for r in hits] == [(2, 0.8)]
 
 
