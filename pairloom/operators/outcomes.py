@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.classify import CATEGORIES, TYPED, insight_kind, outcome, sample_category, training_class
@@ -12,6 +12,7 @@ from pairloom.functions.edit import char_error_counts, distance, error_rate
 from pairloom.functions.text import normalise
 from pairloom.operators.pairs import scored
 from pairloom.operators.percentiles import at_ranks, counted, on
+from pairloom.operators.prefix_sums import running_totals
 from pairloom.plans.shared import kept
 
 
@@ -126,8 +127,7 @@ def error_changes(corrections: DataFrame, by: list[str], cumulative: bool = Fals
     running totals after each sample (in order of ``ord``) instead, as older reports did."""
     rows = _typed(corrections)
     if cumulative:
-        so_far = Window.partitionBy(*by, "error_type").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-        stacked = _by_type(rows, [*by, "ord"]).withColumn("cb", F.sum("baseline").over(so_far)).withColumn("cr", F.sum("residual").over(so_far))
+        stacked = running_totals(_by_type(rows, [*by, "ord"]), [*by, "error_type"], ["ord"], {"cb": "baseline", "cr": "residual"})
         fixed, introduced = _step(F.col("cb"), F.col("cr"))
         out = stacked.groupBy(*by, "error_type").agg(F.sum("baseline").alias("baseline"), F.sum("residual").alias("residual"), F.sum(fixed).alias("fixed"), F.sum(introduced).alias("introduced"))
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections.abc import Iterator
@@ -13,6 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.operators.prefix_sums import positions
+from pairloom.plans.shared import kept
+
+_BLOCK = 1 << 16
+
 
 def normal_p(z: Column) -> Column:
     """Two-tailed p of a standard normal by a fifth-degree polynomial (Abramowitz and Stegun 26.2.17); 1 at or below 0."""
@@ -108,16 +114,48 @@ def bootstrap_interval(runs: DataFrame, baseline: str, repeats: int = 1000, alph
     return ranked.groupBy("run").agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))
 
 
-def exact_bootstrap(runs: DataFrame, baseline: str, repeats: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """The same with Python's seeded generator, value for value, for small runs: each system's differences are one group."""
-
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        d = rows.sort_values("ord")["d"].tolist()
-        rng, n = random.Random(seed), len(d)
-        means = sorted(sum(rng.choices(d, k=n)) / n for _ in range(repeats)) if n > 1 else [0.0] * repeats
-        at = lambda q: means[max(0, min(int(q * repeats), repeats - 1))]
-        return pd.DataFrame({"run": [rows["run"].iloc[0]], "low": [at(alpha / 2)], "high": [at(1 - alpha / 2)]})
-
+def repeat_states(n: int, repeats: int, tasks: int, seed: int) -> list[tuple[int, int, bytes, int]]:
+    """For each task its first repeat, its number of repeats, and the state of Python's seeded generator there, if a repeat draws ``n`` numbers."""
+    generator, out = np.random.RandomState(), []
+    words = random.Random(seed).getstate()[1]
+    generator.set_state(("MT19937", np.array(words[:-1], np.uint32), words[-1]))
+    per = -(-repeats // tasks)
+    for first in range(0, repeats, per):
+        _, state, at, *_ = generator.get_state()
+        out.append((first, min(per, repeats - first), state.astype("<u4").tobytes(), int(at)))
+        left = n * per if first + per < repeats else 0
+        while left:
+            left -= len(generator.random_sample(min(left, 1 << 20)))
+    return out
+
+
+def exact_bootstrap(runs: DataFrame, baseline: str, repeats: int = 1000, alpha: float = 0.05, seed: int = 42, tasks: int = 32) -> DataFrame:
+    """The same with Python's seeded generator, value for value: the differences of a system, in order, are blocks of an array, and its repeats are spread over ``tasks``, each of which
+    starts with the generator's state there. A task holds eight bytes for each sample of its system; a system of one sample has the interval (0, 0)."""
     base = runs.where(F.col("run") == baseline).select("sample_id", F.col("cer").alias("a"))
-    pairs = runs.where(F.col("run") != baseline).join(base, "sample_id").select("run", "ord", (F.col("a") - F.col("cer")).alias("d"))
-    return pairs.groupBy("run").applyInPandas(interval, "run string, low double, high double")
+    pairs = runs.where(F.col("run") != baseline).join(base, "sample_id").select("run", "ord", (F.col("a") - F.col("cer")).alias("d")).where("d IS NOT NULL")
+    placed = positions(pairs, ["run"], ["ord", "d"])
+    block = F.floor(F.col("position") / _BLOCK).cast("long").alias("block")
+    blocks = kept(placed.groupBy("run", block).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "d"))), lambda x: x["d"]).alias("ds")), "bootstrap-blocks")
+    sizes = {r.run: r.n for r in blocks.groupBy("run").agg(F.sum(F.size("ds")).alias("n")).collect()}
+    states = {n: repeat_states(n, repeats, tasks, seed) for n in set(sizes.values()) if n > 1}
+    starts = [(run, *s) for run, n in sizes.items() for s in states.get(n, [(0, repeats, b"", 0)])]
+
+    def means(rows: pd.DataFrame) -> pd.DataFrame:
+        d = np.concatenate(rows.sort_values("block")["ds"].tolist())
+        first, times, state, at = rows[["first", "times", "state", "at"]].iloc[0]
+        if not state:
+            return pd.DataFrame({"run": [rows["run"].iloc[0]] * times, "m": [0.0] * times})
+        generator, n, out = np.random.RandomState(), len(d), []
+        generator.set_state(("MT19937", np.frombuffer(state, "<u4"), int(at)))
+        drawn = lambda: (d[np.floor(generator.random_sample(min(1 << 16, n - k)) * n).astype(np.int64)].tolist() for k in range(0, n, 1 << 16))
+        for _ in range(times):
+            out.append(sum(itertools.chain.from_iterable(drawn())) / n)
+        return pd.DataFrame({"run": [rows["run"].iloc[0]] * times, "m": out})
+
+    kind = runs.schema["run"].dataType.simpleString()
+    dealt = runs.sparkSession.createDataFrame(starts, f"run {kind}, first int, times int, state binary, at int")
+    found = blocks.join(F.broadcast(dealt), "run").groupBy("run", "first").applyInPandas(means, f"run {kind}, m double")
+    ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("m")) - 1)
+    at = lambda q: F.max(F.when(F.col("k") == max(0, min(int(q * repeats), repeats - 1)), F.col("m")))
+    return ranked.groupBy("run").agg(at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))

@@ -7,6 +7,7 @@ import io
 import re
 import warnings
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -198,19 +199,20 @@ def unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def docx_text(content: Column) -> Column:
-    """Text runs of a word processor document, a paragraph a line."""
+    """The text runs of a word processor document with a blank between any two; null for a file that is none."""
     return docx_runs(content)
 
 
 @F.pandas_udf(T.StringType())
 def docx_runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def read(raw: bytes | None) -> str | None:
-        if raw is None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+                xml = z.read("word/document.xml").decode("utf-8", "replace")
+        except (zipfile.BadZipFile, KeyError, EOFError, zlib.error, NotImplementedError, RuntimeError):
             return None
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            xml = z.read("word/document.xml").decode("utf-8", "replace")
-        lines = ["".join(html_lib.unescape(t) for t in re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p)) for p in xml.split("</w:p>")]
-        return "\n".join(x for x in lines if x.strip())
+        text = " ".join(html_lib.unescape(t) for t in re.findall(r"<w:t(?:\s[^>]*)?>([^<]+)</w:t>", xml))
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
 
     for batch in batches:
         yield pd.Series([read(x) for x in batch], dtype="object")
