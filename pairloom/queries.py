@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions import classify, text
+from pairloom.functions import blocks, classify, text
 from pairloom.operators.pairs import spread_out
-from pairloom.operators import correct, errors, gram_index, knowledge, morphology, outcomes, pairs, prompts, relational, retrieval, sampling, selection, signatures, stats, validation
+from pairloom.operators import correct, dense_index, errors, gram_index, knowledge, morphology, outcomes, pairs, prefix_sums, prompts, relational, retrieval, sampling, selection, signatures, stats, validation
 from pairloom.plans import jobs, shared
 from pairloom.sources import readers, sinks
 
@@ -472,6 +472,11 @@ def sta04_bootstrap(spark, d):
     return stats.bootstrap_interval(runs(spark, d), "base")
 
 
+@query()
+def sta04_exact_bootstrap(spark, d):
+    return stats.exact_bootstrap(runs(spark, d), "base")
+
+
 @query(f"WITH {R} SELECT * FROM a")
 def agg27_run_averages(spark, d):
     return outcomes.run_averages(runs(spark, d))
@@ -601,6 +606,20 @@ def prm08_prompts(spark, d):
     return prompts.with_prompts(rows).select("sample_id", "prompt_used", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user_text"))
 
 
+@query()
+def aln06_word_changes(spark, d):
+    rows = samples(spark, d).withColumn("g", text.tokens(F.col("gt_text"))).withColumn("o", text.tokens(F.col("ocr_text")))
+    found = rows.where("g <> o").select("sample_id", F.posexplode(blocks.word_changes("g", "o")).alias("at", "x"))
+    return found.select("sample_id", "at", "x.*")
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY ord) - 1 AS place, CAST(sum(length(gt_text)) OVER (PARTITION BY dataset ORDER BY ord) AS BIGINT) AS chars_upto FROM s")
+def win01_positions(spark, d):
+    rows = samples(spark, d).select("sample_id", "dataset", "ord", F.length("gt_text").alias("chars"), F.lit(1).alias("one"))
+    summed = prefix_sums.running_totals(rows, ["dataset"], ["ord"], {"chars_upto": "chars", "n": "one"})
+    return summed.select("sample_id", "dataset", (F.col("n") - 1).alias("place"), "chars_upto")
+
+
 # ---- retrieval
 
 
@@ -620,6 +639,32 @@ def rag03_dense(spark, d):
     return retrieval.dense(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 5)
 
 
+@query("""WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM documents), i AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT gram, count(*) AS df FROM i GROUP BY gram),
+n AS (SELECT doc_id, greatest(length(text) - 2, 0) AS len FROM documents), t AS (SELECT count(*) AS documents, avg(len) AS mean_length FROM n), a AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM benchmark),
+b AS (SELECT item_id AS query_id, doc_id AS vec_id, sum(ln(1 + (documents - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean_length))) AS l FROM a JOIN f USING (gram) JOIN i USING (gram) JOIN n USING (doc_id), t GROUP BY item_id, doc_id
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(l, 6) DESC, doc_id) <= 50),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(x.e, x.e))) AS d FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(d, 6) DESC, x.vec_id) <= 50),
+h AS (SELECT query_id, vec_id, 0.6::DOUBLE * coalesce(l / m, 0) + 0.4::DOUBLE * coalesce(d, 0) AS score FROM (SELECT query_id, vec_id, l, max(l) OVER (PARTITION BY query_id) AS m FROM b) FULL JOIN c USING (query_id, vec_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS INTEGER) AS rank FROM h) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5""")
+def rag03_hybrid(spark, d):
+    """The texts of benchmark items and the vectors of the same number, against all documents and all vectors."""
+    index = shared.kept(gram_index.gram_index(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), key="vec_id"), "grams")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(e.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+    return retrieval.retrieve(asked, 5, "hybrid", index, e).select("query_id", "vec_id", "score", "rank")
+
+
+@query()
+def rag03_inverted_lists(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    quantiser, asked = dense_index.train(e), e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    index = shared.kept(dense_index.dense_index(e, quantiser), "dense-index")
+    probe, pool, _ = dense_index.tuned(asked, e, index, quantiser, 5)
+    return dense_index.near(asked, index, quantiser, 5, probe, pool)
+
+
 @query()
 def jon17_signatures(spark, d):
     found = errors.char_error_rows(samples(spark, d)).withColumn("doc_id", F.split("sample_id", "_")[0].cast("long"))
