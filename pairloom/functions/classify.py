@@ -38,6 +38,16 @@ def error_type(gt: Column, ocr: Column, shapes: bool = True) -> Column:
     return out.otherwise(F.lit("other_substitution"))
 
 
+# What prompts call the groups of letters, in the order in which they are listed.
+GROUP_NAMES = {"taa_marbuta": "Taa marbuta and haa", "hamza": "Hamza forms", "alef_maksura": "Alef maksura and yaa", "dot_confusion": "Dots", "other_substitution": "Others"}
+
+
+def confusion_type(gt: Column, ocr: Column) -> Column:
+    """The group of a confused pair of letters: of the groups of letters only, neither similar shapes nor gaps are told apart."""
+    whole = F.coalesce(gt, F.lit("")) != ""
+    return F.when(whole & (F.coalesce(ocr, F.lit("")) != ""), error_type(gt, ocr, shapes=False)).otherwise(F.lit("other_substitution"))
+
+
 def position_of(at: int, text: str) -> str:
     """Place of a character in the word around it, words being what lies between blanks, tabs and line breaks."""
     if at >= len(text):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.classify import ERROR_TYPES, POSITIONS
+from pairloom.functions.classify import ERROR_TYPES, GROUP_NAMES, POSITIONS, confusion_type
 from pairloom.functions.edit import char_errors, word_errors
 from pairloom.functions.text import is_arabic, normalise, tokens
 
@@ -110,3 +110,15 @@ def format_confusions(matrix: DataFrame, n: int = 20) -> DataFrame:
     line = F.format_string("%s → %s (%d%%)", "gt_char", "ocr_char", F.bround(F.col("probability") * 100).cast("int"))
     rows = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "gt_char", "ocr_char", line.alias("line")))).alias("rows"))
     return rows.select(F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("text"))
+
+
+def format_confusions_by_group(matrix: DataFrame, n: int = 20) -> DataFrame:
+    """One text with a line for each group of letters (``GROUP_NAMES`` in order), which names the pairs of the ``n`` most frequent confusions that fall into it; empty if there is none."""
+    best = top_confusions(matrix, n).withColumn("group", confusion_type(F.col("gt_char"), F.col("ocr_char")))
+    order = F.array_position(F.lit(list(GROUP_NAMES)), F.col("group"))
+    named = F.get(F.lit(list(GROUP_NAMES.values())), (order - 1).cast("int"))
+    pair = F.struct((-F.col("count")).alias("k"), "gt_char", "ocr_char", F.format_string("%s ~ %s", "gt_char", "ocr_char").alias("pair"))
+    lines = best.groupBy(order.alias("at"), named.alias("name")).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    line = F.format_string("- %s: %s", "name", F.array_join(F.transform("pairs", lambda x: x["pair"]), ", "))
+    rows = lines.agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))).alias("rows"))
+    return rows.select(F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("text"))

@@ -3,7 +3,6 @@ index statistics (AGG25), texts cut to a token budget (FN21), and the score of a
 
 from __future__ import annotations
 
-import os
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.classify import error_type
 from pairloom.functions.edit import char_errors
+from pairloom.operators.prefix_sums import positions
 from pairloom.operators.sampling import SEED
+from pairloom.sources.readers import exists
 
 _TOP = "array<struct<gt: string, ocr: string, count: long, probability: double>>"
 _NESTED = "map<string, map<string, struct<count: long, probability: double>>>"
@@ -22,7 +23,7 @@ def stored_confusions(spark: SparkSession, path: str) -> DataFrame:
     """``gt_char, ocr_char, count, probability`` of a stored matrix, most frequent first: its ``top_20`` if that holds any, else all its ``confusions``.
 
     A missing file is a FileNotFoundError, one that is no JSON object a ValueError."""
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     raw = spark.read.text(path, wholetext=True)
     if raw.where(F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))).limit(1).count() == 0:
@@ -34,6 +35,30 @@ def stored_confusions(spark: SparkSession, path: str) -> DataFrame:
     return best.unionByName(rest).orderBy(F.desc("count"), "gt_char", "ocr_char")
 
 
+def ranked_pairs(pairs: DataFrame, kind: str) -> DataFrame:
+    """``wrong, right, count, rank`` of the pairs of one ``kind`` (``kind, wrong, right``, as a file of word pairs gives them), most frequent first (ties by the words)."""
+    counted = pairs.where(F.col("kind") == kind).groupBy("wrong", "right").agg(F.count("*").alias("count"))
+    placed = positions(counted.withColumn("_less", -F.col("count")), [], ["_less", "wrong", "right"], "rank")
+    return placed.select("wrong", "right", "count", (F.col("rank") + 1).alias("rank"))
+
+
+def word_examples_text(pairs: DataFrame, n: int = 15) -> DataFrame:
+    """One text with a line for each of the first ``n`` pairs (by ``rank``); pairs that are equal or lack a side are passed over; empty if none is left."""
+    return _lines(pairs, n, F.format_string("- %s: %s", "wrong", "right"))
+
+
+def overcorrection_text(pairs: DataFrame, n: int = 10) -> DataFrame:
+    """One text that warns of the first ``n`` wrong words (by ``rank``) that a model made of right ones; empty if there are none."""
+    times = F.when(F.col("count") > 1, F.format_string(" (%d times)", "count")).otherwise("")
+    return _lines(pairs, n, F.concat(F.format_string("- do not write %s where the text has %s", "wrong", "right"), times))
+
+
+def _lines(pairs: DataFrame, n: int, line: Column) -> DataFrame:
+    fit = pairs.where((F.coalesce("wrong", F.lit("")) != "") & (F.coalesce("right", F.lit("")) != "") & (F.col("wrong") != F.col("right"))).orderBy("rank").limit(n)
+    rows = fit.agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))
+    return rows.select(F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("text"))
+
+
 def pairs_by_coverage(pairs: DataFrame, n: int) -> DataFrame:
     """``wrong, right, count``: of the ``COVERED`` most frequent pairs those that show most confusions not shown yet, one after another, then the most frequent of the rest."""
     top = pairs.orderBy(F.desc("count"), "wrong", "right").limit(COVERED)

@@ -444,6 +444,48 @@ def smp09_drawn(spark, d):
     return sampling.drawn(table(spark, d, "documents").where("NOT text RLIKE '[0-9]{5,}'").select("doc_id", "lang"), "doc_id", 200)
 
 
+def _mix_sql(targets):
+    most = " ".join(f"WHEN '{k}' THEN {n}" for k, n in targets.items())
+    return f"""WITH {D}, p AS (SELECT sample_id, font, md5('42:' || sample_id) AS draw, CASE WHEN cer = 0 THEN 'correct' WHEN cer <= 0.05::DOUBLE THEN 'easy' WHEN cer <= 0.25::DOUBLE THEN 'medium' ELSE 'hard' END AS difficulty FROM d WHERE chars >= 5 AND length_ratio <= 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY difficulty, font ORDER BY draw, sample_id) > 1 AS later FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY later, draw, sample_id) AS k FROM r)
+SELECT sample_id, font, difficulty FROM k WHERE k <= CASE difficulty {most} END"""
+
+
+@query(_mix_sql(sampling.targets_of(150)))
+def smp01_difficulty(spark, d):
+    return sampling.by_difficulty(pairs.scored(samples(spark, d), words=False), 150).select("sample_id", "font", "difficulty")
+
+
+@query(_mix_sql(sampling.MIX))
+def smp05_prompt_mix(spark, d):
+    return sampling.prompt_mix(pairs.scored(samples(spark, d), words=False)).select("sample_id", "font", "difficulty")
+
+
+@query(f"""WITH m AS (SELECT d.doc_id, d.source, l.doc_id IS NOT NULL AS p, n_chars < 200 AS blank FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l USING (doc_id)),
+k AS (SELECT *, greatest(1, round_even(count(*) OVER (PARTITION BY source) * 0.15::DOUBLE, 0)) - count(*) FILTER (WHERE p) OVER (PARTITION BY source) AS wanted, row_number() OVER (PARTITION BY source, p ORDER BY {_DRAW}, doc_id) AS k FROM m)
+SELECT doc_id, source, CASE WHEN p OR (k <= wanted AND NOT blank) THEN 'val' ELSE 'train' END AS split FROM k""")
+def smp06_validation(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") < 200).alias("blank"))
+    return sampling.validation_split(rows, "doc_id", ["source"], 0.15, table(spark, d, "labels").where("toxic = 1").select("doc_id"), "blank").drop("blank")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, doc_id // 7 AS slot, n_chars < 100 AS blank FROM documents), c AS (SELECT slot, bool_or(blank) AS blank FROM r GROUP BY slot HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM r)),
+m AS (SELECT slot, blank, slot IN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) AS p FROM c), k AS (SELECT *, greatest(1, round_even(count(*) OVER () * 0.15::DOUBLE, 0)) - count(*) FILTER (WHERE p) OVER () AS wanted, row_number() OVER (PARTITION BY p ORDER BY md5('42:' || slot), slot) AS k FROM m)
+SELECT doc_id, lang, slot, CASE WHEN p OR (k <= wanted AND NOT k.blank) THEN 'val' ELSE 'train' END AS split FROM r JOIN k USING (slot)""")
+def smp06_aligned(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.expr("doc_id div 7").alias("slot"), (F.col("n_chars") < 100).alias("blank"))
+    pinned = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("slot"))
+    return sampling.aligned_split(rows, "slot", "lang", 0.15, pinned, "blank").select("doc_id", "lang", "slot", "split")
+
+
+@query("""WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS pages, right(text, 2) AS t FROM documents), k AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS k FROM p WHERE doc_id % 2 = 1 AND pages = 1 AND NOT regexp_matches(t, '[a-zA-Z]{2,}'))
+SELECT doc_id, 'training' AS split FROM p WHERE doc_id % 2 = 0 AND pages = 1 UNION ALL SELECT doc_id, 'testing' FROM k WHERE k <= 50""")
+def smp09_single_page(spark, d):
+    """Lines are the pages; the script is told by the last two characters, as the texts are all in Latin letters."""
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("pages"), F.right("text", F.lit(2)).alias("end"))
+    return sampling.single_page_split(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "doc_id", "pages", "end", 50)
+
+
 # ---- runs and statistics
 
 

@@ -52,9 +52,14 @@ def paired_files(spark: SparkSession, ocr_path: str, gt_path: str, dataset: str,
     return both.select(F.lit(dataset).alias("dataset"), "sample_id", "ocr_text", "gt_text", "ocr_path", "gt_path")
 
 
+def font_file(root: str, font: str) -> str:
+    """The ground truth file of a font; one font's has no prefix (names are fixed)."""
+    return f"{root}/PATS_A01_Dataset/{'TraditionalText.txt' if font == 'Traditional' else f'A01-{font}Text.txt'}"
+
+
 def font_lines(spark: SparkSession, ocr_path: str, gt_file: str, dataset: str, encoding: str = "cp1256", cap: int = LINE_CAP) -> DataFrame:
-    """Files ``.._N`` paired with line N of one ground truth file."""
-    gt = spark.read.format("binaryFile").load(gt_file).select(F.posexplode(F.split(decoded(F.col("content"), encoding), "\r?\n")).alias("at", "gt_text")).select((F.col("at") + 1).cast("long").alias("line_no"), strip(F.col("gt_text")).alias("gt_text"))
+    """Files ``.._N`` paired with line N of one ground truth file; blank lines before the first text do not count."""
+    gt = spark.read.format("binaryFile").load(gt_file).select(F.posexplode(F.split(strip(decoded(F.col("content"), encoding)), "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]")).alias("at", "gt_text")).select((F.col("at") + 1).cast("long").alias("line_no"), strip(F.col("gt_text")).alias("gt_text"))
     ocr = files(spark, ocr_path).select("file_id", read_ocr(F.col("content"), cap).alias("ocr_text")).withColumn("line_no", F.nullif(F.regexp_extract("file_id", "_([0-9]+)$", 1), F.lit("")).cast("long"))
     return ocr.join(gt, "line_no").where("ocr_text <> '' AND gt_text <> ''").select(F.lit(dataset).alias("dataset"), F.col("file_id").alias("sample_id"), F.col("line_no").alias("ord"), "ocr_text", "gt_text")
 
