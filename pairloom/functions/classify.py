@@ -59,6 +59,7 @@ def position_of(at: int, text: str) -> str:
     return "word_start" if at == start else "word_end" if at == end - 1 else "word_middle"
 
 
+# The thresholds of categories, training classes, difficulties and pools below.
 def sample_category(ocr: Column, corrected: Column, gt: Column, cer_ocr: Column, cer_llm: Column) -> Column:
     o, c, g = strip(ocr), strip(corrected), strip(gt)
     better = cer_llm < cer_ocr - 1e-6

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import accepted_output, token_estimate
+from pairloom.functions.text import accepted_output, is_arabic, token_estimate
 from pairloom.operators.prompts import BASE
 
 SCHEMA = "sample_id string, dataset string, ocr_text string, corrected_text string, prompt_tokens long, output_tokens long, latency_s double, success boolean, error string"
@@ -101,7 +101,7 @@ def corrected(rows: DataFrame, name: str = "mock", batch: int = 64, retries: int
     if not arabic_only:
         return out
     kept = accepted_output(F.col("corrected_text"), F.col("ocr_text"))
-    return out.withColumn("success", F.col("success") & F.coalesce(F.col("corrected_text").rlike("[\\u0600-\\u06FF]"), F.lit(False))).withColumn("corrected_text", kept)
+    return out.withColumn("success", F.col("success") & F.coalesce(is_arabic(F.col("corrected_text")), F.lit(False))).withColumn("corrected_text", kept)
 
 
 def totals(corrections: DataFrame, by: list[str]) -> DataFrame:

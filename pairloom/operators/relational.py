@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.prefix_sums import running_totals
+
 
 def by_stem(ocr: DataFrame, gt: DataFrame, on: str = "stem") -> DataFrame:
     """Pairs of both sides, and what either side lacks, told apart by ``side``."""
@@ -86,8 +88,9 @@ def last_per_key(rows: DataFrame, by: list[str], order: str, value: str) -> Data
     return rows.groupBy(*by).agg(F.max_by(value, order).alias(value))
 
 
-def running_counts(rows: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
-    return rows.withColumn("running", F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+def running_counts(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``running``, the sum of ``value`` so far in its group, in two levels."""
+    return running_totals(rows, by, order, {"running": value})
 
 
 def joined_pages(pages: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:

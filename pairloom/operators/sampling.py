@@ -36,13 +36,14 @@ def stratified(rows: DataFrame, stratum: str, targets: dict[str, int], key: str,
 
 
 def split_by_ratio(rows: DataFrame, key: str, group: list[str], ratio: float, pinned: DataFrame | None = None, seed: int = SEED) -> DataFrame:
-    """Adds ``split``: pinned keys are validation, and so is as much of the rest of each group as makes ``ratio`` of it."""
+    """Adds ``split``: pinned keys are validation, and so is as much of the rest of each group as makes ``ratio`` of it. Places are found in two levels, as in ``validation_split``."""
     marked = rows if pinned is None else rows.join(pinned.select(key).distinct().withColumn("_pin", F.lit(1)), key, "left")
     pin = F.lit(0) if pinned is None else F.coalesce("_pin", F.lit(0))
-    whole = Window.partitionBy(*group)
-    marked = marked.withColumn("_p", pin).withColumn("_n", F.count("*").over(whole)).withColumn("_k", F.row_number().over(whole.orderBy(F.desc("_p"), shuffled(F.col(key), seed), key)))
-    val = (F.col("_p") == 1) | (F.col("_k") <= F.floor(F.col("_n") * ratio))
-    return marked.withColumn("split", F.when(val, "val").otherwise("train")).drop("_p", "_n", "_k", *(["_pin"] if pinned is not None else []))
+    marked = marked.withColumn("_free", 1 - pin).withColumn("_draw", shuffled(F.col(key), seed))
+    sizes = kept(marked.groupBy(*group).agg(F.count("*").alias("_n")), "split-sizes")
+    placed = positions(marked, group, ["_free", "_draw", key], "_place")
+    val = (placed["_free"] == 0) | (placed["_place"] < F.floor(sizes["_n"] * ratio))
+    return placed.join(sizes, on(group, placed, sizes)).select(*[placed[c] for c in rows.columns], F.when(val, "val").otherwise("train").alias("split"))
 
 
 def targets_of(n: int, percent: dict[str, int] = SHARES) -> dict[str, int]:

@@ -1,11 +1,16 @@
-"""Whole analyses composed of operators: baseline, correction run, comparison of runs (ORC01, ORC03, ORC05, entries A to D)."""
+"""Whole analyses composed of operators: baseline, correction run, comparison of runs, and an experiment of all of them that goes on where it stopped (ORC01-ORC03, ORC05, entries A to D)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import correct, errors, outcomes, pairs, prompts, stats
+from pairloom.functions.text import ARABIC
+from pairloom.operators import correct, errors, outcomes, pairs, prompts, relational, selection, stats, validation
+from pairloom.sources.readers import exists
 
 
 def baseline(samples: DataFrame, by: str = "dataset") -> dict[str, DataFrame]:
@@ -36,6 +41,64 @@ def run_comparison(runs: DataFrame, base: str) -> dict[str, DataFrame]:
     return {"averages": averages, "best": outcomes.best_run(averages), "statistics": stats.compare_all(shared, base), "intervals": stats.bootstrap_interval(shared, base)}
 
 
+def written_once(make: Callable[[], DataFrame], path: str, spark: SparkSession, force: bool = False) -> DataFrame:
+    """The table at ``path``; it is made and written if it is not there whole, or with ``force``."""
+    if force or not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def experiment(samples: DataFrame, folder: str, kinds: tuple[str, ...] = ("zero_shot", "ocr_aware", "self_reflective"), backend: str = "mock", lexicon: DataFrame | None = None, letters: str = ARABIC, arabic_only: bool = True,
+               force: bool = False, datasets: list[str] | None = None, ids: DataFrame | None = None, limit: int | None = None, **options) -> dict[str, DataFrame]:
+    """Baseline, corrections by every kind of prompt, their analyses, corrections reverted by a lexicon, and the comparison of all, each a table under ``folder``.
+
+    Tables that are there whole are read, so a run that failed goes on where it stopped; ``force`` makes all anew. ``samples`` (``dataset, sample_id, ord, ocr_text, gt_text``) are narrowed to ``datasets``, to
+    the ``ids`` (``sample_id``) and to ``limit`` of each data set, in this order. Prompts of later kinds are told what earlier tables found: the pooled confusions of the baseline, and what the first kind's model got wrong."""
+    spark, out = samples.sparkSession, {}
+    if datasets:
+        samples = samples.where(F.col("dataset").isin(datasets))
+    if ids is not None:
+        samples = samples.join(ids.select("sample_id").distinct(), "sample_id", "left_semi")
+    if limit is not None:
+        samples = relational.first_per_group(samples, ["dataset"], ["ord", "sample_id"], limit).drop("k")
+
+    def table(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        out[name] = written_once(make, f"{folder}/{name}", spark, force)
+        return out[name]
+
+    rows = table("samples", lambda: samples)
+    for name, made in baseline(rows).items():
+        table(f"baseline/{name}", lambda made=made: made)
+    found = errors.char_error_rows(rows)
+    matrix = table("baseline/pooled", lambda: errors.pooled(errors.confusion_matrix(found, ["dataset"], arabic_only=arabic_only)))
+    scored = lambda df, run: outcomes.compared(df.join(rows.select("dataset", "sample_id", "ord", "gt_text"), ["dataset", "sample_id"])).select(F.lit(run).alias("run"), "dataset", "sample_id", "ord", "cer_ocr", "cer_llm")
+    runs = []
+    for kind in kinds:
+        told = rows.withColumn("prompt_type", F.lit(kind))
+        if kind in ("ocr_aware", "combined"):
+            told = told.join(F.broadcast(errors.format_confusions(matrix).withColumnRenamed("text", "confusion_context")))  # one row
+        if kind in ("self_reflective", "combined"):
+            notes = outcomes.insights_text(out[f"{kinds[0]}/changes"], ["dataset"]).withColumnRenamed("text", "insights_context") if kind != kinds[0] else rows.select("dataset").distinct().withColumn("insights_context", F.lit(""))
+            told = told.join(notes, "dataset", "left")
+        corrected = table(f"{kind}/corrections", lambda told=told: correction_run(told, backend=backend, arabic_only=arabic_only, **options))
+        whole = corrected.join(rows.select("dataset", "sample_id", "ord", "gt_text"), ["dataset", "sample_id"])
+        for name, made in analysed(whole).items():
+            table(f"{kind}/{name}", lambda made=made: made)
+        runs.append(table(f"{kind}/scored", lambda c=corrected, k=kind: scored(c, k)))
+    if lexicon is not None:
+        first = out[f"{kinds[0]}/corrections"]
+        reverted = table("lexicon/reverted", lambda: validation.reverted(first, lexicon, letters=letters))
+        table("lexicon/statistics", lambda: validation.revert_statistics(reverted))
+        final = first.drop("corrected_text").join(reverted.select("sample_id", F.col("final_text").alias("corrected_text")), "sample_id")
+        runs.append(table("lexicon/scored", lambda: scored(final, "lexicon")))
+    base = runs[0].select(F.lit("baseline").alias("run"), "dataset", "sample_id", "ord", F.col("cer_ocr").alias("cer"))
+    every = table("runs", lambda: reduce(DataFrame.unionByName, [base, *[r.withColumnRenamed("cer_llm", "cer").drop("cer_ocr") for r in runs]]))
+    for name, made in run_comparison(every, "baseline").items():
+        table(f"comparison/{name}", lambda made=made: made)
+    table("hard", lambda: selection.degraded_then_hard(runs[0].withColumn("cer_delta", F.col("cer_llm") - F.col("cer_ocr")), 200))
+    return out
+
+
 def datasets_wanted(given: list[str] | None, listed: list[str] | None, configured: list[str]) -> list[str]:
     """The command line's data sets, else the sample list's, else the configured ones."""
     return given or listed or configured
