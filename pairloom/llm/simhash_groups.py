@@ -6,7 +6,8 @@ differ in at most ``RADIUS`` bits; equal fingerprints are one node.
 The 64 bits form a ring of ``len(WIDTHS)`` = 5 segments. If two fingerprints differ in at most 4 bits, then from some segment on round the ring, every chain of the next
 l segments differs in at most floor(4 * l / 5) bits: 0 in the first, 1 in the first two, 2, 3, and 4 in all. So each node is sent to five buckets, by the
 value of each segment (a chain of one). Within a bucket the nodes are turned so that the chain starts at the top: chains of two are found by looking up the
-next segment as it is and with each one bit turned, longer chains are counted one by one, and only what no chain rules out has all its bits compared.
+next segment as it is and with each one bit turned (in buckets of a few dozen nodes, by counting the differences of all pairs), longer chains are counted one by one, and only what no
+chain rules out has all its bits compared.
 A node pair that is linked through others already is not compared (members of one component stand together and are stepped over), as only the
 components are asked for. A bucket emits at most one link fewer than it has nodes.
 
@@ -39,7 +40,7 @@ WORDS, SEED, RADIUS = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
 BUCKET = 1 << 17
 _STARTS = tuple(sum(WIDTHS[:k]) for k in range(len(WIDTHS)))
-_PAIRS, _LONG, _SHINGLES = 1 << 20, 256, 1 << 15
+_PAIRS, _LONG, _SHINGLES, _FEW = 1 << 20, 256, 1 << 15, 96
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # fixed: primes of XXH64
 
 
@@ -166,6 +167,9 @@ def bucket_links(fps: np.ndarray, start: int, labels: np.ndarray, sides: np.ndar
         a.append(i[one])
         b.append(j[one])
 
+    if len(fps) <= _FEW:  # every pair at once costs less than a look-up of each turned bit
+        check(*np.triu_indices(len(fps), 1))
+        return np.concatenate(a), np.concatenate(b)
     order = np.argsort(ring)
     check(order[:-1], order[1:])
     width = WIDTHS[(start + 1) % len(WIDTHS)]

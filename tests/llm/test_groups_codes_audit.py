@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import pairloom.llm.simhash_groups as simhash_groups_module
 from pairloom.llm.filter_audit import audit_filters, bitmap_index, judged, labelled
 from pairloom.llm.simhash_groups import RADIUS, WIDTHS, bucket_links, chain_masks, fingerprint_links, simhash_groups, turned, xxh64
 from pairloom.llm.vector_codes import _pack, _unpack, code_report, compress_vectors, nearest
@@ -122,8 +123,10 @@ def test_links_of_heaps_at_every_level(spark, limit):
         assert got == {frozenset(signed(y) for y in fps if want[y] == want[x]) for x in fps}
 
 
-def test_chains_lose_no_pair():
-    """Pairs of each distance up to the radius are found from some segment; a bucket's links are few and true."""
+@pytest.mark.parametrize("few", [0, 96])
+def test_chains_lose_no_pair(monkeypatch, few):
+    """Pairs of each distance up to the radius are found from some segment, whether all pairs of a small bucket are counted or not; a bucket's links are few and true."""
+    monkeypatch.setattr(simhash_groups_module, "_FEW", few)
     r = random.Random(9)
     for _ in range(300):
         x = r.getrandbits(64)
