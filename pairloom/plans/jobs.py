@@ -13,6 +13,9 @@ from pairloom.operators import correct, errors, outcomes, pairs, prompts, relati
 from pairloom.sources.readers import exists
 
 
+BASELINE = ("metrics", "metrics_normal", "metrics_no_diacritics", "quality", "confusions", "taxonomy")
+
+
 def baseline(samples: DataFrame, by: str = "dataset") -> dict[str, DataFrame]:
     """Metrics with and without runaways and diacritics, confusion matrix and taxonomy of ``samples``."""
     rows, plain = pairs.scored(samples), pairs.scored(samples, diacritics=False)
@@ -67,8 +70,15 @@ def experiment(samples: DataFrame, folder: str, kinds: tuple[str, ...] = ("zero_
         return out[name]
 
     rows = table("samples", lambda: samples)
-    for name, made in baseline(rows).items():
-        table(f"baseline/{name}", lambda made=made: made)
+    first: dict[str, DataFrame] = {}
+
+    def of_baseline(name: str) -> DataFrame:
+        if not first:  # its summaries run jobs of their own, which a run that goes on does not need
+            first.update(baseline(rows))
+        return first[name]
+
+    for name in BASELINE:
+        table(f"baseline/{name}", lambda name=name: of_baseline(name))
     found = errors.char_error_rows(rows)
     matrix = table("baseline/pooled", lambda: errors.pooled(errors.confusion_matrix(found, ["dataset"], arabic_only=arabic_only)))
     scored = lambda df, run: outcomes.compared(df.join(rows.select("dataset", "sample_id", "ord", "gt_text"), ["dataset", "sample_id"])).select(F.lit(run).alias("run"), "dataset", "sample_id", "ord", "cer_ocr", "cer_llm")
@@ -86,10 +96,10 @@ def experiment(samples: DataFrame, folder: str, kinds: tuple[str, ...] = ("zero_
             table(f"{kind}/{name}", lambda made=made: made)
         runs.append(table(f"{kind}/scored", lambda c=corrected, k=kind: scored(c, k)))
     if lexicon is not None:
-        first = out[f"{kinds[0]}/corrections"]
-        reverted = table("lexicon/reverted", lambda: validation.reverted(first, lexicon, letters=letters))
+        answers = out[f"{kinds[0]}/corrections"]
+        reverted = table("lexicon/reverted", lambda: validation.reverted(answers, lexicon, letters=letters))
         table("lexicon/statistics", lambda: validation.revert_statistics(reverted))
-        final = first.drop("corrected_text").join(reverted.select("sample_id", F.col("final_text").alias("corrected_text")), "sample_id")
+        final = answers.drop("corrected_text").join(reverted.select("sample_id", F.col("final_text").alias("corrected_text")), "sample_id")
         runs.append(table("lexicon/scored", lambda: scored(final, "lexicon")))
     base = runs[0].select(F.lit("baseline").alias("run"), "dataset", "sample_id", "ord", F.col("cer_ocr").alias("cer"))
     every = table("runs", lambda: reduce(DataFrame.unionByName, [base, *[r.withColumnRenamed("cer_llm", "cer").drop("cer_ocr") for r in runs]]))

@@ -14,9 +14,9 @@ def rows(spark, n=24):
 def test_tables_and_resume(spark, tmp_path):
     lexicon = spark.createDataFrame([("كتاب",), ("جديد",), ("قلم",)], "word string")
     folder = str(tmp_path / "run")
-    out = jobs.experiment(rows(spark), folder, ("zero_shot", "ocr_aware", "self_reflective"), lexicon=lexicon)
-    assert {"samples", "baseline/metrics", "baseline/pooled", "zero_shot/corrections", "ocr_aware/scored", "self_reflective/outcomes", "lexicon/statistics", "comparison/statistics", "runs", "hard"} <= set(out)
-    assert out["zero_shot/corrections"].count() == 24 and {r.run for r in out["runs"].select("run").distinct().collect()} == {"baseline", "zero_shot", "ocr_aware", "self_reflective", "lexicon"}
+    out = jobs.experiment(rows(spark), folder, ("zero_shot", "self_reflective"), lexicon=lexicon)
+    assert {"samples", "baseline/metrics", "baseline/pooled", "zero_shot/corrections", "self_reflective/outcomes", "lexicon/statistics", "comparison/statistics", "runs", "hard"} <= set(out)
+    assert out["zero_shot/corrections"].count() == 24 and {r.run for r in out["runs"].select("run").distinct().collect()} == {"baseline", "zero_shot", "self_reflective", "lexicon"}
     assert all(df.count() >= 0 for df in out.values())
     mock = {r.run: r.cer for r in out["comparison/averages"].collect()}
     assert mock["zero_shot"] == pytest.approx(mock["baseline"]) and mock["baseline"] > 0  # the mock model changes nothing
@@ -25,12 +25,7 @@ def test_tables_and_resume(spark, tmp_path):
     (tmp_path / "run/zero_shot/corrections/_SUCCESS").unlink()
     path = f"{folder}/zero_shot/corrections"
     assert jobs.written_once(lambda: rows(spark, 3), path, spark).count() == 3 and jobs.written_once(lambda: rows(spark, 4), path, spark).count() == 3
-    anew = jobs.experiment(rows(spark, 4), folder, ("zero_shot",), force=True)
-    assert anew["samples"].count() == 4 and anew["runs"].count() == 8
-
-
-def test_narrowed_samples(spark, tmp_path):
     ids = spark.createDataFrame([(f"s{i}",) for i in range(10)], "sample_id string")
-    out = jobs.experiment(rows(spark), str(tmp_path / "run"), ("zero_shot",), datasets=["d1", "d9"], ids=ids, limit=2)
-    assert sorted(r.sample_id for r in out["samples"].collect()) == ["s1", "s3"]
-    assert out["baseline/metrics"].where(F.col("dataset") == "d1").first().num_samples == 2
+    anew = jobs.experiment(rows(spark), folder, ("zero_shot",), force=True, datasets=["d1", "d9"], ids=ids, limit=2)
+    assert sorted(r.sample_id for r in anew["samples"].collect()) == ["s1", "s3"] and anew["runs"].count() == 4
+    assert anew["baseline/metrics"].where(F.col("dataset") == "d1").first().num_samples == 2
