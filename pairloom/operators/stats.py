@@ -62,6 +62,7 @@ def compare_all(runs: DataFrame, baseline: str, alpha: float = 0.05, exact: bool
     """One row per system: paired t, p by the normal approximation (``exact``: by Student's t), effect size, Bonferroni's verdict; only samples that every system has count.
 
     ``p_corrected`` is p times the number of systems, not capped."""
+    runs = kept(runs, "runs")  # read twice
     base = runs.where(F.col("run") == baseline).select("sample_id", F.col("cer").alias("a"))
     pairs = runs.where(F.col("run") != baseline).join(base, "sample_id").withColumn("d", F.col("a") - F.col("cer"))
     sums = pairs.groupBy("run").agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("std_diff"))
@@ -88,6 +89,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def bootstrap_interval(runs: DataFrame, baseline: str, repeats: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """``run, low, high``: Poisson bootstrap of the mean difference: each row gets a weight for each repeat from a hash of its id, a partition sums them
     in arrays of ``repeats`` numbers for each run, so neither is a row repeated nor are rows gathered. Weights follow the distribution to 1 in 65,536."""
+    runs = kept(runs, "runs")  # read twice
     base = runs.where(F.col("run") == baseline).select("sample_id", F.col("cer").alias("a"))
     pairs = runs.where(F.col("run") != baseline).join(base, "sample_id").select("run", "sample_id", (F.col("a") - F.col("cer")).alias("d"))
     table = poisson_table()
@@ -132,6 +134,7 @@ def repeat_states(n: int, repeats: int, tasks: int, seed: int) -> list[tuple[int
 def exact_bootstrap(runs: DataFrame, baseline: str, repeats: int = 1000, alpha: float = 0.05, seed: int = 42, tasks: int = 32) -> DataFrame:
     """The same with Python's seeded generator, value for value: the differences of a system, in order, are blocks of an array, and its repeats are spread over ``tasks``, each of which
     starts with the generator's state there. A task holds eight bytes for each sample of its system; a system of one sample has the interval (0, 0)."""
+    runs = kept(runs, "runs")  # read twice
     base = runs.where(F.col("run") == baseline).select("sample_id", F.col("cer").alias("a"))
     pairs = runs.where(F.col("run") != baseline).join(base, "sample_id").select("run", "ord", (F.col("a") - F.col("cer")).alias("d")).where("d IS NOT NULL")
     placed = positions(pairs, ["run"], ["ord", "d"])
