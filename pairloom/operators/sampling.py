@@ -32,7 +32,8 @@ def stratified(rows: DataFrame, stratum: str, targets: dict[str, int], key: str,
     most = F.lit(0)
     for name, n in targets.items():
         most = F.when(F.col(stratum) == name, F.lit(n)).otherwise(most)
-    return rows.where(F.col("_k") <= most).drop("_draw", "_later", "_k")
+    # the fixed limit is one that Spark applies before it shuffles rows to their stratum's task
+    return rows.where(F.col("_k") <= max(targets.values(), default=0)).where(F.col("_k") <= most).drop("_draw", "_later", "_k")
 
 
 def split_by_ratio(rows: DataFrame, key: str, group: list[str], ratio: float, pinned: DataFrame | None = None, seed: int = SEED) -> DataFrame:
