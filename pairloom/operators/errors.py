@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions import batches
 from pairloom.functions.classify import ERROR_TYPES, GROUP_NAMES, POSITIONS, confusion_type
-from pairloom.functions.edit import char_errors, word_errors
+from pairloom.functions.edit import char_errors
 from pairloom.functions.text import is_arabic, normalise, tokens
+from pairloom.plans.shared import kept
+
+
+_CHAR = "at int, gt_char string, ocr_char string, error_type string, position string, context string"
+_WORD = "at int, gt_word string, ocr_word string, is_merged boolean, is_split boolean"
+
+
+def _aligned(pairs: DataFrame, hypothesis: str, keep: list[str], words: bool, task: Callable, made: str) -> DataFrame:
+    """What ``task`` makes of the batches of pairs that differ. Equal texts are sent to Python as nulls, as a filter on normalised texts would normalise them twice."""
+    rows = pairs.withColumn("ref", normalise(F.col("gt_text"))).withColumn("hyp", normalise(F.col(hypothesis)))
+    text = lambda c: F.when(F.col("ref") != F.col("hyp"), tokens(F.col(c)) if words else F.col(c)).alias(c)
+    sent = rows.select(*keep, text("ref"), text("hyp"))
+    kinds = [f"`{c}` {sent.schema[c].dataType.simpleString()}" for c in keep]
+    return sent.mapInArrow(task, ", ".join([*kinds, made]))
+
 
+def char_error_rows(pairs: DataFrame, hypothesis: str = "ocr_text", first: int | None = None) -> DataFrame:
+    """One row per character error of ``pairs`` (``dataset, sample_id, ord, gt_text`` and the hypothesis); ``first``: so many of each type of a pair, which is all that as many examples need."""
+    return _aligned(pairs, hypothesis, ["dataset", "sample_id", "ord"], False, partial(batches.error_rows, first=first), _CHAR)
 
-def char_error_rows(pairs: DataFrame, hypothesis: str = "ocr_text") -> DataFrame:
-    """One row per character error of ``pairs`` (``dataset, sample_id, ord, gt_text`` and the hypothesis). Equal texts never reach Python."""
-    rows = pairs.withColumn("ref", normalise(F.col("gt_text"))).withColumn("hyp", normalise(F.col(hypothesis))).where("ref <> hyp")
-    return rows.select("dataset", "sample_id", "ord", F.posexplode(char_errors("ref", "hyp")).alias("at", "e")).select("dataset", "sample_id", "ord", "at", "e.*")
+
+def char_error_tallies(pairs: DataFrame, by: list[str], hypothesis: str = "ocr_text") -> DataFrame:
+    """``by, gt_char, ocr_char, error_type, position, count``: partial counts of character errors, of each batch; summaries of errors take them in place of rows."""
+    return _aligned(pairs, hypothesis, by, False, batches.error_tallies, "gt_char string, ocr_char string, error_type string, position string, count long")
 
 
 def word_error_rows(pairs: DataFrame, hypothesis: str = "ocr_text") -> DataFrame:
-    rows = pairs.withColumn("ref", normalise(F.col("gt_text"))).withColumn("hyp", normalise(F.col(hypothesis))).where("ref <> hyp")
-    found = rows.select("dataset", "sample_id", "ord", F.posexplode(word_errors(tokens(F.col("ref")), tokens(F.col("hyp")))).alias("at", "e"))
-    return found.select("dataset", "sample_id", "ord", "at", "e.*")
+    return _aligned(pairs, hypothesis, ["dataset", "sample_id", "ord"], True, batches.word_rows, _WORD)
+
+
+def word_error_tallies(pairs: DataFrame, hypothesis: str = "ocr_text") -> DataFrame:
+    """``dataset, sample_id, gt_word, ocr_word, count``: how often each pair has each word error."""
+    return _aligned(pairs, hypothesis, ["dataset", "sample_id"], True, batches.word_tallies, "gt_word string, ocr_word string, count long")
+
+
+def _number(errors: DataFrame) -> Column:
+    """How many errors rows or partial counts stand for."""
+    return F.sum("count") if "count" in errors.columns else F.count("*")
 
 
 def confusion_matrix(errors: DataFrame, by: list[str], min_count: int = 2, arabic_only: bool = True) -> DataFrame:
@@ -27,7 +59,7 @@ def confusion_matrix(errors: DataFrame, by: list[str], min_count: int = 2, arabi
     subs = errors.where("gt_char <> '' AND ocr_char <> ''")
     if arabic_only:
         subs = subs.where(is_arabic(F.col("gt_char")) & is_arabic(F.col("ocr_char")))
-    counted = subs.groupBy(*by, "gt_char", "ocr_char").agg(F.count("*").alias("count"))
+    counted = subs.groupBy(*by, "gt_char", "ocr_char").agg(_number(subs).alias("count"))
     share = F.col("count") / F.sum("count").over(Window.partitionBy(*by, "gt_char"))
     return counted.withColumn("probability", share).where(F.col("count") >= min_count)
 
@@ -58,8 +90,9 @@ def matrix_or_pooled(wanted: DataFrame, own: DataFrame, whole: DataFrame, least:
 
 def taxonomy(errors: DataFrame, by: list[str]) -> DataFrame:
     """``by, level, value, count, pct``: errors by type and by position, zeros included."""
-    sets = errors.select(*by, F.explode(F.array(F.struct(F.lit("type").alias("level"), F.col("error_type").alias("value")), F.struct(F.lit("position").alias("level"), F.col("position").alias("value")))).alias("x")).select(*by, "x.*")
-    counted = sets.groupBy(*by, "level", "value").agg(F.count("*").alias("count"))
+    errors = errors.groupBy(*by, "error_type", "position").agg(_number(errors).alias("count"))
+    sets = errors.select(*by, "count", F.explode(F.array(F.struct(F.lit("type").alias("level"), F.col("error_type").alias("value")), F.struct(F.lit("position").alias("level"), F.col("position").alias("value")))).alias("x")).select(*by, "count", "x.*")
+    counted = kept(sets.groupBy(*by, "level", "value").agg(F.sum("count").alias("count")), "taxonomy")
     names = errors.sparkSession.createDataFrame([("type", x) for x in ERROR_TYPES] + [("position", x) for x in POSITIONS], "level string, value string")
     frame = counted.select(*by).distinct().withColumn("one", F.lit(1)).join(names.withColumn("one", F.lit(1)), "one").drop("one")
     full = frame.join(counted, [*by, "level", "value"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
@@ -73,8 +106,18 @@ def word_level(words: DataFrame, by: list[str]) -> DataFrame:
 
 
 def first_examples(errors: DataFrame, by: list[str], n: int = 5) -> DataFrame:
-    """The first ``n`` examples of each type in input order."""
-    ranked = errors.withColumn("k", F.row_number().over(Window.partitionBy(*by, "error_type").orderBy("ord", "sample_id", "at"))).where(F.col("k") <= n)
+    """The first ``n`` examples of each type in input order. Each batch of errors passes on its own first ones, so that few are sorted."""
+    order = ["ord", "sample_id", "at"]
+    errors = errors.select(*by, "error_type", *order, "gt_char", "ocr_char", "context")
+
+    def firsts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in order], null_placement="at_start"))
+            place = found.select([*by, "error_type"]).to_pandas().groupby([*by, "error_type"], dropna=False, sort=False).cumcount()
+            yield found.filter(pa.array(place < n))
+
+    errors = errors.mapInArrow(firsts, errors.schema)
+    ranked = errors.withColumn("k", F.row_number().over(Window.partitionBy(*by, "error_type").orderBy(*order))).where(F.col("k") <= n)
     return ranked.groupBy(*by, "error_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "gt_char", "ocr_char", "context"))), lambda x: F.struct(x["gt_char"].alias("gt"), x["ocr_char"].alias("ocr"), x["context"].alias("context"))).alias("examples"))
 
 
@@ -92,7 +135,7 @@ def top_pairs(pairs: DataFrame, n: int = 200) -> DataFrame:
 
 
 def unfixed_and_introduced(ocr_words: DataFrame, llm_words: DataFrame) -> DataFrame:
-    """Errors left in corrections, each tagged by whether the OCR text had the same error in the same sample."""
+    """Errors left in corrections, each tagged by whether the OCR text had the same error in the same sample; both may be rows or tallies."""
     key = ["dataset", "sample_id", "gt_word", "ocr_word"]
     had = ocr_words.select(*key).distinct().withColumn("had", F.lit(True))
     return llm_words.join(had, key, "left").withColumn("kind", F.when(F.col("had"), "unfixed").otherwise("introduced")).drop("had")
