@@ -27,13 +27,13 @@ _SETS, _NUMBERS = ("chars", "types"), ("difficulty", "invalid")
 
 
 def signatures(errors: DataFrame, key: str, invalid: DataFrame | None = None, usual: DataFrame | None = None) -> DataFrame:
-    """``key, chars, types, difficulty, invalid`` from error rows (``key, gt_char, ocr_char, error_type``): the sets of wrong characters and of types, the number of errors, and the number of
+    """``key, chars, types, difficulty, invalid`` from error rows (``key, gt_char, ocr_char, error_type``, or counts of such rows with a ``count``): the sets of wrong characters and of types, the number of errors, and the number of
     invalid words from ``invalid`` (``key, invalid``; 0 elsewhere). ``usual`` (``ocr_char``): only these characters count, as ``high_confusion`` gives them."""
     char = F.col("ocr_char")
     if usual is not None:
         errors = errors.join(usual.select("ocr_char").distinct().withColumn("usual", F.lit(True)), "ocr_char", "left")
         char = F.when(F.col("usual"), F.col("ocr_char"))
-    out = errors.groupBy(key).agg(F.array_sort(F.collect_set(F.nullif(char, F.lit("")))).alias("chars"), F.array_sort(F.collect_set("error_type")).alias("types"), F.count("*").alias("difficulty"))
+    out = errors.groupBy(key).agg(F.array_sort(F.collect_set(F.nullif(char, F.lit("")))).alias("chars"), F.array_sort(F.collect_set("error_type")).alias("types"), (F.sum("count") if "count" in errors.columns else F.count("*")).alias("difficulty"))
     if invalid is None:
         return out.withColumn("invalid", F.lit(0).cast("long"))
     return out.join(invalid.select(key, F.col("invalid").cast("long").alias("invalid")), key, "left").na.fill(0, ["invalid"])
