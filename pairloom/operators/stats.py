@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 from collections.abc import Iterator
@@ -17,7 +16,8 @@ from pyspark.sql import types as T
 from pairloom.operators.prefix_sums import positions
 from pairloom.plans.shared import kept
 
-_BLOCK = 1 << 16
+_BLOCK, _DRAWN = 1 << 16, 1 << 14
+COMPENSATED = sum([1.0, 1e100, 1.0, -1e100]) == 2.0
 
 
 def normal_p(z: Column) -> Column:
@@ -131,6 +131,23 @@ def repeat_states(n: int, repeats: int, tasks: int, seed: int) -> list[tuple[int
     return out
 
 
+class ExactSum:
+    """What ``sum`` makes of the same floats in the same order, chunk by chunk: running sums, and what each addition rounds off, added up too (Neumaier's sum, as Python has it from 3.12 on)."""
+
+    def __init__(self):
+        self.total, self.lost = 0.0, 0.0
+
+    def add(self, x: np.ndarray) -> None:
+        upto = np.cumsum(np.concatenate(([self.total], x)))
+        before, after = upto[:-1], upto[1:]
+        lost = np.where(np.abs(before) >= np.abs(x), (before - after) + x, (x - after) + before)
+        self.total, self.lost = float(upto[-1]), float(np.cumsum(np.concatenate(([self.lost], lost)))[-1])
+
+    @property
+    def value(self) -> float:
+        return self.total + self.lost if COMPENSATED and self.lost and math.isfinite(self.lost) else self.total
+
+
 def exact_bootstrap(runs: DataFrame, baseline: str, repeats: int = 1000, alpha: float = 0.05, seed: int = 42, tasks: int = 32) -> DataFrame:
     """The same with Python's seeded generator, value for value: the differences of a system, in order, are blocks of an array, and its repeats are spread over ``tasks``, each of which
     starts with the generator's state there. A task holds eight bytes for each sample of its system; a system of one sample has the interval (0, 0)."""
@@ -151,9 +168,11 @@ def exact_bootstrap(runs: DataFrame, baseline: str, repeats: int = 1000, alpha:
             return pd.DataFrame({"run": [rows["run"].iloc[0]] * times, "m": [0.0] * times})
         generator, n, out = np.random.RandomState(), len(d), []
         generator.set_state(("MT19937", np.frombuffer(state, "<u4"), int(at)))
-        drawn = lambda: (d[np.floor(generator.random_sample(min(1 << 16, n - k)) * n).astype(np.int64)].tolist() for k in range(0, n, 1 << 16))
         for _ in range(times):
-            out.append(sum(itertools.chain.from_iterable(drawn())) / n)
+            total = ExactSum()
+            for k in range(0, n, _DRAWN):
+                total.add(d[(generator.random_sample(min(_DRAWN, n - k)) * n).astype(np.int64)])
+            out.append(total.value / n)
         return pd.DataFrame({"run": [rows["run"].iloc[0]] * times, "m": out})
 
     kind = runs.schema["run"].dataType.simpleString()
