@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,18 +41,29 @@ def gram_codes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(np.cumsum(lengths), at, side="right"), (code & np.uint64((1 << 63) - 1)).astype(np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the greatest needs (their width is the last byte): an engine's array takes four or eight for each, in all its copies."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    return x.astype(kind.newbyteorder("<")).tobytes() + bytes([kind.itemsize])
+
+
+def unpacked(x: pa.BinaryScalar) -> np.ndarray:
+    held = memoryview(x.as_buffer())
+    return np.frombuffer(held, f"<u{held[-1]}", (len(held) - 1) // held[-1]).astype(np.int64)
+
+
 def _blocks(n: int, key: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            length = np.array([len(t) for t in texts], np.int64)
+            keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            length = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             # documents of one length have like contributions, which keeps the bounds of a block low
             order, first = np.argsort(length, kind="stable"), 0
             while first < len(order):
                 upto = np.cumsum(length[order[first : first + DOCUMENTS]])
                 some = order[first : first + max(1, int(np.searchsorted(upto, CHARACTERS, side="right")))]
                 first += len(some)
-                doc, code = gram_codes([texts[i] for i in some.tolist()], n)
+                doc, code = gram_codes(texts.take(pa.array(some)).to_pylist(), n)
                 by = np.lexsort((doc, code))
                 doc, code = doc[by], code[by]
                 new = np.ones(len(code), bool)
@@ -60,9 +72,8 @@ def _blocks(n: int, key: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], It
                 tf, doc, code = np.diff(np.append(at, len(code))), doc[at], code[at]
                 grams, starts = np.unique(code, return_index=True)
                 size = np.maximum(length[some] - n + 1, 0)
-                row = [keys.take(pa.array(some)).to_pylist(), size, grams, np.append(starts, len(code)), doc, tf]
-                kinds = [key, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in zip(row, kinds)] + [pa.array([len(some)], pa.int64()), pa.array([int(size.sum())], pa.int64())], names=_COLUMNS)
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((keys.take(pa.array(some)).to_pylist(), key), (size, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(lists + [pa.array([packed(x)], pa.binary()) for x in (grams, np.append(starts, len(code)), doc, tf)] + [pa.array([len(some)], pa.int64()), pa.array([int(size.sum())], pa.int64())], names=_COLUMNS)
 
     return build
 
@@ -72,10 +83,10 @@ _COLUMNS = ["keys", "lengths", "grams", "starts", "places", "tfs", "n_documents"
 
 def gram_index(documents: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per block: ``keys, lengths`` (number of grams) of its documents, ``grams`` (codes in order) with the ``starts`` of their postings, ``places, tfs`` (document in the block and
-    times), ``n_documents, n_grams``. A null text has no grams."""
+    times), these four ``packed``, ``n_documents, n_grams``. A null text has no grams."""
     docs = documents.select(key, text)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.mapInArrow(_blocks(n, to_arrow_type(docs.schema[key].dataType)), f"keys array<{kind}>, lengths array<int>, grams array<bigint>, starts array<int>, places array<int>, tfs array<int>, n_documents bigint, n_grams bigint")
+    return docs.mapInArrow(_blocks(n, to_arrow_type(docs.schema[key].dataType)), f"keys array<{kind}>, lengths array<int>, grams binary, starts binary, places binary, tfs binary, n_documents bigint, n_grams bigint")
 
 
 @dataclass
@@ -102,7 +113,7 @@ def _frequencies(codes: np.ndarray):
         total = np.zeros(len(codes), np.int64)
         for batch in batches:
             for grams, starts in zip(batch.column(0), batch.column(1)):
-                grams, n = grams.values.to_numpy(), np.diff(starts.values.to_numpy())
+                grams, n = unpacked(grams), np.diff(unpacked(starts))
                 at = np.searchsorted(grams, codes)
                 here = (at < len(grams)) & (grams[np.minimum(at, len(grams) - 1)] == codes) if len(grams) else np.zeros(len(codes), bool)
                 total[here] += n[at[here]]
@@ -135,11 +146,12 @@ def _scan(asked: _Asked, mean: float, k: int, floor: np.ndarray | None, out: T.S
 
         for batch in batches:
             for row in batch.to_struct_array():
-                grams, starts, places, tfs, size = (row[c].values.to_numpy() for c in ("grams", "starts", "places", "tfs", "lengths"))
+                grams, size = unpacked(row["grams"]), row["lengths"].values.to_numpy()
                 at = np.searchsorted(asked.codes, grams)
                 mine = np.flatnonzero((at < len(asked.codes)) & (asked.codes[np.minimum(at, len(asked.codes) - 1)] == grams))
                 if not len(mine):
                     continue
+                starts, places, tfs = (unpacked(row[c]) for c in ("starts", "places", "tfs"))
                 # contributions of this block's documents: a row for each gram that is asked for
                 n = starts[mine + 1] - starts[mine]
                 post = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
