@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from pairloom.plans.shared import kept, small_batches
+
 K1, B = 1.5, 0.75
 DOCUMENTS, CHARACTERS = 64, 1 << 18
 QUERIES, QUERY_CHARACTERS = 512, 1 << 20
@@ -228,11 +230,13 @@ def _prepared(queries: DataFrame, index: DataFrame, k: int, n: int, query: str,
 def bm25(queries: DataFrame, index: DataFrame, k: int, n: int = 3, query: str = "item_id", key: str = "doc_id", text: str = "text", max_chars: int | None = None) -> DataFrame:
     """``query, key, score, rank``: the k best documents of each query that share a gram with it, exactly. ``max_chars``: only so many characters of a query count."""
     out = None
-    for block, mean, floor, kind in _prepared(queries, index, k, n, query, text, max_chars):
-        found = index.mapInArrow(_scan(block, mean, k, floor, kind), kind)
-        order = Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "key")
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, F.col("key").alias(key), "score", "rank")
-        out = found if out is None else out.unionByName(found)
+    with small_batches(queries.sparkSession):
+        for block, mean, floor, kind in _prepared(queries, index, k, n, query, text, max_chars):
+            found = index.mapInArrow(_scan(block, mean, k, floor, kind), kind)
+            order = Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "key")
+            found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, F.col("key").alias(key), "score", "rank")
+            found = kept(found, "bm25")  # the scan runs here, while batches are small
+            out = found if out is None else out.unionByName(found)
     if out is None:
         out = queries.sparkSession.createDataFrame([], T.StructType([queries.schema[query], T.StructField(key, index.schema["keys"].dataType.elementType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
     return out
@@ -241,7 +245,8 @@ def bm25(queries: DataFrame, index: DataFrame, k: int, n: int = 3, query: str =
 def bm25_work(queries: DataFrame, index: DataFrame, k: int, n: int = 3, query: str = "item_id", text: str = "text") -> tuple[int, int]:
     """How many pairs of a query and a block have a gram in common, and how many of these ``bm25`` scores."""
     met = scored = 0
-    for block, mean, floor, kind in _prepared(queries, index, k, n, query, text, None):
-        for r in index.mapInArrow(_scan(block, mean, k, floor, kind, counted=True), "met long, scored long").collect():
-            met, scored = met + r.met, scored + r.scored
+    with small_batches(queries.sparkSession):
+        for block, mean, floor, kind in _prepared(queries, index, k, n, query, text, None):
+            for r in index.mapInArrow(_scan(block, mean, k, floor, kind, counted=True), "met long, scored long").collect():
+                met, scored = met + r.met, scored + r.scored
     return met, scored
